@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mix_sources, simhash_dedup
+from . import language_id, mix_sources, secret_scan, simhash_dedup
 
 QUERIES = {
-    "op10_simhash_dedup": simhash_dedup.op10_simhash_dedup,
+    "op2_secret_scan": secret_scan.op2_secret_scan,
     "op4_mix_sources": mix_sources.op4_mix_sources,
+    "op7_language_id": language_id.op7_language_id,
+    "op10_simhash_dedup": simhash_dedup.op10_simhash_dedup,
 }
 
 ORACLE_SQL = {"op4_mix_sources": mix_sources.ORACLE}

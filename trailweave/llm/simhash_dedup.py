@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import Memo, batches, components, dropped, mix, table, words, written
 
 LANES = 6  # independent fingerprints of a document
 BITS = 40  # of each; chance collisions grow with documents^2 * 2^-BITS, and 40 keeps them below the documents up to about 10^9 of these
 HALF = 1  # half the radius: two fingerprints of a lane collide if they differ in at most 2 * HALF bits
-MOST_APART = 30  # of the LANES * BITS bits, in the check of colliding pairs
-PREFIX = 12  # high bits of a variant that choose its place in the shuffle
+CHECK = 128  # bits, those of f0 and f1, on which colliding pairs are verified
+MOST_APART = 20  # of the CHECK bits
+PREFIX = 8  # least number of a variant's high bits that choose its place in the shuffle
+ROWS = 1 << 20  # fingerprints for which PREFIX bits are enough; twice as many take one bit more
 
 FULL = ["f0", "f1", "f2", "f3"]
 
@@ -66,24 +68,30 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return batches(docs.select("doc_id", "text"), one, "doc_id long, f0 long, f1 long, f2 long, f3 long")
 
 
-def places(prints: DataFrame) -> DataFrame:
-    """Where the variants of each fingerprint go: rows (place, own, node, f0..f3).
+def prefix_bits(fingerprints: int) -> int:
+    """High bits that choose a place: places grow in number with the table, so none grows large."""
+    return min(BITS - 8, PREFIX + max(0, math.ceil(math.log2(max(1, fingerprints) / ROWS))))
 
-    The variants of a lane that share their PREFIX high bits go to one place, so they travel as one row and are spelt out there: one row for the own prefix, one for each of its neighbours.
+
+def places(prints: DataFrame, prefix: int) -> DataFrame:
+    """Where the variants of each fingerprint go: rows (place, low, node, f0, f1).
+
+    The variants of a lane that share their `prefix` high bits go to one place, so they travel as one row and are spelt out there: one row for the own prefix, whose `low` bits are marked by a high bit of their own, and one for each neighbour.
     """
+    rest = BITS - prefix
 
     def one(batch: pa.RecordBatch) -> dict:
         full = np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in FULL], axis=1).view(np.uint64)
+        lane = lanes(np.ascontiguousarray(full)).reshape(-1)
+        n, each = len(full), LANES * (prefix + 1)
+        place = ball(lane >> np.uint64(rest), prefix).reshape(n, LANES, prefix + 1)
+        place |= np.arange(LANES, dtype=np.uint64)[None, :, None] << np.uint64(prefix)
+        low = np.repeat((lane & np.uint64((1 << rest) - 1))[:, None], prefix + 1, axis=1)
+        low[:, 0] |= np.uint64(1 << rest)
         node = batch.column("node").to_numpy(zero_copy_only=False)
-        high = lanes(np.ascontiguousarray(full)) >> np.uint64(BITS - PREFIX)
-        prefix = ball(high.reshape(-1), PREFIX).reshape(len(node), LANES, PREFIX + 1)
-        place = (np.arange(LANES, dtype=np.uint64)[None, :, None] << np.uint64(PREFIX)) | prefix
-        each = LANES * (PREFIX + 1)
-        own = np.zeros((LANES, PREFIX + 1), bool)
-        own[:, 0] = True
-        return {"place": place.reshape(-1).astype(np.int32), "own": np.tile(own.reshape(-1), len(node)), "node": np.repeat(node, each)} | {n: np.repeat(full[:, k].view(np.int64), each) for k, n in enumerate(FULL)}
+        return {"place": place.reshape(-1).view(np.int64), "low": low.reshape(-1).view(np.int64), "node": np.repeat(node, each), "f0": np.repeat(full[:, 0].view(np.int64), each), "f1": np.repeat(full[:, 1].view(np.int64), each)}
 
-    return batches(prints, one, "place int, own boolean, node long, f0 long, f1 long, f2 long, f3 long")
+    return batches(prints, one, "place long, low long, node long, f0 long, f1 long")
 
 
 def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -108,26 +116,23 @@ def linked(node: np.ndarray, full: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def meetings(rows: DataFrame) -> DataFrame:
+def meetings(rows: DataFrame, prefix: int) -> DataFrame:
     """Verified links (a, b) among fingerprints that share a variant."""
+    rest = BITS - prefix
 
     def met(source):
-        def kept(batches_of):
-            parts = [b for b in batches_of if b.num_rows]
-            return pa.Table.from_batches(parts) if parts else None
-
-        rows_in = kept(source)
+        parts = [b for b in source if b.num_rows]
         out_a, out_b = [], []
-        if rows_in is not None:
+        if parts:
+            rows_in = pa.Table.from_batches(parts)
             column = lambda n: rows_in.column(n).to_numpy()
-            place, own, node = column("place").astype(np.uint64), column("own"), column("node")
-            full = np.ascontiguousarray(np.stack([column(n) for n in FULL], axis=1).view(np.uint64))
-            lane = (place >> np.uint64(PREFIX)).astype(np.int64)
-            low = lanes(full)[np.arange(len(full)), lane] & np.uint64((1 << (BITS - PREFIX)) - 1)
-            base = place << np.uint64(BITS - PREFIX)
-            variants = (base[own, None] | ball(low[own], BITS - PREFIX)).reshape(-1)
+            base, low, node = column("place").view(np.uint64) << np.uint64(rest), column("low").view(np.uint64), column("node")
+            full = np.stack([column(n) for n in FULL[: CHECK // 64]], axis=1).view(np.uint64)
+            own = (low >> np.uint64(rest)) > 0
+            low = low & np.uint64((1 << rest) - 1)
+            variants = (base[own, None] | ball(low[own], rest)).reshape(-1)
             key = np.concatenate([variants, base[~own] | low[~own]])
-            row = np.concatenate([np.repeat(np.flatnonzero(own), BITS - PREFIX + 1), np.flatnonzero(~own)])
+            row = np.concatenate([np.repeat(np.flatnonzero(own), rest + 1), np.flatnonzero(~own)])
             order = np.argsort(key, kind="stable")
             key, row = key[order], row[order]
             edges: set[tuple[int, int]] = set()
@@ -153,14 +158,15 @@ def meetings(rows: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, duplicate_of) for every document that is not the least doc_id of its group of near-duplicates.
 
-    A document's SimHash over its lower-case words is LANES fingerprints of BITS bits. Each emits all variants within HALF a radius; documents that share a variant, so differ in at most 2 * HALF bits of a lane, are compared on all LANES * BITS bits and linked if at most MOST_APART differ. Groups are the connected components of the links, so copies of any number form one group. Equal fingerprints are joined first and emit once.
+    A document's SimHash over its lower-case words is LANES fingerprints of BITS bits. Each emits all variants within HALF a radius; documents that share a variant, so differ in at most 2 * HALF bits of a lane, are compared on CHECK bits and linked if at most MOST_APART of them differ. Groups are the connected components of the links, so copies of any number form one group. Equal fingerprints are joined first and emit once.
 
     Texts that are null, empty or have no word are in no group, nor are rows whose doc_id is null. A doc_id that comes repeatedly stands for one document if its texts have equal fingerprints; otherwise its fingerprints are searched separately and all of them belong to its group. Very long texts are processed whole. Other columns are ignored.
     """
     prints = written(fingerprints(docs), "prints")
     nodes = written(prints.groupBy(*FULL).agg(F.min("doc_id").alias("node")), "nodes")
     # one fingerprint is one row; the same node may stand for several fingerprints if its doc_id is repeated
-    links = written(meetings(places(nodes.select("node", *FULL))).distinct(), "links")
+    prefix = prefix_bits(nodes.count())
+    links = written(meetings(places(nodes.select("node", *FULL), prefix), prefix).distinct(), "links")
     same = prints.join(nodes, FULL).select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b")
     roots = written(components(links), "roots")
     grouped = prints.join(nodes, FULL).select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("duplicate_of"))
@@ -179,8 +185,4 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the near-duplicates of an earlier one: each group's least doc_id stays, in one row."""
     gone = near_duplicates(docs).select(F.col("doc_id").alias("gone"))
-    stay = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
-    return stay
-
-
-SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("duplicate_of", T.LongType())])
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
