@@ -82,7 +82,8 @@ class Numbers(dict):
         return n
 
 
-MOST_KNOWN = 1_000_000  # words whose potentials a worker keeps; more empty the table, which changes no result
+AT_ONCE = 500_000  # words
+MOST_KNOWN = 500_000  # words whose potentials a worker keeps; more empty the table, which changes no result
 _tables: dict[bytes, tuple[Numbers, np.ndarray]] = {}  # of the worker's field, kept from task to task
 
 
@@ -100,36 +101,60 @@ class Field:
             out.append(label)  # the first features are the lexicons
         return out
 
-    def potentials(self, texts: list[list[str]]) -> np.ndarray:
-        """Emission potentials of all words; each distinct word is scored once."""
+    def rows_of(self, texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
+        """For the words of each text, rows of the table of emission potentials, and that table. Each distinct word is scored once, and kept from batch to batch."""
         known, rows = _tables.get(self.key, (None, None))
         if known is None or len(known) > MOST_KNOWN:
             _tables.clear()
             known, rows = Numbers(), np.zeros((0, len(self.labels)), np.float32)
-        at = np.fromiter(map(known.__getitem__, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
-        if known.fresh:
-            lists = [self.numbers(w) for w in known.fresh]
-            known.fresh = []
-            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-            flat = np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum()))
-            new = np.zeros((len(lists), len(self.labels)))
-            if len(flat):
-                some = sizes > 0
-                new[some] = np.add.reduceat(self.weights[flat], (np.cumsum(sizes) - sizes)[some], axis=0)
-            rows = np.concatenate([rows, np.exp(new - new.max(axis=1, keepdims=True)).astype(np.float32)])
-        _tables[self.key] = known, rows
-        return rows[at]
-
-    def posteriors(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Label probabilities of all words, and where each text starts and how many words it has."""
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        starts = np.cumsum(sizes) - sizes
-        e = self.potentials(texts)
-        full = sizes > 0
-        alpha, beta, _ = flows(e, starts[full], sizes[full], np.exp(self.moves).astype(np.float32), np.exp(self.first).astype(np.float32))
-        p = alpha * beta
-        p /= (p @ np.ones(p.shape[1], p.dtype))[:, None]
-        return p, starts, sizes
+        at, parts = [], [rows]
+        for text in texts:
+            tokens = words(text) if text else []
+            at.append(np.fromiter(map(known.__getitem__, tokens), np.int32, len(tokens)))
+            if len(known.fresh) > 50_000:
+                parts.append(self.score(known))
+        parts.append(self.score(known))
+        _tables[self.key] = known, np.concatenate(parts)
+        return at, _tables[self.key][1]
+
+    def score(self, known: Numbers) -> np.ndarray:
+        lists, known.fresh = [self.numbers(w) for w in known.fresh], []
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum()))
+        new = np.zeros((len(lists), len(self.labels)))
+        if len(flat):
+            some = sizes > 0
+            new[some] = np.add.reduceat(self.weights[flat], (np.cumsum(sizes) - sizes)[some], axis=0)
+        return np.exp(new - new.max(axis=1, keepdims=True, initial=-np.inf)).astype(np.float32)
+
+    def posteriors(self, chains: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
+        """Label probabilities of all words of the chains, none of which is empty."""
+        sizes = np.fromiter(map(len, chains), np.int64, len(chains))
+        alpha, beta, _ = flows(rows[np.concatenate(chains)], np.cumsum(sizes) - sizes, sizes, np.exp(self.moves).astype(np.float32), np.exp(self.first).astype(np.float32))
+        alpha *= beta
+        alpha /= (alpha @ np.ones(alpha.shape[1], alpha.dtype))[:, None]
+        return alpha
+
+
+def summaries(field: Field, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of each text, its mean label probabilities, and its changes of the likeliest label. Chains of similar length are worked on together, about AT_ONCE words at a time."""
+    at, rows = field.rows_of(texts)
+    sizes = np.fromiter(map(len, at), np.int64, len(at))
+    shares, changes = np.zeros((len(at), len(field.labels))), np.zeros(len(at), np.int64)
+    order = [k for k in np.argsort(sizes, kind="stable").tolist() if sizes[k]]
+    while order:
+        part, held = [], 0
+        while order and held < AT_ONCE:
+            part.append(order.pop())
+            held += sizes[part[-1]]
+        p = field.posteriors([at[k] for k in part], rows)
+        starts = np.cumsum(sizes[part]) - sizes[part]
+        shares[part] = np.add.reduceat(p, starts, axis=0, dtype=np.float64) / sizes[part][:, None]
+        best = p.argmax(axis=1)
+        changed = np.concatenate([[False], best[1:] != best[:-1]])
+        changed[starts] = False
+        changes[part] = np.add.reduceat(changed, starts, dtype=np.int64)
+    return sizes, shares, changes
 
 
 def fit(rows: list[tuple[str, str]]) -> Field:
@@ -230,23 +255,13 @@ def labelled_sample(docs: DataFrame) -> list[tuple[str, str]]:
 
 def verdicts(field: Field | None, texts: list[str | None], declared: list[str | None]) -> dict[str, list]:
     """Of each text: its main language, that language's share of the words, the next one and its share, the changes of language, the words, and whether it is accepted."""
-    tokens = [words(t) if t else [] for t in texts]
     out: dict[str, list] = {n: [] for n in ("language", "share", "second", "second_share", "switches", "n_words", "accepted")}
     if field is None:
-        for t in tokens:
-            for n, v in zip(out, (None, None, None, None, 0, len(t), False), strict=True):
+        for t in texts:
+            for n, v in zip(out, (None, None, None, None, 0, len(words(t)) if t else 0, False), strict=True):
                 out[n].append(v)
         return out
-    p, starts, sizes = field.posteriors(tokens)
-    best = p.argmax(axis=1)
-    full = sizes > 0
-    shares = np.zeros((len(sizes), len(field.labels)))
-    changes = np.zeros(len(sizes), np.int64)
-    if full.any():
-        shares[full] = np.add.reduceat(p, starts[full], axis=0, dtype=np.float64) / sizes[full, None]
-        changed = np.concatenate([[False], best[1:] != best[:-1]])
-        changed[starts[full]] = False
-        changes[full] = np.add.reduceat(changed, starts[full], dtype=np.int64)
+    sizes, shares, changes = summaries(field, texts)
     ranked = np.argsort(-shares, axis=1, kind="stable")
     for k, n in enumerate(sizes.tolist()):
         if not n:
