@@ -82,6 +82,18 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def portions(texts: list[str | None], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts that have about `most` characters together, so that a batch's words aren't all held at once."""
+    start = held = 0
+    for k, text in enumerate(texts):
+        held += len(text) if text else 0
+        if held >= most:
+            yield start, k + 1
+            start, held = k + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def batches(df: DataFrame, function, schema: str) -> DataFrame:
     """mapInArrow with a function from a record batch to a dict of columns (or None for no rows)."""
     from pyspark.sql.pandas.types import to_arrow_schema

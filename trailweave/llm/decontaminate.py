@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, table, words
+from .common import Memo, portions, table, words
 
 TERMS = 1 << 14  # hashed terms, the columns of the TF-IDF matrix
 RANK = 64  # of the randomised singular value decomposition
@@ -66,8 +66,8 @@ def sketch(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
         total = np.zeros((TERMS + 1, width), np.int64)
         passages, memo = 0, Memo()
         for batch in source:
-            texts = [words(t) if t else [] for t in batch.column(0).to_pylist()]
-            for terms, _ in chunked(texts, memo, PASSAGE, 0):
+            raw = batch.column(0).to_pylist()
+            for terms, _ in (x for a, b in portions(raw) for x in chunked([words(t) if t else [] for t in raw[a:b]], memo, PASSAGE, 0)):
                 passages += len(terms) // PASSAGE
                 row = np.arange(len(terms)) // PASSAGE
                 order = np.lexsort((row, terms))
@@ -234,8 +234,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             rows, vectors = shared.value
             retriever, memo = Retriever(rows, vectors), Memo()
             for batch in source:
-                texts = [words(t) if t else [] for t in batch.column(1).to_pylist()]
-                hits = retriever.leaks(texts, memo) if rows else []
+                raw = batch.column(1).to_pylist()
+                hits = [(a + h[0], *h[1:]) for a, b in portions(raw) if rows for h in retriever.leaks([words(t) if t else [] for t in raw[a:b]], memo)]
                 ids = batch.column(0).to_pylist()
                 yield pa.RecordBatch.from_arrays(
                     [
