@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, mix_sources, secret_scan, simhash_dedup
+from . import decontaminate, language_id, mix_sources, secret_scan, simhash_dedup, suffix_dedup
 
 QUERIES = {
     "op2_secret_scan": secret_scan.op2_secret_scan,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_mix_sources": mix_sources.op4_mix_sources,
     "op7_language_id": language_id.op7_language_id,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_simhash_dedup": simhash_dedup.op10_simhash_dedup,
 }
 
-ORACLE_SQL = {"op4_mix_sources": mix_sources.ORACLE}
+ORACLE_SQL = {
+    "op3_suffix_dedup": suffix_dedup.ORACLE,
+    "op4_mix_sources": mix_sources.ORACLE,
+}
