@@ -6,9 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trailweave.llm import decontaminate, language_id, mix_sources, secret_scan, simhash_dedup
 from trailweave.llm.common import table, written
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+#: Each works on all rows that its predecessor kept; all but the last return the columns of documents.
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id.keep_accepted),
+    ("simhash_dedup", simhash_dedup.keep_one),
+    ("decontaminate", decontaminate.keep_clean),
+    ("secret_scan", secret_scan.redact),
+    ("mix_sources", mix_sources.training_mix),
+]
 
 #: Language models, fingerprints and compressed sizes are beyond SQL; tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL: str | None = None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -35,6 +35,10 @@ def expected(docs: DataFrame, weights: dict[str, int] | None = None, total_chars
     )
 
 
+def text_hash() -> Column:
+    return F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h")
+
+
 def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, total_chars: int | None = None) -> DataFrame:
     """The mix as (doc_id, source, copy), a row for each copy that is taken, copies of a document counting from 1.
 
@@ -42,7 +46,12 @@ def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, total_ch
 
     The prefix sum is done in two levels over ranges of (source, doc_id), so a hot source is spread over many tasks: sums within a range, plus the sums of the ranges before it. Only those narrow rows are shuffled, never texts. The ranges are written once, so a task run again sees the same ones.
     """
-    narrow = docs.select("doc_id", "source", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h"))
+    return picks(docs, weights, total_chars).drop("h")
+
+
+def picks(docs: DataFrame, weights: dict[str, int] | None = None, total_chars: int | None = None) -> DataFrame:
+    """The mix as in `mix_sources`, with the hash of the text that was taken."""
+    narrow = docs.select("doc_id", "source", text_hash())
     ranged = written(
         narrow.repartitionByRange("source", "doc_id", "h").withColumn("part", F.spark_partition_id()),
         "mix",
@@ -55,8 +64,16 @@ def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, total_ch
     placed = ranged.withColumn("rank", F.row_number().over(within))
     line = placed.join(offsets, placed["source"].eqNullSafe(offsets["o_source"]) & (placed["part"] == offsets["o_part"])).join(rates, placed["source"].eqNullSafe(rates["of_source"]))
     line = line.withColumn("finish", F.expr("start + (before + rank) * unit"))
-    copies = line.select("doc_id", "source", F.expr(f"cast(finish div {UNIT} - (finish - unit) div {UNIT} as int)").alias("copies"))
-    return copies.where("copies > 0").select("doc_id", "source", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    copies = line.select("doc_id", "source", "h", F.expr(f"cast(finish div {UNIT} - (finish - unit) div {UNIT} as int)").alias("copies"))
+    return copies.where("copies > 0").select("doc_id", "source", "h", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+
+
+def training_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix with all their columns, a row for each copy, and its number as `copy` (a column of that name that the documents have is replaced)."""
+    taken = picks(docs).select(F.col("doc_id").alias("m_doc"), F.col("source").alias("m_source"), F.col("h").alias("m_h"), F.col("copy").alias("m_copy"))
+    whole = docs.withColumn("m_text", F.coalesce(F.xxhash64("text"), F.lit(0))).dropDuplicates(["doc_id", "source", "m_text"])
+    same = whole["doc_id"].eqNullSafe(taken["m_doc"]) & whole["source"].eqNullSafe(taken["m_source"]) & (whole["m_text"] == taken["m_h"])
+    return whole.join(taken, same).select(*[whole[c] for c in docs.columns if c != "copy"], F.col("m_copy").alias("copy"))
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

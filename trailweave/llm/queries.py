@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, license_scan, mix_sources, quality, secret_scan, simhash_dedup, suffix_dedup, url_filter
+from . import decontaminate, embedding_dedup, language_id, license_scan, mix_sources, quality, secret_scan, simhash_dedup, suffix_dedup, url_filter
 
 QUERIES = {
+    "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
     "op2_secret_scan": secret_scan.op2_secret_scan,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_mix_sources": mix_sources.op4_mix_sources,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_embedding_dedup": embedding_dedup.ORACLE,
     "op3_suffix_dedup": suffix_dedup.ORACLE,
     "op4_mix_sources": mix_sources.ORACLE,
 }
