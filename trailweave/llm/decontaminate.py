@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,15 +31,32 @@ def test_matrix() -> np.ndarray:
     return np.random.default_rng(12345).integers(0, 2, (TERMS, RANK), dtype=np.int8) * 2 - 1
 
 
-def buckets(tokens: list[str], memo: Memo) -> np.ndarray:
-    return (memo.array(tokens) & np.uint64(TERMS - 1)).astype(np.int32)
+class Terms(dict):
+    """Token to hashed term: that of the token's words run together, or TERMS for a token without any. Emptied when it holds `most` tokens, which changes no result."""
 
+    most = 1_000_000
 
-def chunked(texts: list[list[str]], memo: Memo, unit: int, overlap: int) -> Iterator[tuple[np.ndarray, list[tuple[int, int, int, int]]]]:
+    def __missing__(self, token: str) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        bare = token if token.isalnum() else "".join(words(token))
+        value = self[token] = xxhash.xxh64_intdigest(bare) & (TERMS - 1) if bare else TERMS
+        return value
+
+    def array(self, tokens: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, tokens), np.int32, len(tokens))
+
+
+def split(text: str | None) -> list[str]:
+    """Lower-case tokens between white space."""
+    return text.lower().split() if text else []
+
+
+def chunked(texts: list[list[str]], memo: Terms, unit: int, overlap: int) -> Iterator[tuple[np.ndarray, list[tuple[int, int, int, int]]]]:
     """The terms of the texts in arrays of about CHUNK, each text's part filled up to a multiple of `unit` with TERMS, and the parts: (text, its first word, place in the array, words). Texts beyond CHUNK are cut in parts that overlap."""
     arrays, parts, at = [], [], 0
     for k, tokens in enumerate(texts):
-        terms = buckets(tokens, memo)
+        terms = memo.array(tokens)
         for s in range(0, max(1, len(terms) - overlap), CHUNK - overlap):
             part = terms[s : s + CHUNK]
             if not len(part):
@@ -64,23 +82,22 @@ def sketch(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     def read(source):
         omega = np.concatenate([test_matrix(), np.zeros((1, RANK), np.int8)])
         total = np.zeros((TERMS + 1, width), np.int64)
-        passages, memo = 0, Memo()
+        passages, memo = 0, Terms()
         for batch in source:
             raw = batch.column(0).to_pylist()
-            for terms, _ in (x for a, b in portions(raw) for x in chunked([words(t) if t else [] for t in raw[a:b]], memo, PASSAGE, 0)):
+            for terms, _ in (x for a, b in portions(raw) for x in chunked([split(t) for t in raw[a:b]], memo, PASSAGE, 0)):
                 passages += len(terms) // PASSAGE
-                row = np.arange(len(terms)) // PASSAGE
-                order = np.lexsort((row, terms))
-                row, ordered = row[order], terms[order]
-                fresh = np.concatenate([[True], (ordered[1:] != ordered[:-1]) | (row[1:] != row[:-1])])
-                row, ordered = row[fresh], ordered[fresh]
-                y = np.zeros((len(terms), RANK), np.int8)
-                y[order[fresh]] = omega[ordered]
-                y = y.reshape(-1, PASSAGE, RANK).sum(axis=1, dtype=np.int32)
-                starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-                there = ordered[starts]
-                total[there, :RANK] += np.add.reduceat(y[row], starts, axis=0)
-                total[there, RANK] += np.diff(np.append(starts, len(ordered)))
+                by_row = np.sort(terms.reshape(-1, PASSAGE), axis=1)
+                by_row[:, 1:][by_row[:, 1:] == by_row[:, :-1]] = TERMS  # a term counts once in a passage
+                y = omega[by_row.reshape(-1)].reshape(-1, PASSAGE, RANK).sum(axis=1, dtype=np.int8)
+                flat = by_row.reshape(-1).astype(np.uint16)
+                order = np.argsort(flat, kind="stable")
+                term = flat[order]
+                ends = np.flatnonzero(np.concatenate([term[1:] != term[:-1], [True]]))
+                there = term[ends]
+                running = np.cumsum(np.ascontiguousarray(y.T)[:, order // PASSAGE], axis=1, dtype=np.int32)[:, ends]
+                total[there, :RANK] += np.diff(running, axis=1, prepend=np.int32(0)).T
+                total[there, RANK] += np.diff(ends, prepend=-1)
         rows = TERMS // PARTS
         blobs = [total[k * rows : (k + 1) * rows].astype(np.int32).tobytes() for k in range(PARTS)] if passages else []
         yield pa.RecordBatch.from_arrays([pa.array(range(len(blobs)), pa.int32()), pa.array([passages] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())], names=["part", "passages", "blob"])
@@ -135,6 +152,15 @@ def common_length(masks: dict[str, int], n: int, tokens: list[str]) -> int:
     return n - v.bit_count()
 
 
+def span_sums(spans: dict[int, np.ndarray], n: int) -> np.ndarray:
+    """Sums of n successive rows of spans[1], which has more than n rows to spare at its end; kept in `spans`."""
+    if n not in spans:
+        half = n // 2
+        a, b = span_sums(spans, half), span_sums(spans, n - half)
+        spans[n] = a[: len(b) - half] + b[half:]
+    return spans[n]
+
+
 class Item:
     def __init__(self, item_id: int, tokens: list[str]):
         self.item_id, self.tokens, self.n = item_id, tokens, len(tokens)
@@ -154,7 +180,7 @@ class Retriever:
     """Items of a round, by window, with their unit vectors."""
 
     def __init__(self, rows: list[tuple[int, str]], vectors: np.ndarray):
-        self.vectors, memo = vectors, Memo()
+        self.vectors, memo = vectors, Terms()
         self.items: dict[int, list[Item]] = {}
         self.units: dict[int, np.ndarray] = {}
         places: dict[int, list[np.ndarray]] = {}
@@ -162,7 +188,7 @@ class Retriever:
             tokens = words(text)
             item = Item(item_id, tokens)
             self.items.setdefault(item.window, []).append(item)
-            places.setdefault(item.window, []).append(vectors[buckets(tokens, memo)].sum(axis=0, dtype=np.float64))
+            places.setdefault(item.window, []).append(vectors[memo.array(split(text))].sum(axis=0, dtype=np.float64))
         for w, p in places.items():
             stack = np.array(p)
             self.units[w] = (stack / np.maximum(np.linalg.norm(stack, axis=1, keepdims=True), 1e-12)).astype(np.float32).T.copy()
@@ -170,18 +196,17 @@ class Retriever:
     def candidates(self, terms: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
         """(window, its place in the array, number of the item among those of the window, cosine) of pairs with at least LEAST_COSINE."""
         blocks = self.vectors[terms].reshape(-1, BLOCK, RANK).sum(axis=1)
-        running = np.concatenate([np.zeros((1, RANK)), np.cumsum(blocks, axis=0, dtype=np.float64)])
-        for w, units in self.units.items():
-            span = w // BLOCK
-            at = np.arange(0, len(blocks), max(1, span // 4))
-            z = (running[np.minimum(at + span, len(blocks))] - running[at]).astype(np.float32)
-            z /= np.maximum(np.sqrt((z * z).sum(axis=1, keepdims=True)), 1e-12)
+        spans = {1: np.concatenate([blocks, np.zeros((max(self.units, default=1) // BLOCK, RANK), np.float32)])}
+        for w, units in sorted(self.units.items()):
+            at = np.arange(0, len(blocks), max(1, w // BLOCK // 4))
+            z = span_sums(spans, w // BLOCK)[at]
+            length = LEAST_COSINE * np.maximum(np.sqrt(np.einsum("ij,ij->i", z, z)), 1e-12)[:, None]
             for first in range(0, units.shape[1], 4096):
-                cosines = z @ units[:, first : first + 4096]
-                for k, j in zip(*np.nonzero(cosines >= LEAST_COSINE), strict=True):
-                    yield w, int(at[k]) * BLOCK, first + int(j), float(cosines[k, j])
+                products = z @ units[:, first : first + 4096]
+                for k, j in zip(*np.nonzero(products >= length), strict=True):
+                    yield w, int(at[k]) * BLOCK, first + int(j), float(products[k, j] / length[k, 0] * LEAST_COSINE)
 
-    def leaks(self, texts: list[list[str]], memo: Memo) -> list[tuple[int, int, float, int, float, float]]:
+    def leaks(self, texts: list[list[str]], memo: Terms) -> list[tuple[int, int, float, int, float, float]]:
         """(text, item_id, cosine, common words, cover, answer's cover), one for each contaminated text and item."""
         found: dict[tuple[int, int], tuple[float, int, float, float]] = {}
         widest = max(self.units, default=SMALLEST)
@@ -200,7 +225,7 @@ class Retriever:
                     if found.get((k, item.item_id), (0, 0, 0, 0))[2] == 1 or (tag := (k, item.item_id, s + low)) in done:
                         continue
                     done.add(tag)
-                    region = texts[k][s + low : s + high]
+                    region = words(" ".join(texts[k][s + low : s + high]))
                     if sum(map(set(region).__contains__, item.tokens)) < LEAST_COVER * item.n:  # no more words than that can be common
                         continue
                     common = common_length(item.masks, item.n, region)
@@ -232,10 +257,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def search(source, shared=shared):
             rows, vectors = shared.value
-            retriever, memo = Retriever(rows, vectors), Memo()
+            retriever, memo = Retriever(rows, vectors), Terms()
             for batch in source:
                 raw = batch.column(1).to_pylist()
-                hits = [(a + h[0], *h[1:]) for a, b in portions(raw) if rows for h in retriever.leaks([words(t) if t else [] for t in raw[a:b]], memo)]
+                hits = [(a + h[0], *h[1:]) for a, b in portions(raw) if rows for h in retriever.leaks([split(t) for t in raw[a:b]], memo)]
                 ids = batch.column(0).to_pylist()
                 yield pa.RecordBatch.from_arrays(
                     [
