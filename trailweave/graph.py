@@ -48,7 +48,7 @@ class PathGraph:
             n = self.numbered(name)
             found = [] if n is None else self.vertices.where(F.col("id") == n).select("id").take(1)
         else:
-            found = self.vertices.where(F.col("name") == name).select("id").take(1)
+            found = self.vertices.where(F.col("name") == name).orderBy(F.desc("id")).select("id").take(1)
         return found[0]["id"] if found else None
 
     def node_name(self, node: int) -> str | None:
