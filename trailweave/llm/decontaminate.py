@@ -72,6 +72,25 @@ def chunked(texts: list[list[str]], memo: Terms, unit: int, overlap: int) -> Ite
         yield np.concatenate(arrays), parts
 
 
+LANE = 21  # bits: a passage adds at most PASSAGE to a column, a chunk has CHUNK // PASSAGE of them, and their product is below 2 ** (LANE - 1)
+
+
+def packed(y: np.ndarray) -> np.ndarray:
+    """The columns of y (n, RANK), three to a number, as (lanes, n): sums of such numbers hold the sums of the three."""
+    lanes = np.zeros((len(y), -(-RANK // 3), 3), np.int64)
+    lanes.reshape(len(y), -1)[:, :RANK] = y
+    return np.ascontiguousarray((lanes[:, :, 0] + (lanes[:, :, 1] << LANE) + (lanes[:, :, 2] << 2 * LANE)).T)
+
+
+def unpacked(x: np.ndarray) -> np.ndarray:
+    """What `packed` packed, or sums of it, as (n, RANK)."""
+    half = 1 << (LANE - 1)
+    low = ((x + half) & (2 * half - 1)) - half
+    x = (x - low) >> LANE
+    middle = ((x + half) & (2 * half - 1)) - half
+    return np.stack([low, middle, (x - middle) >> LANE], axis=2).transpose(1, 0, 2).reshape(x.shape[1], -1)[:, :RANK]
+
+
 def sketch(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     """One distributed pass over all passages C (rows with 1 for each term that occurs): C'(C Ω), the passages that have each term, and the number of passages.
 
@@ -95,8 +114,7 @@ def sketch(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
                 term = flat[order]
                 ends = np.flatnonzero(np.concatenate([term[1:] != term[:-1], [True]]))
                 there = term[ends]
-                running = np.cumsum(np.ascontiguousarray(y.T)[:, order // PASSAGE], axis=1, dtype=np.int32)[:, ends]
-                total[there, :RANK] += np.diff(running, axis=1, prepend=np.int32(0)).T
+                total[there, :RANK] += unpacked(np.diff(np.cumsum(np.take(packed(y), order // PASSAGE, axis=1), axis=1)[:, ends], axis=1, prepend=0))
                 total[there, RANK] += np.diff(ends, prepend=-1)
         rows = TERMS // PARTS
         blobs = [total[k * rows : (k + 1) * rows].astype(np.int32).tobytes() for k in range(PARTS)] if passages else []
@@ -195,16 +213,19 @@ class Retriever:
 
     def candidates(self, terms: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
         """(window, its place in the array, number of the item among those of the window, cosine) of pairs with at least LEAST_COSINE."""
-        blocks = self.vectors[terms].reshape(-1, BLOCK, RANK).sum(axis=1)
+        four = self.vectors[terms].reshape(-1, BLOCK, RANK)
+        blocks = four[:, 0].copy()
+        for k in range(1, BLOCK):
+            blocks += four[:, k]
         spans = {1: np.concatenate([blocks, np.zeros((max(self.units, default=1) // BLOCK, RANK), np.float32)])}
         for w, units in sorted(self.units.items()):
-            at = np.arange(0, len(blocks), max(1, w // BLOCK // 4))
-            z = span_sums(spans, w // BLOCK)[at]
+            step = max(1, w // BLOCK // 4)
+            z = span_sums(spans, w // BLOCK)[: len(blocks) : step]
             length = LEAST_COSINE * np.maximum(np.sqrt(np.einsum("ij,ij->i", z, z)), 1e-12)[:, None]
             for first in range(0, units.shape[1], 4096):
                 products = z @ units[:, first : first + 4096]
-                for k, j in zip(*np.nonzero(products >= length), strict=True):
-                    yield w, int(at[k]) * BLOCK, first + int(j), float(products[k, j] / length[k, 0] * LEAST_COSINE)
+                for k, j in (divmod(x, products.shape[1]) for x in np.flatnonzero(products >= length).tolist()):
+                    yield w, k * step * BLOCK, first + j, float(products[k, j] / length[k, 0] * LEAST_COSINE)
 
     def leaks(self, texts: list[list[str]], memo: Terms) -> list[tuple[int, int, float, int, float, float]]:
         """(text, item_id, cosine, common words, cover, answer's cover), one for each contaminated text and item."""
