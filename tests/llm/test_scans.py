@@ -1,0 +1,269 @@
+"""Secrets, licences, benchmark passages, quality, languages, URLs and mixing."""
+
+import random
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from trailweave.llm import decontaminate as D
+from trailweave.llm import language_id as L
+from trailweave.llm import license_scan as C
+from trailweave.llm import mix_sources as M
+from trailweave.llm import quality as Q
+from trailweave.llm import secret_scan as S
+from trailweave.llm import url_filter as U
+from trailweave.llm.common import table, words
+
+SF = "/root/testdata/sf0.001"
+DOC = "doc_id long, text string"
+
+
+def frame(spark, rows, schema=DOC):
+    return spark.createDataFrame(rows, schema)
+
+
+def rows_of(df, *names):
+    return sorted(tuple(r[n] for n in names) for r in df.collect())
+
+
+SECRET = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+
+
+def test_secrets_are_found_and_ordinary_strings_are_not():
+    for text in (f'token = "{SECRET}"', "AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzq81KEY", 'const apiKey = "sk_live_9aF3kQz81LmNp0Xy"', f'x token = "{SECRET}" y token = "{SECRET}"'):
+        assert S.found(text), text
+    for text in ('api_key = "your_api_key_here_please"', "password: changeme_changeme", 'token = "xxxxxxxxxxxxxxxxxxxxxxxxxxxx"', "token: tokenization_implementation", f"commit {SECRET}", "the secret of everything", ""):
+        assert not S.found(text), text
+
+
+def test_secret_rows_and_redaction(spark):
+    text = f'ab token = "{SECRET}" cd'
+    rows = [(1, text, "n"), (2, text, "n"), (3, None, "n"), (4, "", "n"), (None, text, "n"), (5, "plain", "n"), (6, "word " * 100_000 + text, "n")]
+    docs = frame(spark, rows, DOC + ", start string").withColumn("n_chars", F.length("text").cast("long"))
+    found = S.scan(docs).collect()
+    assert sorted((r["doc_id"] or 0) for r in found) == [0, 1, 2, 6]
+    assert {(r["start"], r["length"], r["name"]) for r in found if r["doc_id"] == 1} == {(12, 40, "token")}
+    assert SECRET not in str(found)
+    clean = {r["doc_id"]: r for r in S.redact(spark, docs, "").collect()}
+    assert len(clean) == 7 and clean[1]["text"] == 'ab token = "<secret>" cd' and clean[1]["n_chars"] == len(clean[1]["text"])
+    assert clean[5]["text"] == "plain" and clean[3]["text"] is None and clean[4]["text"] == ""
+    assert S.redact(spark, docs, "").columns == docs.columns
+    assert S.scan(docs.where("false")).count() == 0
+
+
+def test_automaton_is_the_brute_force_matching_statistics():
+    rng = random.Random(4)
+    for _ in range(60):
+        seqs = [[rng.randrange(1, 4) for _ in range(rng.randint(1, 12))] for _ in range(rng.randint(1, 4))]
+        subs = {tuple(s[i:j]) for s in seqs for i in range(len(s)) for j in range(i + 1, len(s) + 1)}
+        text = [rng.randrange(1, 5) for _ in range(25)]
+        best = [max((n for n in range(k + 2) if n == 0 or tuple(text[k + 1 - n : k + 1]) in subs), default=0) for k in range(len(text))]
+        want = [(k + 1, n) for k, n in enumerate(best) if n and (k + 1 == len(text) or best[k + 1] != n + 1)]
+        auto = C.Automaton(seqs)
+        found = auto.matches(text, 1)
+        assert [(stop, n) for stop, n, _ in found] == want
+        for stop, n, state in found:
+            ends = {(k, j) for k, s in enumerate(seqs) for j in range(n - 1, len(s)) if s[j - n + 1 : j + 1] == text[stop - n : stop]}
+            assert auto.ends[state] == ends
+
+
+def test_licences(spark):
+    mit = " ".join(C.TEMPLATES["MIT"][3:])
+    changed = mit.replace("Software", "program", 2)
+    rows = [(1, "words here\nReleased under the MIT License."), (2, f"x {mit} y"), (3, changed), (4, "All rights reserved."), (5, None), (6, ""), (7, "the license of the software and the copy"), (None, "Licensed under CC BY-NC 4.0."), (8, "filler " * 50_000 + C.TEMPLATES["Apache-2.0"][1])]
+    found = rows_of(C.scan(frame(spark, rows).withColumn("cover", F.lit(1))).fillna({"doc_id": 0}), "doc_id", "licence")
+    assert sorted(set(found)) == [(0, "CC-BY-NC-4.0"), (1, "MIT"), (2, "MIT"), (3, "MIT"), (4, "All-Rights-Reserved"), (8, "Apache-2.0")]
+    one = C.scan(frame(spark, rows[:1])).first()
+    assert (one["start_word"], one["end_word"], one["cover"]) == (2, 7, 1.0)
+    assert C.scan(frame(spark, []), {}).count() == 0
+
+
+@pytest.fixture(scope="module")
+def language_sample(spark):
+    return L.labelled_sample(table(spark, "/root/testdata/sf0.01", "documents"))
+
+
+def test_language_accuracy(spark, language_sample):
+    rng = random.Random(1)
+    rng.shuffle(language_sample)
+    test, train = language_sample[:150], language_sample[150:]
+    field = L.fit(train)
+    out = L.verdicts(field, [t for _, t in test], [lang for lang, _ in test])
+    assert np.mean([a == lang for a, (lang, t) in zip(out["language"], test, strict=True) if len(words(t)) > 5]) >= 0.97
+    pieces = {lang: words(t) for lang, t in test if len(words(t)) > 60}
+    mixed = [w for lang in sorted(pieces) for w in pieces[lang][:60]]
+    truth = [lang for lang in sorted(pieces) for _ in range(60)]
+    at, rows = field.rows_of([" ".join(mixed)])
+    labels = [field.labels[k] for k in field.posteriors(at, rows).argmax(axis=1)]
+    assert np.mean([a == b for a, b in zip(labels, truth, strict=True)]) >= 0.9
+    assert L.verdicts(field, [" ".join(mixed)], [None])["switches"][0] >= len(pieces) - 1
+
+
+def test_forward_backward_is_the_sum_over_all_labellings():
+    rng = np.random.default_rng(0)
+    sizes = np.array([3, 1, 4])
+    e, moves, first = rng.uniform(0.1, 1, (8, 3)), rng.uniform(0.1, 1, (3, 3)), rng.uniform(0.1, 1, 3)
+    alpha, beta, _ = L.flows(e, np.array([0, 3, 4]), sizes, moves, first)
+    p = alpha * beta
+    p /= p.sum(axis=1, keepdims=True)
+    for start, n in ((0, 3), (3, 1), (4, 4)):
+        want = np.zeros((n, 3))
+        for y in np.ndindex(*[3] * n):
+            weight = first[y[0]] * np.prod([e[start + t, y[t]] for t in range(n)]) * np.prod([moves[y[t - 1], y[t]] for t in range(1, n)])
+            for t in range(n):
+                want[t, y[t]] += weight
+        assert np.allclose(p[start : start + n], want / want.sum(axis=1, keepdims=True))
+
+
+def test_language_rows(spark, language_sample):
+    field = L.fit(language_sample)
+    english = next(t for lang, t in language_sample if lang == "en" and len(words(t)) > 100)
+    rows = [(1, english, "en"), (2, english, "de"), (3, english, None), (4, None, "en"), (5, "", "en"), (6, "?!", None), (None, english, "en"), (7, "a b", "fr"), (8, english * 200, "xx")]
+    docs = frame(spark, rows, DOC + ", lang string").withColumn("language", F.lit(5))
+    found = {r["doc_id"]: r for r in L.identify(docs, field).collect()}
+    assert {k for k, r in found.items() if r["accepted"]} == {1, 3, None, 7, 8}
+    assert found[2]["language"] == "en" and found[4]["language"] is None and found[4]["n_words"] == 0
+    assert all(not r["accepted"] for r in L.identify(docs, None).collect())
+    assert L.train(docs.where("false")) is None
+    kept = L.keep_accepted(spark, table(spark, SF, "documents"), SF)
+    assert kept.columns == table(spark, SF, "documents").columns and kept.count() >= 190
+
+
+def test_decontamination(spark):
+    docs, benchmark = table(spark, SF, "documents"), table(spark, SF, "benchmark")
+    texts = {r["doc_id"]: words(r["text"]) for r in docs.collect()}
+    items = {r["item_id"]: words(r["text"]) for r in benchmark.collect()}
+    want = {(d, i) for d, t in texts.items() for i, x in items.items() if len(x) >= D.LEAST_ITEM and f" {' '.join(x)} " in f" {' '.join(t)} "}
+    found = {(r["doc_id"], r["item_id"]) for r in D.leaks(docs, benchmark).collect()}
+    assert want and len(want & found) >= 0.9 * len(want)
+    for d, i in found:  # each is a true one: brute force over all windows
+        masks = {}
+        for k, w in enumerate(items[i]):
+            masks[w] = masks.get(w, 0) | 1 << k
+        n = len(items[i])
+        assert max(D.common_length(masks, n, texts[d][s : s + 4 * n]) for s in range(0, len(texts[d]), n)) >= D.LEAST_COVER * n
+
+
+def test_decontamination_of_reworded_and_odd_rows(spark):
+    rng = random.Random(0)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(3000)]
+    make = lambda n: [rng.choice(vocab) for _ in range(n)]
+    item = make(40)
+    reworded = [w if rng.random() > 0.15 else rng.choice(vocab) for w in item]
+    rows = [(k, " ".join(make(300))) for k in range(80)]
+    rows += [(100, " ".join(make(200) + item + make(200))), (101, " ".join(make(90) + reworded + make(50))), (102, None), (103, ""), (104, " ".join(make(90_000) + item + make(9000))), (None, " ".join(item)), (105, " ".join(item)), (105, " ".join(item))]
+    benchmark = frame(spark, [(1, " ".join(item)), (2, None), (3, "short one"), (None, " ".join(item)), (4, " ".join(item))], "item_id long, text string")
+    found = sorted((r["doc_id"] or -1, r["item_id"]) for r in D.leaks(frame(spark, rows).withColumn("item_id", F.lit("x")), benchmark).collect())
+    assert found == [(d, i) for d in (-1, 100, 101, 104, 105, 105) for i in (1, 4)] or sorted(found) == sorted([(d, i) for d in (-1, 100, 101, 104, 105, 105) for i in (1, 4)])
+    assert D.leaks(frame(spark, []), benchmark).count() == 0
+    assert D.leaks(frame(spark, rows[:3]), benchmark.where("false")).count() == 0
+
+
+def test_rounds_of_items_change_nothing(spark, monkeypatch):
+    docs, benchmark = table(spark, SF, "documents"), table(spark, SF, "benchmark")
+    a = rows_of(D.leaks(docs, benchmark), "doc_id", "item_id")
+    monkeypatch.setattr(D, "ITEMS", 15)
+    assert rows_of(D.leaks(docs, benchmark), "doc_id", "item_id") == a
+
+
+def test_sketch_is_the_dense_product(spark):
+    docs = table(spark, SF, "documents").limit(20)
+    gram, there, passages = D.sketch(docs)
+    memo, rows = D.Terms(), []
+    for r in docs.collect():
+        terms = memo.array(D.split(r["text"]))
+        for k in range(0, len(terms), D.PASSAGE):
+            row = np.zeros(D.TERMS + 1)
+            row[terms[k : k + D.PASSAGE]] = 1
+            rows.append(row[:-1])
+    c = np.array(rows)
+    assert passages == len(c) and (there == c.sum(axis=0)).all()
+    assert (gram == c.T @ (c @ D.test_matrix().astype(float))).all()
+
+
+def test_common_length():
+    rng = random.Random(2)
+    for _ in range(200):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(1, 15))] for _ in range(2))
+        masks = {}
+        for k, w in enumerate(a):
+            masks[w] = masks.get(w, 0) | 1 << k
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        assert D.common_length(masks, len(a), b) == t[-1][-1]
+
+
+def test_quality_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    rows, good = Q.sample(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    judge = Q.train([r for k, r in enumerate(rows) if k % 2], good)
+    held = [(judge.score(t), q) for k, (q, t) in enumerate(rows) if not k % 2]
+    better = [a > b for a, p in held if p for b, q in held if not q]
+    assert np.mean(better) >= 0.85
+    assert np.mean([s >= Q.KEEP for s, q in held if q]) >= 0.97
+
+
+def test_quality_odd_rows(spark):
+    good, bad = ["plain words of good prose " * 9] * 5, ["$$$ %%% ### !!! " * 9] * 5
+    judge = Q.train([(1, t) for t in good] + [(0, t) for t in bad])
+    docs = frame(spark, [(1, good[0]), (2, bad[0]), (3, None), (4, ""), (None, good[0] * 3000)]).withColumn("score", F.lit("x"))
+    found = {r["doc_id"]: (r["score"] is None, r["keep"]) for r in Q.classify(docs, judge).collect()}
+    assert found == {1: (False, True), 2: (False, False), 3: (True, False), 4: (True, False), None: (False, True)}
+    assert Q.train([(1, "a")]) is None
+    assert {r["keep"] for r in Q.classify(docs.where("doc_id = 1"), None).collect()} == {True}
+    labels = frame(spark, [(1, 1), (1, 0), (2, None)], "doc_id long, quality int")
+    assert Q.sample(docs, labels) == ([], 0.5)
+
+
+def test_urls(spark):
+    rows = [(k, f"https://news{k % 7}.example.org/en/{k}.html") for k in range(150)] + [(1000 + k, f"http://casino-win{k % 3}.example.com/en/{k}") for k in range(40)]
+    rows += [(2000, "http://casinowins.example.net/en/5"), (2001, None), (2002, ""), (2003, "  "), (2004, "https://news1.example.org/en/" + "a" * 20_000), (None, "https://news2.example.org/en/3.html")]
+    pages = frame(spark, rows, "page_id long, url string").withColumn("score", F.lit("x"))
+    found = {r["page_id"]: r for r in U.filtered(pages).collect()}
+    assert len(found) == len(rows)
+    assert not any(found[k]["keep"] for k in (*range(1000, 1040), 2000, 2001, 2002, 2003))
+    assert sum(found[k]["keep"] for k in range(150)) >= 148 and found[None]["keep"]
+    assert U.filtered(pages.where("false")).count() == 0
+
+
+def test_url_counts_are_the_brute_force_ones(spark):
+    urls = ["http://a.b/c", "https://casino.x/yy", "http://a.b/cd"]
+    counts = U.count(frame(spark, [(1, u) for u in urls], "page_id long, url string"))
+    for kind in (0, 1):
+        of = [U.usable(u) for u in urls if U.is_rejected(U.host_of(u)) == bool(kind)]
+        _, contexts, pairs = U.cells(of)
+        for got, slots in zip(counts[kind], (contexts, pairs), strict=True):
+            want = np.zeros(U.SLOTS, int)
+            np.add.at(want, slots.reshape(-1), 1)
+            assert (got == want).all()
+    assert counts[0].sum() == 2 * 7 * (len(b"a.b/c") + len(b"a.b/cd") + 2)
+
+
+def test_mix_against_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.execute(M.ORACLE)
+    names = [d[0] for d in want.description]
+    assert rows_of(M.op4_mix_sources(spark, SF), *names) == sorted(want.fetchall())
+
+
+def test_mix_weights_and_odd_rows(spark):
+    rows = [(k, "x" * 100, "a") for k in range(200)] + [(500 + k, "y" * 50, "b") for k in range(100)] + [(900, None, None), (901, "", "empty"), (None, "zz", "a"), (7, "x" * 100, "a"), (7, "x" * 100, "a")]
+    docs = frame(spark, rows, DOC + ", source string").withColumn("copy", F.lit("clash")).withColumn("unit", F.lit(0))
+    found = M.mix_sources(docs, {"a": 1, "b": 3, "none": 5}, 10_000).collect()
+    chars = {s: sum(100 if s == "a" else 50 for r in found if r["source"] == s) for s in ("a", "b")}
+    assert abs(chars["a"] - 2500) <= 200 and abs(chars["b"] - 7500) <= 100
+    copies = {}
+    for r in found:
+        if r["source"] == "b":
+            copies[r["doc_id"]] = copies.get(r["doc_id"], 0) + 1
+    assert set(copies.values()) <= {1, 2}
+    assert not [r for r in found if r["source"] in (None, "empty")]
+    mixed = M.training_mix(spark, docs, "")
+    assert mixed.columns == ["doc_id", "text", "source", "unit", "copy"]
+    assert mixed.count() == M.mix_sources(docs).count()
+    assert M.mix_sources(docs.where("false")).count() == 0
