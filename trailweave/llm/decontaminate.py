@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, portions, table, words
+from .common import table, words
 
 TERMS = 1 << 14  # hashed terms, the columns of the TF-IDF matrix
 RANK = 64  # of the randomised singular value decomposition
@@ -31,32 +33,40 @@ def test_matrix() -> np.ndarray:
     return np.random.default_rng(12345).integers(0, 2, (TERMS, RANK), dtype=np.int8) * 2 - 1
 
 
-class Terms(dict):
-    """Token to hashed term: that of the token's words run together, or TERMS for a token without any. Emptied when it holds `most` tokens, which changes no result."""
+def portions(texts: pa.Array, most: int = 6_000_000) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts of about `most` bytes together, so that a batch's tokens aren't all held at once."""
+    sizes = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy())
+    start = 0
+    while start < len(sizes):
+        stop = int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + most)) + 1
+        yield start, min(stop, len(sizes))
+        start = stop
 
-    most = 1_000_000
 
-    def __missing__(self, token: str) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        bare = token if token.isalnum() else "".join(words(token))
-        value = self[token] = xxhash.xxh64_intdigest(bare) & (TERMS - 1) if bare else TERMS
-        return value
+def terms_of(tokens: pa.Array) -> np.ndarray:
+    """The hashed term of each token: that of its letters, digits and underscores, or TERMS for a token without any."""
+    bare = pc.replace_substring_regex(tokens, r"[^\pL\pN_]+", "").to_numpy(zero_copy_only=False)
+    hashes = pd.util.hash_array(bare, categorize=False) & np.uint64(TERMS - 1)
+    return np.where(bare == "", TERMS, hashes.astype(np.int32)).astype(np.int32)
 
-    def array(self, tokens: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, tokens), np.int32, len(tokens))
 
+def split(texts: pa.Array) -> tuple[list[np.ndarray], pa.ListArray]:
+    """Of each text, the terms of its lower-case tokens between white space, and the tokens; a null text has none. Each distinct token is hashed once."""
+    lists = pc.utf8_split_whitespace(pc.utf8_lower(texts.fill_null("")))
+    coded = lists.flatten().dictionary_encode()
+    terms = terms_of(coded.dictionary)[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int32)
+    offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+    return [terms[a:b] for a, b in itertools.pairwise(offsets.tolist())], lists
 
-def split(text: str | None) -> list[str]:
-    """Lower-case tokens between white space."""
-    return text.lower().split() if text else []
 
+def item_terms(text: str) -> np.ndarray:
+    return split(pa.array([text], pa.string()))[0][0]
 
-def chunked(texts: list[list[str]], memo: Terms, unit: int, overlap: int) -> Iterator[tuple[np.ndarray, list[tuple[int, int, int, int]]]]:
-    """The terms of the texts in arrays of about CHUNK, each text's part filled up to a multiple of `unit` with TERMS, and the parts: (text, its first word, place in the array, words). Texts beyond CHUNK are cut in parts that overlap."""
+
+def chunked(texts: list[np.ndarray], unit: int, overlap: int) -> Iterator[tuple[np.ndarray, list[tuple[int, int, int, int]]]]:
+    """The texts' terms in arrays of about CHUNK, each text's part filled up to a multiple of `unit` with TERMS, and the parts: (text, its first token, place in the array, tokens). Texts beyond CHUNK are cut in parts that overlap."""
     arrays, parts, at = [], [], 0
-    for k, tokens in enumerate(texts):
-        terms = memo.array(tokens)
+    for k, terms in enumerate(texts):
         for s in range(0, max(1, len(terms) - overlap), CHUNK - overlap):
             part = terms[s : s + CHUNK]
             if not len(part):
@@ -101,10 +111,10 @@ def sketch(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     def read(source):
         omega = np.concatenate([test_matrix(), np.zeros((1, RANK), np.int8)])
         total = np.zeros((TERMS + 1, width), np.int64)
-        passages, memo = 0, Terms()
+        passages = 0
         for batch in source:
-            raw = batch.column(0).to_pylist()
-            for terms, _ in (x for a, b in portions(raw) for x in chunked([split(t) for t in raw[a:b]], memo, PASSAGE, 0)):
+            text = batch.column(0)
+            for terms, _ in (x for a, b in portions(text) for x in chunked(split(text[a:b])[0], PASSAGE, 0)):
                 passages += len(terms) // PASSAGE
                 by_row = np.sort(terms.reshape(-1, PASSAGE), axis=1)
                 by_row[:, 1:][by_row[:, 1:] == by_row[:, :-1]] = TERMS  # a term counts once in a passage
@@ -198,7 +208,7 @@ class Retriever:
     """Items of a round, by window, with their unit vectors."""
 
     def __init__(self, rows: list[tuple[int, str]], vectors: np.ndarray):
-        self.vectors, memo = vectors, Terms()
+        self.vectors = vectors
         self.items: dict[int, list[Item]] = {}
         self.units: dict[int, np.ndarray] = {}
         places: dict[int, list[np.ndarray]] = {}
@@ -206,7 +216,7 @@ class Retriever:
             tokens = words(text)
             item = Item(item_id, tokens)
             self.items.setdefault(item.window, []).append(item)
-            places.setdefault(item.window, []).append(vectors[memo.array(split(text))].sum(axis=0, dtype=np.float64))
+            places.setdefault(item.window, []).append(vectors[item_terms(text)].sum(axis=0, dtype=np.float64))
         for w, p in places.items():
             stack = np.array(p)
             self.units[w] = (stack / np.maximum(np.linalg.norm(stack, axis=1, keepdims=True), 1e-12)).astype(np.float32).T.copy()
@@ -227,11 +237,11 @@ class Retriever:
                 for k, j in (divmod(x, products.shape[1]) for x in np.flatnonzero(products >= length).tolist()):
                     yield w, k * step * BLOCK, first + j, float(products[k, j] / length[k, 0] * LEAST_COSINE)
 
-    def leaks(self, texts: list[list[str]], memo: Terms) -> list[tuple[int, int, float, int, float, float]]:
+    def leaks(self, texts: list[np.ndarray], tokens: pa.ListArray) -> list[tuple[int, int, float, int, float, float]]:
         """(text, item_id, cosine, common words, cover, answer's cover), one for each contaminated text and item."""
         found: dict[tuple[int, int], tuple[float, int, float, float]] = {}
         widest = max(self.units, default=SMALLEST)
-        for terms, parts in chunked(texts, memo, BLOCK, 2 * widest):
+        for terms, parts in chunked(texts, BLOCK, 2 * widest):
             begins = np.array([p[2] for p in parts])
             done: set[tuple[int, int, int]] = set()
             for w, at, j, cosine in self.candidates(terms):
@@ -246,7 +256,7 @@ class Retriever:
                     if found.get((k, item.item_id), (0, 0, 0, 0))[2] == 1 or (tag := (k, item.item_id, s + low)) in done:
                         continue
                     done.add(tag)
-                    region = words(" ".join(texts[k][s + low : s + high]))
+                    region = words(" ".join(tokens[k].values[s + low : s + high].to_pylist()))
                     if sum(map(set(region).__contains__, item.tokens)) < LEAST_COVER * item.n:  # no more words than that can be common
                         continue
                     common = common_length(item.masks, item.n, region)
@@ -278,10 +288,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def search(source, shared=shared):
             rows, vectors = shared.value
-            retriever, memo = Retriever(rows, vectors), Terms()
+            retriever = Retriever(rows, vectors)
             for batch in source:
-                raw = batch.column(1).to_pylist()
-                hits = [(a + h[0], *h[1:]) for a, b in portions(raw) if rows for h in retriever.leaks([split(t) for t in raw[a:b]], memo)]
+                text = batch.column(1)
+                hits = [(a + h[0], *h[1:]) for a, b in portions(text) if rows for h in retriever.leaks(*split(text[a:b]))]
                 ids = batch.column(0).to_pylist()
                 yield pa.RecordBatch.from_arrays(
                     [
