@@ -171,9 +171,9 @@ def test_rounds_of_items_change_nothing(spark, monkeypatch):
 def test_sketch_is_the_dense_product(spark):
     docs = table(spark, SF, "documents").limit(20)
     gram, there, passages = D.sketch(docs)
-    memo, rows = D.Terms(), []
+    rows = []
     for r in docs.collect():
-        terms = memo.array(D.split(r["text"]))
+        terms = D.item_terms(r["text"] or "")
         for k in range(0, len(terms), D.PASSAGE):
             row = np.zeros(D.TERMS + 1)
             row[terms[k : k + D.PASSAGE]] = 1
