@@ -34,7 +34,7 @@ def numbered(name: str) -> int | None:
 
 
 def label_table(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
-    """(src, dst) of one label, without repeats."""
+    """(src, dst) of one label; repeats are left in."""
 
     def t(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -44,16 +44,16 @@ def label_table(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
 
     match label:
         case "placed_by":
-            return edges(t("orders"), node("orders", F.col("o_orderkey")), node("customer", F.col("o_custkey"))).distinct()
+            return edges(t("orders"), node("orders", F.col("o_orderkey")), node("customer", F.col("o_custkey")))
         case "in_nation":
             a = edges(t("customer"), node("customer", F.col("c_custkey")), node("nation", F.col("c_nationkey")))
-            return a.union(edges(t("supplier"), node("supplier", F.col("s_suppkey")), node("nation", F.col("s_nationkey")))).distinct()
+            return a.union(edges(t("supplier"), node("supplier", F.col("s_suppkey")), node("nation", F.col("s_nationkey"))))
         case "in_region":
-            return edges(t("nation"), node("nation", F.col("n_nationkey")), node("region", F.col("n_regionkey"))).distinct()
+            return edges(t("nation"), node("nation", F.col("n_nationkey")), node("region", F.col("n_regionkey")))
         case "contains":
-            return edges(t("lineitem"), node("orders", F.col("l_orderkey")), node("part", F.col("l_partkey"))).distinct()
+            return edges(t("lineitem"), node("orders", F.col("l_orderkey")), node("part", F.col("l_partkey")))
         case "supplied_by":
-            return edges(t("lineitem"), node("part", F.col("l_partkey")), node("supplier", F.col("l_suppkey"))).distinct()
+            return edges(t("lineitem"), node("part", F.col("l_partkey")), node("supplier", F.col("l_suppkey")))
         case "reply":
             order = Window.partitionBy("conv_id").orderBy("turn")
             turns = t("conversations").select("conv_id", "turn").distinct().withColumn("after", F.lead("turn").over(order))
@@ -82,4 +82,4 @@ def table_graph(spark: SparkSession, sf_dir: str, labels: Iterable[str]) -> Path
         part = label_table(spark, sf_dir, label).select("src", F.lit(label).alias("label"), "dst")
         edges = part if edges is None else edges.union(part)
     ids = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).distinct()
-    return PathGraph(edges, ids.select("id", named(F.col("id")).alias("name")), named=named, known_labels=frozenset(labels), numbered=numbered)
+    return PathGraph(edges, ids.select("id", named(F.col("id")).alias("name")), named=named, known_labels=frozenset(labels), numbered=numbered, unique=False)

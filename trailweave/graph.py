@@ -16,9 +16,9 @@ EDGE_SCHEMA = "source string not null, label string not null, target string not
 
 @dataclass(frozen=True)
 class PathGraph:
-    """A directed graph: `edges` (src, label, dst), without repeats, and `vertices` (id, name), which may have vertices without an edge.
+    """A directed graph: `edges` (src, label, dst) and `vertices` (id, name), which may have vertices without an edge.
 
-    `named` and `numbered`, if given, turn ids into names and back without a join.
+    If `edges` may have repeats, `unique` is false; operators then drop them once, at their end. `named` and `numbered`, if given, turn ids into names and back without a join.
     """
 
     edges: DataFrame
@@ -26,6 +26,7 @@ class PathGraph:
     named: Callable[[Column], Column] | None = None
     known_labels: frozenset[str] | None = None
     numbered: Callable[[str], int | None] | None = field(default=None)
+    unique: bool = True
 
     @property
     def spark(self) -> SparkSession:
@@ -62,7 +63,8 @@ class PathGraph:
         return len(self.labels)
 
     def num_edges(self, label: str) -> int:
-        return self.label_edges(label).count()
+        pairs = self.label_edges(label)
+        return (pairs if self.unique else pairs.distinct()).count()
 
     def with_names(self, df: DataFrame, *columns: str) -> DataFrame:
         """`df` with names in place of the ids in `columns`."""

@@ -16,7 +16,7 @@ from .fixpoint import transitive
 
 
 class Lowering:
-    """Path expressions to DataFrames (s, t) without repeats. Equal parts are lowered once for the same sources."""
+    """Path expressions to DataFrames (s, t), without repeats unless they are a label of a graph whose edges have some. Equal parts are lowered once for the same sources."""
 
     def __init__(self, graph: PathGraph, turned: bool = False):
         self.graph, self.turned = graph, turned
@@ -83,6 +83,8 @@ class Prepared:
             found = turned.select(F.col("t").alias("s"), F.col("s").alias("t"))
         else:
             found = Lowering(self.graph).lower(self.path)
+        if isinstance(self.path, Label) and not self.graph.unique:  # all other forms drop repeats themselves
+            found = found.distinct()
         return Pairs(self.graph, found)
 
 
