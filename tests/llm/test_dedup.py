@@ -174,8 +174,11 @@ def brute_repeats(rows, depth):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("seed", "depth", "few"), [(1, 50, 9999), (2, 12, 9999), (3, 12, 3), (4, 5, 2)])
-def test_repeated_passages_are_the_brute_force_result(spark, seed, depth, few):
+@pytest.mark.parametrize(("seed", "depth", "few", "hot"), [(1, 50, 9999, None), (2, 12, 9999, None), (3, 12, 3, None), (4, 5, 2, None), (2, 12, 9999, 0), (3, 12, 3, 5), (4, 5, 2, 40)])
+def test_repeated_passages_are_the_brute_force_result(spark, monkeypatch, seed, depth, few, hot):
+    if hot is not None:  # digits with more rows are worked on batch by batch
+        monkeypatch.setattr(R, "HOT", hot)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     rng = random.Random(seed)
     vocab = vocabulary(rng)[:few]
     passages = [[rng.choice(vocab) for _ in range(rng.randint(depth - 2, 3 * depth))] for _ in range(6)]
@@ -190,6 +193,7 @@ def test_repeated_passages_are_the_brute_force_result(spark, seed, depth, few):
     found = R.repeats(spark.createDataFrame(rows, "doc_id long, text string").withColumn("start", F.lit("clash")), depth)
     assert sorted(map(tuple, found.collect())) == brute_repeats(rows, depth)
     assert R.repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_groups_that_span_batches(spark):

@@ -16,6 +16,7 @@ DEPTH = 50  # words through which suffixes are ordered
 DIGIT = 8  # words of a digit
 CHUNK = 1 << 18  # words that are worked on at once
 PLACE_BITS = 26
+HOT = 100_000  # rows of a digit from which its windows are no longer held
 REST = 6  # bytes by which the windows of an equal first digit are told apart
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -90,33 +91,20 @@ def first_digits(docs: DataFrame, depth: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(read, "digit long, doc_id long, start int, windows binary")
 
 
-def later_passes(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-    """Of rows in the order of their digits, the stretches of windows that are equal to another window of their digit: (doc_id, start, stop) in words, stop being the last window's start plus 1."""
-    rows = pa.Table.from_batches(parts).combine_chunks()
-    digit = rows.column("digit").to_numpy()
-    change = np.concatenate([[True], digit[1:] != digit[:-1]])
-    group = np.cumsum(change)
-    several = np.bincount(group)[group] > 1
+def windows_of(rows: pa.Table, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the windows of the rows `keep`: the REST bytes of their hashes as numbers, the place in `keep` of their row, and their place in the row."""
     blobs = rows.column("windows").chunk(0)
     offsets = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1] // REST
-    # equal windows have their least run at the same distance, so they are never in one row, and a digit's only row holds no repeat
-    keep = np.flatnonzero(several)
-    if not len(keep):
-        return None
     sizes = offsets[keep + 1] - offsets[keep]
     raw = np.frombuffer(blobs.buffers()[2], np.uint8)[: offsets[-1] * REST].reshape(-1, REST)
     place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    spread = raw[np.repeat(offsets[keep], sizes) + place]
-    rest = np.zeros((len(spread), 8), np.uint8)
-    rest[:, :REST] = spread
-    rest = rest.view(np.uint64).reshape(-1)
-    of = np.repeat(np.arange(len(keep)), sizes)
-    g = group[keep][of]
-    order = np.lexsort((rest, g))
-    same = (rest[order][1:] == rest[order][:-1]) & (g[order][1:] == g[order][:-1])
-    repeated = np.zeros(len(order), bool)
-    repeated[order[1:][same]] = True
-    repeated[order[:-1][same]] = True
+    rest = np.zeros((len(place), 8), np.uint8)
+    rest[:, :REST] = raw[np.repeat(offsets[keep], sizes) + place]
+    return rest.view(np.uint64).reshape(-1), np.repeat(np.arange(len(keep)), sizes), place
+
+
+def stretches(rows: pa.Table, keep: np.ndarray, of: np.ndarray, place: np.ndarray, repeated: np.ndarray) -> pa.RecordBatch | None:
+    """The repeated windows as stretches (doc_id, start, stop) in words, stop being the last window's start plus 1."""
     hit = np.flatnonzero(repeated)
     if not len(hit):
         return None
@@ -128,26 +116,91 @@ def later_passes(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([ids, pa.array(start.astype(np.int32)), pa.array((start + lengths).astype(np.int32))], names=["doc_id", "start", "stop"])
 
 
+def later_passes(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+    """Of rows in the order of their digits, the stretches of windows that are equal to another window of their digit."""
+    rows = pa.Table.from_batches(parts).combine_chunks()
+    digit = rows.column("digit").to_numpy()
+    group = np.cumsum(np.concatenate([[True], digit[1:] != digit[:-1]]))
+    # equal windows have their least run at the same distance, so they are never in one row, and a digit's only row holds no repeat
+    keep = np.flatnonzero(np.bincount(group)[group] > 1)
+    if not len(keep):
+        return None
+    rest, of, place = windows_of(rows, keep)
+    g = group[keep][of]
+    order = np.lexsort((rest, g))
+    same = (rest[order][1:] == rest[order][:-1]) & (g[order][1:] == g[order][:-1])
+    repeated = np.zeros(len(order), bool)
+    repeated[order[1:][same]] = True
+    repeated[order[:-1][same]] = True
+    return stretches(rows, keep, of, place, repeated)
+
+
+class HotDigit:
+    """The later passes of one digit that has very many rows: they are taken as they come, and only the distinct windows are held."""
+
+    def __init__(self):
+        self.rest, self.start, self.told = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, bool)
+        self.ids = pa.array([], pa.int64())
+
+    def take(self, part: pa.RecordBatch) -> list[pa.RecordBatch]:
+        rows = pa.Table.from_batches([part]).combine_chunks()
+        keep = np.arange(rows.num_rows)
+        rest, of, place = windows_of(rows, keep)
+        values, first, at, count = np.unique(rest, return_index=True, return_inverse=True, return_counts=True)
+        where = np.minimum(np.searchsorted(self.rest, values), max(0, len(self.rest) - 1))
+        known = self.rest[where] == values if len(self.rest) else np.zeros(len(values), bool)
+        late = where[known][~self.told[where[known]]]  # held windows that are now found to be repeated
+        self.told[late] = True
+        out = [pa.RecordBatch.from_arrays([self.ids.take(pa.array(late)), pa.array(self.start[late]), pa.array(self.start[late] + np.int32(1))], names=["doc_id", "start", "stop"])] if len(late) else []
+        if (found := stretches(rows, keep, of, place, ((count > 1) | known)[at])) is not None:
+            out.append(found)
+        new = ~known
+        rest_of = np.concatenate([self.rest, values[new]])
+        order = np.argsort(rest_of, kind="stable")
+        ids = rows.column("doc_id").take(pa.array(of[first[new]])).combine_chunks()
+        self.ids = pa.concat_arrays([self.ids, ids]).take(pa.array(order))
+        self.start = np.concatenate([self.start, (rows.column("start").to_numpy()[of[first[new]]] + place[first[new]]).astype(np.int32)])[order]
+        self.told = np.concatenate([self.told, (count > 1)[new]])[order]
+        self.rest = rest_of[order]
+        return out
+
+
 def repeated_windows(docs: DataFrame, depth: int) -> DataFrame:
     """Stretches (doc_id, start, stop) of windows that occur more than once."""
 
     def sort(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held: list[pa.RecordBatch] = []  # whole digits, and what has come of the last one
+        hot: HotDigit | None = None
         for batch in source:
             if not batch.num_rows:
                 continue
             digit = batch.column(0).to_numpy()
             if held and held[-1].column(0)[-1].as_py() != digit[0]:
-                if (out := later_passes(held)) is not None:
+                if hot is None and (out := later_passes(held)) is not None:
                     yield out
-                held = []
+                held, hot = [], None
             cut = int(np.searchsorted(digit, digit[-1], side="left"))  # the last digit may go on in the next batch
             if cut:
-                if (out := later_passes([*held, batch.slice(0, cut)])) is not None:
-                    yield out
-                held = []
-            held.append(batch.slice(cut))
-        if held and (out := later_passes(held)) is not None:
+                go_on = int(np.searchsorted(digit, digit[0], side="right")) if hot is not None else 0
+                if go_on:
+                    yield from hot.take(batch.slice(0, go_on))
+                rest = batch.slice(go_on, cut - go_on)
+                if (held if hot is None else []) or rest.num_rows:
+                    if (out := later_passes([*(held if hot is None else []), rest])) is not None:
+                        yield out
+                held, hot = [], None
+            last = batch.slice(cut)
+            if hot is not None:
+                yield from hot.take(last)
+                held = [last.slice(0, 1)]  # its digit
+            else:
+                held.append(last)
+                if sum(h.num_rows for h in held) > HOT:
+                    hot = HotDigit()
+                    for h in held:
+                        yield from hot.take(h)
+                    held = [last.slice(0, 1)]
+        if held and hot is None and (out := later_passes(held)) is not None:
             yield out
 
     return first_digits(docs, depth).repartition("digit").sortWithinPartitions("digit").mapInArrow(sort, "doc_id long, start int, stop int")
