@@ -15,15 +15,18 @@ from ..plans.rules import backward, simplified
 from .fixpoint import transitive
 
 
+Sources = int | DataFrame | None
+
+
 class Lowering:
-    """Path expressions to DataFrames (s, t), without repeats unless they are a label of a graph whose edges have some. Equal parts are lowered once for the same sources."""
+    """Path expressions to DataFrames (s, t), without repeats unless they are a label of a graph whose edges have some. Equal parts are lowered once for the same sources: all, one id, which becomes a filter of the scan, or a DataFrame of them."""
 
     def __init__(self, graph: PathGraph, turned: bool = False):
         self.graph, self.turned = graph, turned
         self.done: dict[tuple[Path, int], DataFrame] = {}
-        self.held: list[DataFrame | None] = [None]
+        self.held: list[Sources] = [None]
 
-    def lower(self, path: Path, sources: DataFrame | None = None) -> DataFrame:
+    def lower(self, path: Path, sources: Sources = None) -> DataFrame:
         for k, of in enumerate(self.held):
             if of is sources:
                 break
@@ -34,16 +37,21 @@ class Lowering:
             self.done[path, k] = self._lower(path, sources)
         return self.done[path, k]
 
-    def identity(self, sources: DataFrame | None) -> DataFrame:
-        every = self.graph.vertices.select(F.col("id").alias("s")) if sources is None else sources.select("s")
+    def rows(self, sources: int | DataFrame) -> DataFrame:
+        return self.graph.spark.range(1).select(F.lit(sources).cast("long").alias("s")) if isinstance(sources, int) else sources.select("s")
+
+    def identity(self, sources: Sources) -> DataFrame:
+        every = self.graph.vertices.select(F.col("id").alias("s")) if sources is None else self.rows(sources)
         return every.select("s", F.col("s").alias("t"))
 
-    def _lower(self, path: Path, sources: DataFrame | None) -> DataFrame:
+    def _lower(self, path: Path, sources: Sources) -> DataFrame:
         match path:
             case Label(name):
                 pairs = self.graph.label_edges(name)
                 if self.turned:
                     pairs = pairs.select(F.col("t").alias("s"), F.col("s").alias("t"))
+                if isinstance(sources, int):
+                    return pairs.where(F.col("s") == sources)
                 return pairs if sources is None else pairs.join(sources, "s", "left_semi")
             case Sequence(a, b):
                 left = self.lower(a, sources)
@@ -59,8 +67,8 @@ class Lowering:
                 return self.lower(p, sources).union(self.identity(sources)).distinct()
         raise TypeError(path)
 
-    def _closure(self, p: Path, sources: DataFrame | None) -> DataFrame:
-        return transitive(self.lower(p), sources)
+    def _closure(self, p: Path, sources: Sources) -> DataFrame:
+        return transitive(self.lower(p), None if sources is None else self.rows(sources))
 
 
 @dataclass
@@ -73,13 +81,12 @@ class Prepared:
     object: int | None
 
     def execute(self) -> Pairs:
-        one = lambda n: self.graph.spark.range(1).select(F.lit(n).cast("long").alias("s"))
         if self.subject is not None:
-            found = Lowering(self.graph).lower(self.path, one(self.subject))
+            found = Lowering(self.graph).lower(self.path, self.subject)
             if self.object is not None:
                 found = found.where(F.col("t") == self.object)
         elif self.object is not None:
-            turned = Lowering(self.graph, turned=True).lower(backward(self.path), one(self.object))
+            turned = Lowering(self.graph, turned=True).lower(backward(self.path), self.object)
             found = turned.select(F.col("t").alias("s"), F.col("s").alias("t"))
         else:
             found = Lowering(self.graph).lower(self.path)
