@@ -91,8 +91,8 @@ def transitive(pairs: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """The transitive closure of the pairs (s, t), of the given sources (s) only if there are any. It runs jobs at once."""
     small = pairs_or_none(pairs)
     if small is not None:
-        if sources is None:
-            starts = pairs.select("s").distinct()
+        if sources is None:  # from what was just read, so that the relation isn't worked out again
+            starts = pairs.sparkSession.createDataFrame(pa.table({"s": np.unique(small[0])}), "s long")
         else:
             starts = sources.select("s").distinct()
         return _local(small, starts)

@@ -8,7 +8,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import PathGraph
@@ -55,26 +55,29 @@ class Prepared:
             # a search from the object over turned edges; the object is a target if any source is met
             met = search(self.graph, self.back, one(self.object), turned=True)
             return Targets(self.graph, met.limit(1).select(F.lit(self.object).cast("long").alias("t")))
-        seeds = self.graph.vertices.select(F.col("id").alias("v")) if self.subject is None else one(self.subject)
-        found = search(self.graph, self.machine, seeds)
+        found = search(self.graph, self.machine, None if self.subject is None else one(self.subject))
         if self.object is not None:
             found = found.where(F.col("v") == self.object)
         return Targets(self.graph, found.select(F.col("v").alias("t")))
 
 
-def search(graph: PathGraph, machine: Automaton, seeds: DataFrame, turned: bool = False) -> DataFrame:
-    """(v): the vertices at which a path of the automaton ends that starts at one of the seeds. It runs jobs at once."""
+def search(graph: PathGraph, machine: Automaton, seeds: DataFrame | None, turned: bool = False) -> DataFrame:
+    """(v): the vertices at which a path of the automaton ends that starts at one of the seeds, or at any vertex. It runs jobs at once."""
     moves = machine.by_label()
     edges = graph.edges.where(F.col("label").isin(*moves)).select("label", *((F.col("dst").alias("s"), F.col("src").alias("t")) if turned else (F.col("src").alias("s"), F.col("dst").alias("t"))))
     found = edges.limit(fixpoint.LOCAL_PAIRS + 1).toArrow()
     if found.num_rows <= fixpoint.LOCAL_PAIRS:
-        return _local(machine, found, seeds)
-    return _rounds(machine, edges, seeds)
+        ends = _local(machine, found, seeds, graph.spark)
+    else:
+        ends = _rounds(machine, edges, seeds)
+    if machine.start in machine.finals:  # the empty path
+        ends = ends.union(graph.vertices.select(F.col("id").alias("v")) if seeds is None else seeds).distinct()
+    return ends
 
 
-def _local(machine: Automaton, edges: pa.Table, seeds: DataFrame) -> DataFrame:
-    """One task holds the edges and which vertices each state has seen; seeds without an edge only count if the path may be empty."""
-    spark = seeds.sparkSession
+def _local(machine: Automaton, edges: pa.Table, seeds: DataFrame | None, spark: SparkSession) -> DataFrame:
+    """One task holds the edges and which vertices each state has seen. Only paths with an edge are searched."""
+    everywhere = seeds is None
     ids, flat = np.unique(np.concatenate([edges.column("s").to_numpy(), edges.column("t").to_numpy()]), return_inverse=True)
     s, t = flat[: edges.num_rows], flat[edges.num_rows :]
     label = np.array(edges.column("label").to_pylist(), object)
@@ -94,7 +97,7 @@ def _local(machine: Automaton, edges: pa.Table, seeds: DataFrame) -> DataFrame:
             at = np.searchsorted(ids, v)
             at = np.minimum(at, max(0, n - 1))
             known = ids[at] == v if n else np.zeros(len(v), bool)
-            seen[machine.start, at[known]] = True
+            seen[machine.start, slice(None) if everywhere else at[known]] = True
         fresh = {machine.start: np.flatnonzero(seen[machine.start])}
         out_of = {}
         for a, name, b in machine.moves:
@@ -117,16 +120,16 @@ def _local(machine: Automaton, edges: pa.Table, seeds: DataFrame) -> DataFrame:
         hit = seen[sorted(machine.finals - {machine.start})].any(axis=0) if machine.finals - {machine.start} else np.zeros(n, bool)
         yield pa.RecordBatch.from_arrays([pa.array(ids[hit], pa.int64())], names=["v"])
 
-    found = seeds.coalesce(1).mapInArrow(run, "v long")
-    return found.union(seeds).distinct() if machine.start in machine.finals else found
+    return (spark.range(1).select(F.col("id").alias("v")) if everywhere else seeds).coalesce(1).mapInArrow(run, "v long")
 
 
-def _rounds(machine: Automaton, edges: DataFrame, seeds: DataFrame) -> DataFrame:
+def _rounds(machine: Automaton, edges: DataFrame, seeds: DataFrame | None) -> DataFrame:
     """Rounds of joins: the frontier (v, q) moves over edges and automaton at once, and what was seen before is dropped."""
     spark = edges.sparkSession
     moves = spark.createDataFrame([(a, name, b) for a, name, b in machine.moves], "q int, label string, q2 int")
     steps = written(edges.join(F.broadcast(moves), "label").select("q", F.col("s").alias("v"), "q2", F.col("t").alias("v2")), "steps")
-    fresh = written(seeds.select("v", F.lit(machine.start).alias("q")).distinct(), "frontier")
+    starts = steps.where(F.col("q") == machine.start).select("v") if seeds is None else seeds
+    fresh = written(starts.select("v", F.lit(machine.start).alias("q")).distinct(), "frontier")
     seen = fresh
     while True:
         step = fresh.join(steps, ["v", "q"]).select(F.col("v2").alias("v"), F.col("q2").alias("q")).distinct()
@@ -137,7 +140,7 @@ def _rounds(machine: Automaton, edges: DataFrame, seeds: DataFrame) -> DataFrame
         for old in {id(fresh): fresh, id(seen): seen}.values():
             dropped(old)
         fresh, seen = after, whole
-    return seen.where(F.col("q").isin(*machine.finals)).select("v").distinct()
+    return seen.where(F.col("q").isin(*(machine.finals - {machine.start}))).select("v").distinct()
 
 
 class FrontierEvaluator:
