@@ -48,7 +48,7 @@ def test_odd_rows_pass_every_stage(spark):
     names = "doc_id long, text string, lang string, source string, n_chars long"
     rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "the of and words", "en", "a", 16), (3, "the of and words", "en", "a", 16), (None, "the of and more words", None, "b", None)]
     for df in (spark.createDataFrame(rows, names), spark.createDataFrame([], names)):
-        for column in ("node", "gone", "copy"):
+        for column in ("node", "gone", "copy", "m_text", "m_copy"):
             df = df.selectExpr("*", f"'x' as {column}")
         for _, stage in corpus_pipeline.STAGES:
             df = stage(spark, df, SF)

@@ -71,9 +71,12 @@ def picks(docs: DataFrame, weights: dict[str, int] | None = None, total_chars: i
 def training_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix with all their columns, a row for each copy, and its number as `copy` (a column of that name that the documents have is replaced)."""
     taken = picks(docs).select(F.col("doc_id").alias("m_doc"), F.col("source").alias("m_source"), F.col("h").alias("m_h"), F.col("copy").alias("m_copy"))
-    whole = docs.withColumn("m_text", F.coalesce(F.xxhash64("text"), F.lit(0))).dropDuplicates(["doc_id", "source", "m_text"])
-    same = whole["doc_id"].eqNullSafe(taken["m_doc"]) & whole["source"].eqNullSafe(taken["m_source"]) & (whole["m_text"] == taken["m_h"])
-    return whole.join(taken, same).select(*[whole[c] for c in docs.columns if c != "copy"], F.col("m_copy").alias("copy"))
+    mark = "m_text"
+    while mark in docs.columns:
+        mark += "_"
+    whole = docs.withColumn(mark, F.coalesce(F.xxhash64("text"), F.lit(0))).dropDuplicates(["doc_id", "source", mark])
+    same = whole["doc_id"].eqNullSafe(taken["m_doc"]) & whole["source"].eqNullSafe(taken["m_source"]) & (whole[mark] == taken["m_h"])
+    return whole.join(taken, same).select(*[whole[c] for c in docs.columns if c != "copy"], taken["m_copy"].alias("copy"))
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
