@@ -161,6 +161,18 @@ def test_decontamination_of_reworded_and_odd_rows(spark):
     assert D.leaks(frame(spark, rows[:3]), benchmark.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("length", [26_000, 40_000])
+def test_very_long_items_hide_no_other(spark, length):
+    rng = random.Random(6)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(3000)]
+    make = lambda n: [rng.choice(vocab) for _ in range(n)]
+    long, plain = make(length), make(40)
+    rows = [(k, " ".join(make(300))) for k in range(40)]
+    rows += [(100, " ".join(make(100) + plain + make(100))), (101, " ".join(make(1000) + long + make(70_000) + plain)), (102, " ".join(make(90_000)))]
+    benchmark = frame(spark, [(1, " ".join(plain)), (2, " ".join(long))], "item_id long, text string")
+    assert rows_of(D.leaks(frame(spark, rows), benchmark), "doc_id", "item_id") == [(100, 1), (101, 1), (101, 2)]
+
+
 def test_rounds_of_items_change_nothing(spark, monkeypatch):
     docs, benchmark = table(spark, SF, "documents"), table(spark, SF, "benchmark")
     a = rows_of(D.leaks(docs, benchmark), "doc_id", "item_id")

@@ -64,18 +64,19 @@ def item_terms(text: str) -> np.ndarray:
 
 
 def chunked(texts: list[np.ndarray], unit: int, overlap: int) -> Iterator[tuple[np.ndarray, list[tuple[int, int, int, int]]]]:
-    """The texts' terms in arrays of about CHUNK, each text's part filled up to a multiple of `unit` with TERMS, and the parts: (text, its first token, place in the array, tokens). Texts beyond CHUNK are cut in parts that overlap."""
+    """The texts' terms in arrays of about CHUNK, or twice the overlap if that is more, each text's part filled up to a multiple of `unit` with TERMS, and the parts: (text, its first token, place in the array, tokens). Longer texts are cut in parts that overlap."""
+    size = max(CHUNK, 2 * overlap)
     arrays, parts, at = [], [], 0
     for k, terms in enumerate(texts):
-        for s in range(0, max(1, len(terms) - overlap), CHUNK - overlap):
-            part = terms[s : s + CHUNK]
+        for s in range(0, max(1, len(terms) - overlap), size - overlap):
+            part = terms[s : s + size]
             if not len(part):
                 continue
             fill = -len(part) % unit
             parts.append((k, s, at, len(part)))
             arrays += [part, np.full(fill, TERMS, np.int32)]
             at += len(part) + fill
-            if at >= CHUNK:
+            if at >= size:
                 yield np.concatenate(arrays), parts
                 arrays, parts, at = [], [], 0
     if parts:
