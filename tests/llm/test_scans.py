@@ -173,6 +173,35 @@ def test_very_long_items_hide_no_other(spark, length):
     assert rows_of(D.leaks(frame(spark, rows), benchmark), "doc_id", "item_id") == [(100, 1), (101, 1), (101, 2)]
 
 
+def test_decontamination_recall_of_what_the_checks_accept(spark):
+    rng = random.Random(9)
+    docs = [words(r["text"]) for r in table(spark, SF, "documents").collect() if len(words(r["text"] or "")) > 60]
+    whole = [words(r["text"]) for r in table(spark, SF, "benchmark").collect()]
+    vocab = [w for t in docs for w in t]
+    items = whole + [t[: 8 + k % 7] for k, t in enumerate(whole)]
+    rows, pairs = [], []
+    for rate in (0, 0.2, 0.25, 0.3, -0.3):  # replaced, or deleted
+        for i, item in enumerate(items):
+            new = [rng.choice(vocab) if rate > 0 and rng.random() < rate else w for w in item if rate >= 0 or rng.random() >= -rate]
+            of = D.Item(i, item)
+            if D.common_length(of.masks, of.n, new) >= D.LEAST_COVER * of.n and D.common_length(of.answer_masks, len(of.answer), new) >= D.LEAST_ANSWER * len(of.answer):
+                text = rng.choice(docs)
+                at = rng.randrange(len(text))
+                pairs.append((rate, i < len(whole), len(rows), i))
+                rows.append((len(rows), " ".join(text[:at] + new + text[at:])))
+    vectors = D.term_vectors(*D.sketch(table(spark, SF, "documents")))
+    texts = D.pa.array([t for _, t in rows], D.pa.string())
+    found = {h[:2] for h in D.Retriever([(i, " ".join(t)) for i, t in enumerate(items)], vectors).leaks(*D.split(texts))}
+    for rate, full in {p[:2] for p in pairs}:
+        assert np.mean([p[2:] in found for p in pairs if p[:2] == (rate, full)]) >= 0.9, (rate, full)
+
+
+def test_short_items_are_found_verbatim(spark):
+    rows = [(1, "so What is, kinbarolu? they said"), (2, "what is not kinbarolu"), (3, "kinbarolu"), (4, "what is kinbarolus"), (5, None), (6, "")]
+    benchmark = frame(spark, [(1, "What is kinbarolu?"), (2, "what is kinbarolu"), (3, "?!"), (4, "")], "item_id long, text string")
+    assert rows_of(D.leaks(frame(spark, rows), benchmark), "doc_id", "item_id") == [(1, 1), (1, 2)]
+
+
 def test_rounds_of_items_change_nothing(spark, monkeypatch):
     docs, benchmark = table(spark, SF, "documents"), table(spark, SF, "benchmark")
     a = rows_of(D.leaks(docs, benchmark), "doc_id", "item_id")

@@ -19,9 +19,9 @@ RANK = 64  # of the randomised singular value decomposition
 PASSAGE = 32  # words in a passage, the rows of the matrix
 CHUNK = 1 << 16  # words that are worked on at once
 BLOCK = 4  # words in the smallest step of a window
-SMALLEST = 16  # words in the smallest window
-LEAST_COSINE = 0.6  # of a candidate
-LEAST_ITEM = 8  # words of an item that can be looked for
+SMALLEST = 8  # words in the smallest window
+LEAST_COSINE = 0.4  # of a candidate
+LEAST_ITEM = 8  # words of an item that is looked for reworded; shorter ones are looked for verbatim
 LEAST_COVER = 0.6  # of an item's words, in order, that a contaminated passage has
 LEAST_ANSWER = 0.5  # of the words of the item's last quarter, in order, that it has
 ITEMS = 20_000  # of a round: what is broadcast never exceeds so many items
@@ -200,21 +200,25 @@ class Item:
         self.answer_masks: dict[str, int] = {}
         for k, w in enumerate(self.answer):
             self.answer_masks[w] = self.answer_masks.get(w, 0) | (1 << k)
-        self.window = SMALLEST  # the least of 16, 24, 32, 48, 64, ... that holds the item
+        self.window = SMALLEST  # the least of 8, 12, 16, 24, 32, 48, 64, ... that holds the item
         while self.window < self.n:
             self.window = self.window * 3 // 2 if self.window.bit_count() == 1 else self.window * 4 // 3
 
 
 class Retriever:
-    """Items of a round, by window, with their unit vectors."""
+    """Items of a round, by window, with their unit vectors, and those of fewer than LEAST_ITEM words by their number of words and words."""
 
     def __init__(self, rows: list[tuple[int, str]], vectors: np.ndarray):
         self.vectors = vectors
         self.items: dict[int, list[Item]] = {}
         self.units: dict[int, np.ndarray] = {}
+        self.short: dict[int, dict[tuple[str, ...], list[int]]] = {}
         places: dict[int, list[np.ndarray]] = {}
         for item_id, text in rows:
             tokens = words(text)
+            if len(tokens) < LEAST_ITEM:
+                self.short.setdefault(len(tokens), {}).setdefault(tuple(tokens), []).append(item_id)
+                continue
             item = Item(item_id, tokens)
             self.items.setdefault(item.window, []).append(item)
             places.setdefault(item.window, []).append(vectors[item_terms(text)].sum(axis=0, dtype=np.float64))
@@ -223,7 +227,7 @@ class Retriever:
             self.units[w] = (stack / np.maximum(np.linalg.norm(stack, axis=1, keepdims=True), 1e-12)).astype(np.float32).T.copy()
 
     def candidates(self, terms: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
-        """(window, its place in the array, number of the item among those of the window, cosine) of pairs with at least LEAST_COSINE."""
+        """(window, its place in the array, number of the item among those of the window, cosine) of pairs with at least LEAST_COSINE that no neighbouring window of the item exceeds: its passage is within half a window of the peak."""
         four = self.vectors[terms].reshape(-1, BLOCK, RANK)
         blocks = four[:, 0].copy()
         for k in range(1, BLOCK):
@@ -232,23 +236,37 @@ class Retriever:
         for w, units in sorted(self.units.items()):
             step = max(1, w // BLOCK // 4)
             z = span_sums(spans, w // BLOCK)[: len(blocks) : step]
-            length = LEAST_COSINE * np.maximum(np.sqrt(np.einsum("ij,ij->i", z, z)), 1e-12)[:, None]
+            z = z / np.maximum(np.sqrt(np.einsum("ij,ij->i", z, z)), 1e-12)[:, None]
             for first in range(0, units.shape[1], 4096):
-                products = z @ units[:, first : first + 4096]
-                for k, j in (divmod(x, products.shape[1]) for x in np.flatnonzero(products >= length).tolist()):
-                    yield w, k * step * BLOCK, first + j, float(products[k, j] / length[k, 0] * LEAST_COSINE)
+                cosines = z @ units[:, first : first + 4096]
+                k, j = np.divmod(np.flatnonzero(cosines >= LEAST_COSINE), cosines.shape[1])
+                here = cosines[k, j]
+                peak = (here >= cosines[np.maximum(k - 1, 0), j]) & (here >= cosines[np.minimum(k + 1, len(z) - 1), j])
+                for at, number, cosine in zip((k[peak] * step * BLOCK).tolist(), (first + j[peak]).tolist(), here[peak].tolist(), strict=True):
+                    yield w, at, number, cosine
+
+    def verbatim(self, tokens: pa.ListArray) -> Iterator[tuple[int, int, int]]:
+        """(text, item_id, words) of the short items that a text has word for word."""
+        for k in range(len(tokens) if self.short else 0):
+            text = words(" ".join(tokens[k].values.to_pylist()))
+            for n, items in self.short.items():
+                for passage in items.keys() & set(zip(*(text[j:] for j in range(n)), strict=False)):
+                    for item_id in items[passage]:
+                        yield k, item_id, n
 
     def leaks(self, texts: list[np.ndarray], tokens: pa.ListArray) -> list[tuple[int, int, float, int, float, float]]:
         """(text, item_id, cosine, common words, cover, answer's cover), one for each contaminated text and item."""
-        found: dict[tuple[int, int], tuple[float, int, float, float]] = {}
+        found: dict[tuple[int, int], tuple[float, int, float, float]] = {(k, i): (1.0, n, 1.0, 1.0) for k, i, n in self.verbatim(tokens)}
         widest = max(self.units, default=SMALLEST)
-        for terms, parts in chunked(texts, BLOCK, 2 * widest):
+        for terms, parts in chunked(texts if self.units else [], BLOCK, 2 * widest):
             begins = np.array([p[2] for p in parts])
             done: set[tuple[int, int, int]] = set()
+            regions: dict[tuple[int, int, int], tuple[list[str], set[str]]] = {}
             for w, at, j, cosine in self.candidates(terms):
                 item = self.items[w][j]
                 first = max(0, int(np.searchsorted(begins, at, side="right")) - 1)
-                for k, s, place, n in parts[first:]:
+                for number in range(first, len(parts)):
+                    k, s, place, n = parts[number]
                     if place >= at + w:
                         break
                     low, high = max(0, at - place - w // 2), min(n, at - place + w + w // 2)
@@ -257,8 +275,11 @@ class Retriever:
                     if found.get((k, item.item_id), (0, 0, 0, 0))[2] == 1 or (tag := (k, item.item_id, s + low)) in done:
                         continue
                     done.add(tag)
-                    region = words(" ".join(tokens[k].values[s + low : s + high].to_pylist()))
-                    if sum(map(set(region).__contains__, item.tokens)) < LEAST_COVER * item.n:  # no more words than that can be common
+                    if (where := (k, s + low, s + high)) not in regions:
+                        region = words(" ".join(tokens[k].values[s + low : s + high].to_pylist()))
+                        regions[where] = region, set(region)
+                    region, there = regions[where]
+                    if sum(map(there.__contains__, item.tokens)) < LEAST_COVER * item.n:  # no more words than that can be common
                         continue
                     common = common_length(item.masks, item.n, region)
                     if common < LEAST_COVER * item.n:
@@ -274,9 +295,9 @@ class Retriever:
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, cosine, common_words, cover, answer_cover) for each document that has a passage of a benchmark item, verbatim or reworded.
 
-    All passages of the documents make a TF-IDF matrix over hashed terms, decomposed by a distributed randomised SVD in one pass. In a second pass every window of a document, of a size like the item's, is compared with the items by cosine in the latent space; the candidates are verified by the longest common subsequence with the item (LEAST_COVER of its words) and with its answer, the last quarter (LEAST_ANSWER).
+    All passages of the documents make a TF-IDF matrix over hashed terms, decomposed by a distributed randomised SVD in one pass. In a second pass every window of a document, of a size like the item's, is compared with the items by cosine in the latent space; the candidates are verified by the longest common subsequence with the item (LEAST_COVER of its words) and with its answer, the last quarter (LEAST_ANSWER). Items of fewer than LEAST_ITEM words are too short for that and are looked for verbatim, word for word.
 
-    Null and empty texts and documents without a word have no leak; nor have items of fewer than LEAST_ITEM words or with a null item_id or text. Repeated documents are reported each, repeated items under each item_id. Texts are searched whole. A benchmark of more than ITEMS items is searched in rounds, so what is broadcast stays bounded. Other columns are ignored.
+    Null and empty texts and documents without a word have no leak; nor have items without a word or with a null item_id or text. Repeated documents are reported each, repeated items under each item_id. Texts are searched whole. A benchmark of more than ITEMS items is searched in rounds, so what is broadcast stays bounded. Other columns are ignored.
     """
     usable = benchmark.where("item_id is not null and text is not null").select("item_id", "text")
     rounds = max(1, -(-usable.count() // ITEMS))
@@ -284,7 +305,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = None
     for k in range(rounds):
         part = usable if rounds == 1 else usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(rounds)) == k)
-        rows = sorted((r["item_id"], r["text"]) for r in part.collect() if len(words(r["text"])) >= LEAST_ITEM)
+        rows = sorted((r["item_id"], r["text"]) for r in part.collect() if words(r["text"]))
         shared = docs.sparkSession.sparkContext.broadcast((rows, vectors))
 
         def search(source, shared=shared):
