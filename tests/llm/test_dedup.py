@@ -69,6 +69,31 @@ def test_simhash_is_the_brute_force_result(spark):
     assert found == brute_simhash(rows) and len(found) > 20
 
 
+def test_simhash_recall_by_distance_and_size(spark):
+    """Against all pairs that the check bits accept, without the lanes."""
+    rng = random.Random(11)
+    vocab = vocabulary(rng)
+    rows = []
+    for _ in range(700):
+        base = [rng.choice(vocab) for _ in range(rng.choice([40, 80, 300]))]
+        copy = list(base)
+        for k in rng.sample(range(len(copy)), len(copy) * rng.randint(2, 14) // 100):
+            copy[k] = rng.choice(vocab)
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(copy))]
+    memo = Memo()
+    full = np.stack([S.fingerprint(words(t), memo)[:2] for _, t in rows])
+    root = {r["doc_id"]: r["duplicate_of"] for r in S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {}
+    for k in range(len(rows)):
+        away = S.apart(full[k + 1 :], full[k])
+        for j in np.flatnonzero(away <= S.MOST_APART).tolist():
+            together = root.get(k, k) == root.get(k + 1 + j, k + 1 + j)
+            for band in ("all", (int(away[j]) - 1) // 4, "short" if len(rows[k][1].split()) <= 80 else "long"):
+                found.setdefault(band, []).append(together)
+    assert all(len(found[k]) >= 30 for k in ("all", "short", "long", 2, 3, 4))
+    assert all(np.mean(v) >= 0.9 for v in found.values())
+
+
 def test_prefix_changes_nothing(spark, monkeypatch):
     assert S.prefix_bits(1) == S.PREFIX and S.prefix_bits(S.ROWS * 8) == S.PREFIX + 3
     rows = spark.createDataFrame(corpus(5, 25), DOCS)

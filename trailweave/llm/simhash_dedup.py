@@ -12,23 +12,24 @@ from pyspark.sql import functions as F
 
 from .common import Memo, batches, components, dropped, mix, table, words, written
 
-LANES = 6  # independent fingerprints of a document
-BITS = 40  # of each; chance collisions grow with documents^2 * 2^-BITS, and 40 keeps them below the documents up to about 10^9 of these
+LANES = 18  # independent fingerprints of a document
+BITS = 32  # of each; wider ones lose pairs near MOST_APART, narrower ones collide by chance, which grows with documents^2 * 2^-BITS
 HALF = 1  # half the radius: two fingerprints of a lane collide if they differ in at most 2 * HALF bits
 CHECK = 128  # bits, those of f0 and f1, on which colliding pairs are verified
 MOST_APART = 20  # of the CHECK bits
-PREFIX = 8  # least number of a variant's high bits that choose its place in the shuffle
-ROWS = 1 << 20  # fingerprints for which PREFIX bits are enough; twice as many take one bit more
+PREFIX = 4  # least number of a variant's high bits that choose its place in the shuffle
+ROWS = 1 << 21  # fingerprints for which PREFIX bits are enough; twice as many take one bit more
 
-FULL = ["f0", "f1", "f2", "f3"]
+WIDE = -(-LANES * BITS // 64)  # words of a document's fingerprints
+FULL = [f"f{k}" for k in range(WIDE)]
 
 
 def fingerprint(tokens: list[str], memo: Memo) -> np.ndarray:
-    """240 bits in four words: signs of the sums over distinct tokens of their hash bits, each weighing the root of its count."""
+    """LANES * BITS bits in WIDE words: signs of the sums over distinct tokens of their hash bits, each weighing the root of its count."""
     count = Counter(tokens)
     h = memo.array(count)
-    wide = np.empty((len(h), 4), np.uint64)
-    for k in range(4):
+    wide = np.empty((len(h), WIDE), np.uint64)
+    for k in range(WIDE):
         wide[:, k] = mix(h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF))
     bits = np.unpackbits(wide.view(np.uint8), axis=1)
     weight = np.sqrt(np.fromiter(count.values(), np.float32, len(h)))
@@ -38,8 +39,8 @@ def fingerprint(tokens: list[str], memo: Memo) -> np.ndarray:
 
 
 def lanes(full: np.ndarray) -> np.ndarray:
-    """The lanes of n fingerprints (n, 4) as (n, LANES) integers of BITS bits."""
-    octets = full.view(np.uint8).reshape(len(full), 32)[:, : LANES * BITS // 8].reshape(len(full), LANES, BITS // 8)
+    """The lanes of n fingerprints (n, WIDE) as (n, LANES) integers of BITS bits."""
+    octets = full.view(np.uint8).reshape(len(full), 8 * WIDE)[:, : LANES * BITS // 8].reshape(len(full), LANES, BITS // 8)
     out = np.zeros((len(full), LANES), np.uint64)
     for k in range(BITS // 8):
         out = (out << np.uint64(8)) | octets[:, :, k].astype(np.uint64)
@@ -53,7 +54,7 @@ def ball(values: np.ndarray, bits: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, f0..f3) of every document with a word in it."""
+    """(doc_id, FULL) of every document with a word in it."""
     memo = Memo()
 
     def one(batch: pa.RecordBatch) -> dict:
@@ -62,10 +63,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             if i is not None and text and (tokens := words(text)):
                 ids.append(i)
                 out.append(fingerprint(tokens, memo))
-        full = (np.array(out, np.uint64) if out else np.zeros((0, 4), np.uint64)).view(np.int64)
+        full = (np.array(out, np.uint64) if out else np.zeros((0, WIDE), np.uint64)).view(np.int64)
         return {"doc_id": ids} | {n: full[:, k] for k, n in enumerate(FULL)}
 
-    return batches(docs.select("doc_id", "text"), one, "doc_id long, f0 long, f1 long, f2 long, f3 long")
+    return batches(docs.select("doc_id", "text"), one, "doc_id long, " + ", ".join(f"{n} long" for n in FULL))
 
 
 def prefix_bits(fingerprints: int) -> int:
