@@ -55,6 +55,15 @@ def test_odd_rows_pass_every_stage(spark):
             df.collect()
 
 
+def test_leaking_rows_go_by_their_text(spark):
+    passage = table(spark, SF, "benchmark").orderBy("item_id").first()["text"]
+    rows = [(None, passage), (1, passage), (1, "a clean text of the same id"), (2, None), (None, "a clean text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = docs.unionByName(table(spark, SF, "documents").where("doc_id > 50").select("doc_id", "text").limit(40))
+    kept = [tuple(r) for r in decontaminate.keep_clean(spark, docs, SF).collect()]
+    assert not [r for r in kept if r[1] == passage] and all(r in kept for r in rows[2:])
+
+
 def test_registered():
     found = __spark_entry__.queries()
     assert {f"op{n}_" for n in range(1, 11)} <= {k.split("_")[0] + "_" for k in found} and "pipeline" in found

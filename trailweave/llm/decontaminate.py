@@ -337,6 +337,6 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without a benchmark passage. Rows with a null doc_id stay."""
-    bad = leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leaking")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["leaking"], "left_anti")
+    """The rows whose text has no benchmark passage. Rows go by their text, whether their doc_id is null, repeated or shared with another text."""
+    bad = leaks(docs.select(F.xxhash64("text").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leaking")).distinct()
+    return docs.join(bad, F.xxhash64(docs["text"]) == bad["leaking"], "left_anti")
