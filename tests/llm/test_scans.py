@@ -140,6 +140,22 @@ def test_forward_backward_is_the_sum_over_all_labellings():
         assert np.allclose(p[start : start + n], want / want.sum(axis=1, keepdims=True))
 
 
+def test_wrongly_declared_texts(language_sample, monkeypatch):
+    rng = random.Random(3)
+    rng.shuffle(language_sample)
+    field = L.fit(language_sample[150:])
+    texts = [(lang, words(t)) for lang, t in language_sample[:150] if len(words(t)) >= 30]
+    for least in (8, 19):
+        right = L.verdicts(field, [" ".join(t[:least]) for _, t in texts], [lang for lang, _ in texts])["accepted"]
+        wrong = L.verdicts(field, [" ".join(t[:least]) for _, t in texts], [next(x for x in field.labels if x != lang) for lang, _ in texts])["accepted"]
+        assert np.mean(right) >= 0.98 and np.mean(wrong) <= 0.1, (least, np.mean(right), np.mean(wrong))
+    kept = []
+    for share in (0.3, 0.5):  # what the lower share costs in texts that are wholly in another language
+        monkeypatch.setattr(L, "LEAST_DECLARED", share)
+        kept.append(np.mean(L.verdicts(field, [" ".join(t) for _, t in texts], [next(x for x in field.labels if x != lang) for lang, _ in texts])["accepted"]))
+    assert kept[0] <= kept[1] + 0.02, kept
+
+
 def test_language_rows(spark, language_sample):
     field = L.fit(language_sample)
     english = next(t for lang, t in language_sample if lang == "en" and len(words(t)) > 100)

@@ -18,7 +18,9 @@ SAMPLE_WORDS = 20_000  # words of a language that it is fitted on, at most
 ROUNDS = 80
 LEAST_SHARE = 0.5  # of the words, in the posterior mean, that the main language of an accepted text of undeclared language has
 LEAST_DECLARED = 0.3  # of the words, that the declared language of an accepted text has, so that code-switched texts stay
-SHORT = 20  # texts of fewer words give too little evidence against the declared language
+SHORT = 20  # texts of fewer words need clear evidence against the declared language
+LEAST_SHORT = 0.05  # of the words, that the declared language of an accepted text of fewer than SHORT words has
+EVIDENCE = 4  # words in other languages, in the posterior mean, that are enough against such a text
 SEED = 7
 
 
@@ -270,7 +272,13 @@ def verdicts(field: Field | None, texts: list[str | None], declared: list[str |
         else:
             share, main, second = shares[k], ranked[k, 0], ranked[k, 1] if len(field.labels) > 1 else None
             known = declared[k] in field.labels
-            fits = n < SHORT or share[field.labels.index(declared[k])] >= LEAST_DECLARED if known else share[main] >= LEAST_SHARE
+            own = share[field.labels.index(declared[k])] if known else 0.0
+            if not known:
+                fits = share[main] >= LEAST_SHARE
+            elif n < SHORT:
+                fits = own >= LEAST_SHORT or n * (1 - own) < EVIDENCE
+            else:
+                fits = own >= LEAST_DECLARED
             row = (field.labels[main], round(float(share[main]), 6), None if second is None else field.labels[second], None if second is None else round(float(share[second]), 6), int(changes[k]), n, bool(fits))
         for name, v in zip(out, row, strict=True):
             out[name].append(v)
@@ -280,7 +288,7 @@ def verdicts(field: Field | None, texts: list[str | None], declared: list[str |
 def identify(docs: DataFrame, field: Field | None) -> DataFrame:
     """Per document (doc_id, lang, language, share, second, second_share, switches, n_words, accepted).
 
-    Every word gets label probabilities from the field by forward-backward over the whole text. A text is accepted if the language it is declared to be in has at least LEAST_DECLARED of its words, so that text that switches to another language stays; for a text of fewer than SHORT words a declaration of a known language stands. With a null or unknown declaration, the main language must have LEAST_SHARE of the words. Null, empty and wordless texts have no language and aren't accepted. Ties go to the language that is first in the alphabet. Rows with repeated or null doc_ids are judged one by one; other columns are ignored.
+    Every word gets label probabilities from the field by forward-backward over the whole text. A text is accepted if the language it is declared to be in has at least LEAST_DECLARED of its words, so that text that switches to another language stays; for a text of fewer than SHORT words LEAST_SHORT of them are enough, and fewer than EVIDENCE words in other languages are no evidence against it. With a null or unknown declaration, the main language must have LEAST_SHARE of the words. Null, empty and wordless texts have no language and aren't accepted. Ties go to the language that is first in the alphabet. Rows with repeated or null doc_ids are judged one by one; other columns are ignored.
     """
 
     def one(batch: pa.RecordBatch) -> dict:
