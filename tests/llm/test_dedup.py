@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trailweave.llm import common
 from trailweave.llm import embedding_dedup as E
 from trailweave.llm import simhash_dedup as S
 from trailweave.llm import suffix_dedup as R
@@ -109,7 +110,7 @@ def test_simhash_odd_rows(spark):
     assert sorted(map(tuple, S.near_duplicates(docs).collect())) == [(5, 4), (7, 6)]
     kept = S.keep_one(spark, docs, "")
     assert kept.columns == docs.columns
-    assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 2, 3, 4, 6, 8]
+    assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [1, 2, 3, 4, 6, 8]  # the row without a doc_id has the text of 4
     assert S.near_duplicates(docs.where("false")).count() == 0
 
 
@@ -128,12 +129,15 @@ def test_dense_groups_are_linked_whole():
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_components(spark, seed):
+def test_components(spark, monkeypatch, seed):
     rng = random.Random(seed)
     links = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(k, k + 1) for k in range(200, 230)] + [(5, 5)]
     nodes = {x for a, b in links if a != b for x in (a, b)}
     found = components(spark.createDataFrame([*links, (None, 3)], "a long, b long"))
     assert {r["node"]: r["root"] for r in found.collect()} == groups([e for e in links if e[0] != e[1]], nodes)
+    monkeypatch.setattr(common, "LOCAL_LINKS", 0)
+    found = components(spark.createDataFrame([*links, (None, 3)], "a long, b long"))
+    assert {r["node"]: r["root"] for r in found.collect()} == groups([e for e in links if e[0] != e[1]], nodes)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
@@ -240,3 +244,37 @@ def test_against_sql(spark, query, sql, tables):
     want = con.execute(sql)
     names = [d[0] for d in want.description]
     assert sorted(tuple(r[n] for n in names) for r in query(spark, sf_dir).collect()) == sorted(want.fetchall())
+
+
+A, B = "alpha beta gamma delta epsilon zeta eta theta", "iota kappa lambda mu nu xi omicron pi rho"
+
+
+@pytest.mark.parametrize(
+    ("rows", "kept"),
+    [
+        ([(1, A), (9, A), (9, B)], [(1, A), (9, B)]),
+        ([(1, A), (9, A), (9, B), (12, B)], [(1, A), (9, B)]),
+        ([(4, A), (4, A)], [(4, A)]),
+        ([(None, A), (None, A)], [(None, A)]),
+        ([(None, A), (3, A), (None, B), (None, None), (None, None), (5, ""), (5, "")], [(None, None), (None, None), (None, B), (3, A), (5, ""), (5, "")]),
+        ([], []),
+    ],
+)
+def test_one_row_of_each_group_stays(spark, rows, kept):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as row", "1 as told_doc", "2 as h", "map('a', 1) as root")
+    found = S.keep_one(spark, docs, "")
+    assert found.columns == docs.columns
+    key = lambda r: (r[0] or 0, r[1] or "")
+    assert sorted(((r["doc_id"], r["text"]) for r in found.collect()), key=key) == sorted(kept, key=key)
+
+
+def test_places_in_small_portions_change_nothing(spark, monkeypatch):
+    rows = spark.createDataFrame(corpus(6, 40), DOCS)
+    a = sorted(map(tuple, S.near_duplicates(rows).collect()))
+    monkeypatch.setattr(S, "HELD", 5)
+    monkeypatch.setattr(S, "TASK_ROWS", 700)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        assert sorted(map(tuple, S.near_duplicates(rows).collect())) == a
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

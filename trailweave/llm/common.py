@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import os
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +12,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import written  # noqa: F401
+
 WORD = re.compile(r"\w+")
-_own_dir: str | None = None
 EDGE = re.compile(r"^\W+|\W+$")
 
 
@@ -23,26 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    global _own_dir
-    _own_dir = _own_dir or tempfile.mkdtemp(prefix="trailweave-shared-")
-    return _own_dir
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Cuts lineage: the rows are written to the shared folder and read again, so a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"{what}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def dropped(*frames: DataFrame) -> None:
     """Deletes tables made by `written` that nothing reads any more."""
     for df in frames:
@@ -52,6 +31,14 @@ def dropped(*frames: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the rows don't have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def words(text: str) -> list[str]:
     """Lower-case runs of letters, digits and underscores."""
     return WORD.findall(text.lower())
@@ -110,10 +97,30 @@ def batches(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the links (a, b), each node with the least node of its component."""
+    nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = flat[: len(a)], flat[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return nodes, nodes[label]
+
+
+LOCAL_LINKS = 1_000_000  # that one task joins; more are joined in rounds, with the same result
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected edges (a, b): one row (node, root) for every node of an edge, root being the least node reached.
 
-    Alternating large-star and small-star rounds; each round's edges are written to the shared folder. Self-loops, repeats and nulls in the input count for nothing.
+    Up to LOCAL_LINKS distinct edges are joined by one task. More take alternating large-star and small-star rounds; each round's edges are written to the shared folder. Self-loops, repeats and nulls in the input count for nothing.
     """
     now = written(
         edges.where("a is not null and b is not null and a <> b")
@@ -121,6 +128,17 @@ def components(edges: DataFrame) -> DataFrame:
         .distinct(),
         "edges",
     )
+    if now.count() <= LOCAL_LINKS:
+
+        def join(source):
+            parts = [b for b in source if b.num_rows]
+            rows = pa.Table.from_batches(parts) if parts else None
+            nodes, roots = forest(rows.column("a").to_numpy(), rows.column("b").to_numpy()) if parts else ([], [])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(roots, pa.int64())], names=["node", "root"])
+
+        out = written(now.coalesce(1).mapInArrow(join, "node long, root long"), "roots")
+        dropped(now)
+        return out
     state = None
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, dropped, table, written
+from .common import components, dropped, forest, table, written
 
 COSINE = 0.9  # least cosine of a near-duplicate
 ROUNDS = 4  # of k-means
@@ -104,23 +104,6 @@ def cells(vectors: DataFrame, width: int, c: np.ndarray, cosine: float) -> DataF
     return vectors.select("node", "x").mapInArrow(place, "cell int, home boolean, node long, x array<float>")
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For the links (a, b), each node with the least node of its component."""
-    nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
-    i, j = flat[: len(a)], flat[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    return nodes, nodes[label]
-
-
 def links(placed: DataFrame, width: int, cosine: float) -> DataFrame:
     """Links (a, b) of vectors at least `cosine` alike, found within cells by blocks of home vectors against all: within a block, a spanning forest of its pairs."""
     sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")).withColumnRenamed("cell", "of")

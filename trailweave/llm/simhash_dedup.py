@@ -7,10 +7,11 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import Memo, batches, components, dropped, mix, table, words, written
+from .common import Memo, batches, components, dropped, mix, table, unused, words, written
 
 LANES = 18  # independent fingerprints of a document
 BITS = 32  # of each; wider ones lose pairs near MOST_APART, narrower ones collide by chance, which grows with documents^2 * 2^-BITS
@@ -19,6 +20,8 @@ CHECK = 128  # bits, those of f0 and f1, on which colliding pairs are verified
 MOST_APART = 20  # of the CHECK bits
 PREFIX = 4  # least number of a variant's high bits that choose its place in the shuffle
 ROWS = 1 << 21  # fingerprints for which PREFIX bits are enough; twice as many take one bit more
+HELD = 100_000  # rows of a task that are expanded at once, and the rest of their last place
+TASK_ROWS = 1 << 20  # rows for which a task is added
 
 WIDE = -(-LANES * BITS // 64)  # words of a document's fingerprints
 FULL = [f"f{k}" for k in range(WIDE)]
@@ -54,19 +57,19 @@ def ball(values: np.ndarray, bits: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, FULL) of every document with a word in it."""
+    """(doc_id, h, FULL) of every row with a word in its text, h being the hash of the text."""
     memo = Memo()
 
     def one(batch: pa.RecordBatch) -> dict:
-        ids, out = [], []
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if i is not None and text and (tokens := words(text)):
-                ids.append(i)
+        at, out = [], []
+        for k, text in enumerate(batch.column(2).to_pylist()):
+            if text and (tokens := words(text)):
+                at.append(k)
                 out.append(fingerprint(tokens, memo))
         full = (np.array(out, np.uint64) if out else np.zeros((0, WIDE), np.uint64)).view(np.int64)
-        return {"doc_id": ids} | {n: full[:, k] for k, n in enumerate(FULL)}
+        return {n: batch.column(k).take(pa.array(at, pa.int32())) for k, n in enumerate(("doc_id", "h"))} | {n: full[:, k] for k, n in enumerate(FULL)}
 
-    return batches(docs.select("doc_id", "text"), one, "doc_id long, " + ", ".join(f"{n} long" for n in FULL))
+    return batches(docs.select("doc_id", F.xxhash64("text").alias("h"), "text"), one, "doc_id long, h long, " + ", ".join(f"{n} long" for n in FULL))
 
 
 def prefix_bits(fingerprints: int) -> int:
@@ -117,43 +120,78 @@ def linked(node: np.ndarray, full: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def meetings(rows: DataFrame, prefix: int) -> DataFrame:
-    """Verified links (a, b) among fingerprints that share a variant."""
+def met(rows_in: pa.Table, rest: int) -> set[tuple[int, int]]:
+    """Verified links among the fingerprints of whole places."""
+    column = lambda n: rows_in.column(n).to_numpy()
+    base, low, node = column("place").view(np.uint64) << np.uint64(rest), column("low").view(np.uint64), column("node")
+    full = np.stack([column(n) for n in FULL[: CHECK // 64]], axis=1).view(np.uint64)
+    own = (low >> np.uint64(rest)) > 0
+    low = low & np.uint64((1 << rest) - 1)
+    variants = (base[own, None] | ball(low[own], rest)).reshape(-1)
+    key = np.concatenate([variants, base[~own] | low[~own]])
+    row = np.concatenate([np.repeat(np.flatnonzero(own), rest + 1), np.flatnonzero(~own)])
+    order = np.argsort(key, kind="stable")
+    key, row = key[order], row[order]
+    edges: set[tuple[int, int]] = set()
+    seen: set[bytes] = set()
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
+    sizes = np.diff(np.append(starts, len(key)))
+    two = sizes == 2
+    a, b = row[starts[two]], row[starts[two] + 1]
+    good = apart(full[a], full[b]) <= MOST_APART
+    edges.update(zip(np.minimum(node[a], node[b])[good].tolist(), np.maximum(node[a], node[b])[good].tolist(), strict=True))
+    for s, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
+        group = np.sort(row[s : s + n])
+        if (tag := node[group].tobytes()) not in seen:  # many variants gather the same group
+            seen.add(tag)
+            edges.update((min(e), max(e)) for e in linked(node[group], full[group]))
+    return {e for e in edges if e[0] != e[1]}
+
+
+def meetings(rows: DataFrame, prefix: int, partitions: int) -> DataFrame:
+    """Verified links (a, b) among fingerprints that share a variant. A task works through its places in order, about HELD rows at a time."""
     rest = BITS - prefix
 
-    def met(source):
-        parts = [b for b in source if b.num_rows]
-        out_a, out_b = [], []
-        if parts:
-            rows_in = pa.Table.from_batches(parts)
-            column = lambda n: rows_in.column(n).to_numpy()
-            base, low, node = column("place").view(np.uint64) << np.uint64(rest), column("low").view(np.uint64), column("node")
-            full = np.stack([column(n) for n in FULL[: CHECK // 64]], axis=1).view(np.uint64)
-            own = (low >> np.uint64(rest)) > 0
-            low = low & np.uint64((1 << rest) - 1)
-            variants = (base[own, None] | ball(low[own], rest)).reshape(-1)
-            key = np.concatenate([variants, base[~own] | low[~own]])
-            row = np.concatenate([np.repeat(np.flatnonzero(own), rest + 1), np.flatnonzero(~own)])
-            order = np.argsort(key, kind="stable")
-            key, row = key[order], row[order]
-            edges: set[tuple[int, int]] = set()
-            seen: set[bytes] = set()
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
-            sizes = np.diff(np.append(starts, len(key)))
-            two = sizes == 2
-            a, b = row[starts[two]], row[starts[two] + 1]
-            good = apart(full[a], full[b]) <= MOST_APART
-            edges.update(zip(np.minimum(node[a], node[b])[good].tolist(), np.maximum(node[a], node[b])[good].tolist(), strict=True))
-            for s, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-                group = np.sort(row[s : s + n])
-                if (tag := node[group].tobytes()) not in seen:  # many variants gather the same group
-                    seen.add(tag)
-                    edges.update((min(e), max(e)) for e in linked(node[group], full[group]))
-            edges = {e for e in edges if e[0] != e[1]}
-            out_a, out_b = [e[0] for e in edges], [e[1] for e in edges]
-        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
-
-    return rows.repartition(F.col("place")).mapInArrow(met, "a long, b long")
+    def run(source):
+        held: list[pa.RecordBatch] = []
+
+        def links(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            edges = met(pa.Table.from_batches(parts), rest)
+            return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
+
+        for batch in source:
+            if not batch.num_rows:
+                continue
+            place = batch.column(0).to_numpy()
+            if sum(b.num_rows for b in held) >= HELD and place[-1] != held[0].column(0)[0].as_py():
+                cut = int(np.searchsorted(place, place[-1], side="left"))  # the last place may go on in the next batch
+                if cut:
+                    yield links([*held, batch.slice(0, cut)])
+                    held = [batch.slice(cut)]
+                    continue
+                last = held[-1].column(0).to_numpy()
+                if last[-1] != place[0]:
+                    yield links(held)
+                    held = []
+            held.append(batch)
+        if held:
+            yield links(held)
+
+    return rows.repartition(partitions, "place").sortWithinPartitions("place").mapInArrow(run, "a long, b long")
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, root) of every row with a word in its text: the hash of the text, and the number of its group of near-duplicates."""
+    prints = written(fingerprints(docs), "prints")
+    nodes = written(prints.select(*FULL).distinct().withColumn("node", F.monotonically_increasing_id()), "nodes")
+    number = nodes.count()
+    prefix = prefix_bits(number)
+    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(number * LANES * (prefix + 1) / TASK_ROWS))
+    links = written(meetings(places(nodes, prefix), prefix, partitions).distinct(), "links")
+    roots = components(links)
+    out = written(prints.join(nodes, FULL).join(roots, "node", "left").select("doc_id", "h", F.coalesce("root", "node").alias("root")), "groups")
+    dropped(prints, nodes, links, roots)
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -161,22 +199,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     A document's SimHash over its lower-case words is LANES fingerprints of BITS bits. Each emits all variants within HALF a radius; documents that share a variant, so differ in at most 2 * HALF bits of a lane, are compared on CHECK bits and linked if at most MOST_APART of them differ. Groups are the connected components of the links, so copies of any number form one group. Equal fingerprints are joined first and emit once.
 
-    Texts that are null, empty or have no word are in no group, nor are rows whose doc_id is null. A doc_id that comes repeatedly stands for one document if its texts have equal fingerprints; otherwise its fingerprints are searched separately and all of them belong to its group. Very long texts are processed whole. Other columns are ignored.
+    Texts that are null, empty or have no word are in no group, nor are rows whose doc_id is null; an empty table has no group. Repeated rows are one document. A doc_id that comes with several texts is one document that belongs to the groups of all of them, which it joins. Ties: the least doc_id stands for its group. Very long texts are processed whole. Other columns, of any name, are ignored.
     """
-    prints = written(fingerprints(docs), "prints")
-    nodes = written(prints.groupBy(*FULL).agg(F.min("doc_id").alias("node")), "nodes")
-    # one fingerprint is one row; the same node may stand for several fingerprints if its doc_id is repeated
-    prefix = prefix_bits(nodes.count())
-    links = written(meetings(places(nodes.select("node", *FULL), prefix), prefix).distinct(), "links")
-    same = prints.join(nodes, FULL).select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b")
-    roots = written(components(links), "roots")
-    grouped = prints.join(nodes, FULL).select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("duplicate_of"))
-    repeated = prints.groupBy("doc_id").agg(F.count_distinct(*FULL).alias("n")).where("n > 1")
-    out = grouped.where("doc_id <> duplicate_of").distinct()
-    if repeated.limit(1).count():  # rare: links through a repeated doc_id need the whole graph
-        return components(links.union(same)).where("node <> root").select(F.col("node").alias("doc_id"), F.col("root").alias("duplicate_of"))
-    dropped(links)
-    return out
+    rows = grouped(docs.where("doc_id is not null"))
+    least = rows.groupBy("root").agg(F.min("doc_id").alias("least"))
+    of = written(rows.select("doc_id", "root").distinct().join(least, "root").select("doc_id", "least"), "of")
+    dropped(rows)
+    several = of.groupBy("doc_id").agg(F.min("least").alias("b"), F.max("least").alias("c")).where("b <> c")
+    if several.limit(1).count():  # rare: a repeated doc_id joins groups
+        joined = components(of.join(several, "doc_id").select(F.col("least").alias("a"), "b"))
+        of = of.join(joined, of["least"] == joined["node"], "left").select("doc_id", F.coalesce("root", "least").alias("least"))
+    return of.where("doc_id <> least").select("doc_id", F.col("least").alias("duplicate_of")).distinct()
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,6 +217,26 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the near-duplicates of an earlier one: each group's least doc_id stays, in one row."""
-    gone = near_duplicates(docs).select(F.col("doc_id").alias("gone"))
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    """One row of each group of near-duplicate texts, with all its columns.
+
+    Decisions are made by row, from its text, whatever the doc_ids: of a group stays the row with the least doc_id (a null one comes last), then the least text hash; of rows equal in both the one with the least hash of all columns, so a repeated row stays once. Rows whose text is null, empty or without a word are in no group and all stay. A doc_id with several texts keeps those that have no earlier near-duplicate. An empty table stays empty; other columns may have any name.
+    """
+    rows = grouped(docs)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    best = rows.groupBy("root").agg(F.min(order).alias("best")).withColumnRenamed("root", "of")
+    kinds = rows.groupBy("root", "doc_id", "h").agg(F.count("*").alias("n"))
+    first = F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.h") == F.col("h"))
+    told = kinds.join(best, F.col("root") == F.col("of")).select(F.col("doc_id").alias("told_doc"), F.col("h").alias("told_h"), first.alias("first"), "n").where("not first or n > 1")
+    told = written(told, "told")
+    dropped(rows)
+    again = told.where("first")
+
+    def same(other: DataFrame) -> Column:
+        return docs["doc_id"].eqNullSafe(other["told_doc"]) & (F.xxhash64(docs["text"]) == other["told_h"])
+
+    kept = docs.join(told, same(told), "left_anti")
+    if again.limit(1).count():  # rows of one doc_id and text
+        mark = unused(docs, "row")
+        by = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*[c.name for c in docs.schema if "map" not in c.dataType.simpleString()]))
+        kept = kept.union(docs.join(again, same(again), "left_semi").withColumn(mark, F.row_number().over(by)).where(F.col(mark) == 1).drop(mark))
+    return kept
