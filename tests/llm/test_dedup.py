@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,6 +163,34 @@ def test_embeddings_recall(spark):
     assert all(r["keep"] == (r["vec_id"] == r["group_id"]) for r in rows)
 
 
+@pytest.mark.parametrize("n", [2000, 12_000])
+def test_embeddings_recall_just_above_the_cosine(spark, n):
+    """Copies of cosine 0.9 to 0.95, many of them cut by borders between cells."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(n, 32))
+    x[: n // 3] = x[n // 3 : 2 * (n // 3)] + rng.normal(size=(n // 3, 32)) * rng.uniform(0.3, 0.48, (n // 3, 1))
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": x.astype(np.float32).tolist()})).select("vec_id", F.col("embedding").cast("array<float>"))
+    unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    pairs = np.concatenate([np.argwhere(unit[s : s + 1000] @ unit.T >= E.COSINE) + [s, 0] for s in range(0, n, 1000)])
+    pairs = pairs[pairs[:, 0] < pairs[:, 1]]
+    found = np.array([r["group_id"] for r in sorted(E.near_duplicates(df).collect())])
+    assert len(pairs) > n // 5 and np.mean(found[pairs[:, 0]] == found[pairs[:, 1]]) >= 0.9
+
+
+@pytest.mark.parametrize("n", [2000, 50_000])
+def test_copies_of_a_vector_are_as_many_at_any_size(spark, n):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame(pd.DataFrame({"node": np.arange(n), "x": rng.normal(size=(n, 8)).tolist()})).select("node", F.lit(8).alias("width"), F.col("x").cast("array<float>"))
+    cells = E.Cells({8: rng.normal(size=(int(n**0.5), 8)).astype(np.float32)})
+    assert E.placed(df, cells).count() == E.VISITS * n
+
+
+def test_each_width_is_compared(spark):
+    rows = [(k, [1.0, 2.0, 3.0, float(k)]) for k in range(9)] + [(20, [1.0, 1.0]), (21, [2.0, 2.0]), (22, [1.0, 1.01]), (23, [1.0, -1.0]), (24, [-1.0])]
+    found = {r["vec_id"]: r["group_id"] for r in E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert (found[20], found[21], found[22], found[23], found[24]) == (20, 20, 20, 23, 24) and found[7] == found[8] != 20
+
+
 def test_embedding_blocks_change_nothing(spark, monkeypatch):
     df = spark.createDataFrame([(k, [float(v) for v in row]) for k, row in enumerate(vectors(1, 300))], "vec_id long, embedding array<float>")
     a = sorted(map(tuple, E.near_duplicates(df).collect()))

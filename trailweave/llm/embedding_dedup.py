@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +16,9 @@ from .common import components, dropped, forest, table, written
 COSINE = 0.9  # least cosine of a near-duplicate
 ROUNDS = 4  # of k-means
 SCALE = 1 << 20  # of the whole numbers in which centroids are summed, so that no order changes them
-SLACK = 3.0  # standard deviations of a near-duplicate's step across a border between cells
-BLOCK = 4096  # vectors in a side of a block of cosine products
+VISITS = 4  # nearest cells of a vector in which it is compared, whatever the number of cells
+BLOCK = 16384  # vectors in a side of a block of cosine products
+PAIRS = 2_000_000  # of a block that are held before they are reduced to a forest
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
@@ -25,40 +28,65 @@ def matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.float32)
 
 
-def unit_vectors(embeddings: DataFrame) -> tuple[DataFrame, int]:
-    """(node, vec_ids, x) for each distinct unit vector, and the vectors' width."""
-    sized = embeddings.where("vec_id is not null and embedding is not null and size(embedding) > 0").select("vec_id", "embedding", F.size("embedding").alias("width"))
-    top = sized.groupBy("width").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "width").first()
-    if top is None:
-        return sized.where("false").select(F.col("vec_id").alias("node"), F.array("vec_id").alias("vec_ids"), F.col("embedding").alias("x")), 0
+def by_width(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of vectors of several widths: each width, the places of its vectors, and they as a matrix."""
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    for width in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == width)
+        yield width, at, matrix(column if len(at) == len(sizes) else column.take(pa.array(at)), width)
+
+
+def unit_vectors(embeddings: DataFrame) -> DataFrame:
+    """(vec_id, x) of every row with an id and a direction."""
     x = F.transform("embedding", lambda v: v.cast("double"))
     square = F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v)
-    usable = sized.where(F.col("width") == top["width"]).withColumn("square", square).where("square > 0 and square < double('infinity') and not isnan(square)")
-    unit = usable.select("vec_id", F.transform("embedding", lambda v: (v.cast("double") / F.sqrt("square")).cast("float")).alias("x"))
-    return unit.groupBy("x").agg(F.min("vec_id").alias("node"), F.collect_set("vec_id").alias("vec_ids")).select("node", "vec_ids", "x"), top["width"]
+    usable = embeddings.where("vec_id is not null and embedding is not null and size(embedding) > 0").select("vec_id", "embedding", square.alias("square")).where("square > 0 and square < double('infinity') and not isnan(square)")
+    return usable.select("vec_id", F.transform("embedding", lambda v: (v.cast("double") / F.sqrt("square")).cast("float") + F.lit(0.0).cast("float")).alias("x"))
+
+
+class Cells:
+    """Unit centroids by width of their vectors; cells of all widths are numbered together."""
 
+    def __init__(self, of: dict[int, np.ndarray]):
+        self.of, self.base, n = of, {}, 0
+        for width in sorted(of):
+            self.base[width] = n
+            n += len(of[width])
 
-def centroids(vectors: DataFrame, width: int, k: int) -> np.ndarray:
-    """k unit centroids by spherical k-means over all vectors, from those of the least hashed nodes."""
-    first = vectors.select("x").orderBy(F.xxhash64("node"), "node").limit(k).collect()
-    c = np.array([r["x"] for r in first], np.float32)
+    def set(self, cell: int, total: np.ndarray) -> None:
+        if (length := np.linalg.norm(total)) > 0:
+            self.of[len(total)][cell - self.base[len(total)]] = total / length
+
+
+def centroids(vectors: DataFrame) -> Cells:
+    """Unit centroids by spherical k-means over all vectors of each width, as many as the root of their number, from those of the least hashed nodes."""
     spark = vectors.sparkSession
+    counts = {r["width"]: r["n"] for r in vectors.groupBy("width").agg(F.count("*").alias("n")).collect()}
+    number = {w: math.ceil(math.sqrt(n)) for w, n in counts.items()}
+    if not counts:
+        return Cells({})
+    steps = F.create_map(*[F.lit(v) for w, n in counts.items() for v in (w, max(1, n // (2 * number[w] + 64)))])
+    h = F.xxhash64("node")
+    first = vectors.where(F.pmod(h, steps[F.col("width")]) == 0).select("width", "x", h.alias("h"), "node").collect()
+    first.sort(key=lambda r: (r["h"], r["node"]))
+    cells = Cells({w: np.array([r["x"] for r in first if r["width"] == w][: number[w]], np.float32) for w in counts})
+    shape = "cell int, total binary"
     for _ in range(ROUNDS):
-        shared = spark.sparkContext.broadcast(c)
+        shared = spark.sparkContext.broadcast(cells)
 
         def assign(source, shared=shared):
-            c = shared.value
-            sums, counts = np.zeros((len(c), width), np.int64), np.zeros(len(c), np.int64)
+            cells = shared.value
+            sums: dict[int, np.ndarray] = {}
             for batch in source:
-                x = matrix(batch.column(0), width)
-                best = (x @ c.T).argmax(axis=1)
-                order = np.argsort(best, kind="stable")
-                starts = np.flatnonzero(np.concatenate([[True], best[order][1:] != best[order][:-1]])) if len(order) else []
-                if len(starts):
-                    sums[best[order][starts]] += np.add.reduceat(np.rint(x[order] * SCALE).astype(np.int64), starts, axis=0)
-                counts += np.bincount(best, minlength=len(c))
-            there = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array([sums[j].tobytes() for j in there], pa.binary())], names=["cell", "total"])
+                for width, _, x in by_width(batch.column(0)):
+                    c = cells.of[width]
+                    total = sums.setdefault(width, np.zeros((len(c), width), np.int64))
+                    best = np.concatenate([(x[s : s + 4096] @ c.T).argmax(axis=1) for s in range(0, len(x), 4096)])
+                    order = np.argsort(best, kind="stable")
+                    starts = np.flatnonzero(np.concatenate([[True], best[order][1:] != best[order][:-1]]))
+                    total[best[order][starts]] += np.add.reduceat(np.rint(x[order] * SCALE).astype(np.int64), starts, axis=0)
+            rows = [(cells.base[w] + j, t[j].tobytes()) for w, t in sums.items() for j in np.flatnonzero(t.any(axis=1)).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["cell", "total"])
 
         def add(source):
             out: dict[int, np.ndarray] = {}
@@ -67,87 +95,78 @@ def centroids(vectors: DataFrame, width: int, k: int) -> np.ndarray:
                     out[j] = out.get(j, 0) + np.frombuffer(total, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([v.tobytes() for v in out.values()], pa.binary())], names=["cell", "total"])
 
-        shape = "cell int, total binary"
         for r in vectors.select("x").mapInArrow(assign, shape).repartition("cell").mapInArrow(add, shape).toLocalIterator():
-            total = np.frombuffer(r["total"], np.int64).astype(np.float64)
-            if (length := np.linalg.norm(total)) > 0:
-                c[r["cell"]] = total / length
+            cells.set(r["cell"], np.frombuffer(r["total"], np.int64).astype(np.float64))
         shared.unpersist()
-    return c
+    return cells
 
 
-def cells(vectors: DataFrame, width: int, c: np.ndarray, cosine: float) -> DataFrame:
-    """(cell, home, node, x): each vector in its nearest cell, its home, and in those whose border it is close to.
-
-    A near-duplicate's step, of length sin(acos(cosine)), has in any one direction a standard deviation of that over the root of the width - 1; a vector within SLACK of these of the border visits the cell behind it.
-    """
-    shared = vectors.sparkSession.sparkContext.broadcast(c)
-    near = SLACK * math.sqrt(max(0.0, 1 - cosine * cosine)) / math.sqrt(max(1, width - 1))
+def placed(vectors: DataFrame, cells: Cells) -> DataFrame:
+    """(cell, node, x): each vector in the VISITS cells whose centroids are nearest. What is copied is a fixed number of times the input, however many cells there are."""
+    shared = vectors.sparkSession.sparkContext.broadcast(cells)
 
     def place(source):
-        c = shared.value
+        cells = shared.value
         for batch in source:
-            if not batch.num_rows:
-                continue
-            node, x = batch.column(0).to_numpy(zero_copy_only=False), matrix(batch.column(1), width)
-            for s in range(0, len(x), 2048):
-                part = x[s : s + 2048]
-                dots = part @ c.T
-                home = dots.argmax(axis=1)
-                apart = np.sqrt(np.maximum(2 - 2 * (c[home] @ c.T), 1e-12))
-                visits = (dots[np.arange(len(part)), home][:, None] - dots) <= near * apart
-                visits[np.arange(len(part)), home] = True
-                row, cell = np.nonzero(visits)
-                values = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * width), pa.array(part[row].reshape(-1)))
-                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(home[row] == cell), pa.array(node[s : s + 2048][row], pa.int64()), values], names=["cell", "home", "node", "x"])
-
-    return vectors.select("node", "x").mapInArrow(place, "cell int, home boolean, node long, x array<float>")
-
-
-def links(placed: DataFrame, width: int, cosine: float) -> DataFrame:
-    """Links (a, b) of vectors at least `cosine` alike, found within cells by blocks of home vectors against all: within a block, a spanning forest of its pairs."""
-    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")).withColumnRenamed("cell", "of")
-    rows = placed.join(sizes, F.col("cell") == F.col("of")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    left = rows.where("home").select("cell", F.col("mine").alias("i"), F.explode(every).alias("j"), F.lit(True).alias("home"), "node", "x")
-    right = rows.select("cell", F.explode(every).alias("i"), F.col("mine").alias("j"), F.lit(False).alias("home"), "node", "x")
+            node = batch.column(0).to_numpy(zero_copy_only=False)
+            for width, at, x in by_width(batch.column(1)):
+                c = cells.of[width]
+                visits = min(VISITS, len(c))
+                for s in range(0, len(x), 4096):
+                    part = x[s : s + 4096]
+                    near = np.argpartition(-(part @ c.T), visits - 1, axis=1)[:, :visits] + cells.base[width]
+                    values = pa.ListArray.from_arrays(pa.array(np.arange(near.size + 1, dtype=np.int32) * width), pa.array(np.repeat(part, visits, axis=0).reshape(-1)))
+                    yield pa.RecordBatch.from_arrays([pa.array(near.reshape(-1), pa.int32()), pa.array(np.repeat(node[at[s : s + 4096]], visits), pa.int64()), values], names=["cell", "node", "x"])
+
+    return vectors.select("node", "x").mapInArrow(place, "cell int, node long, x array<float>")
+
+
+def links(rows: DataFrame, cosine: float) -> DataFrame:
+    """Links (a, b) of vectors at least `cosine` alike that share a cell: its vectors are compared in pairs of blocks, each of which gives a spanning forest of its pairs."""
+    sizes = rows.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")).withColumnRenamed("cell", "of")
+    blocked = rows.join(sizes, F.col("cell") == F.col("of")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = other.select("cell", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "x")
 
     def compare(block: pa.Table) -> pa.Table:
-        home = block.column("home").to_numpy()
-        node, x = block.column("node").to_numpy(), matrix(block.column("x"), width)
-        a_nodes, a, b_nodes, b = node[home], x[home], node[~home], x[~home]
-        pairs_a, pairs_b = [], []
-        for s in range(0, len(a), 1024):
-            i, j = np.nonzero(a[s : s + 1024] @ b.T >= np.float32(cosine))
-            pairs_a.append(a_nodes[s : s + 1024][i])
-            pairs_b.append(b_nodes[j])
-        p, q = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (pairs_a, pairs_b))
-        p, q = p[p != q], q[p != q]
+        mine, i, j = block.column("mine").to_numpy(), block.column("i")[0].as_py(), block.column("j")[0].as_py()
+        node, x = block.column("node").to_numpy(), matrix(block.column("x"), len(block.column("x")[0]))
+        a_nodes, a, b_nodes, b = node[mine == i], x[mine == i], node[mine == j], x[mine == j]
+        p, q, held = [], [], 0
+        for s in range(0, len(a), 256):
+            after = s if i == j else 0  # the earlier ones have been compared
+            u, v = np.nonzero(a[s : s + 256] @ b[after:].T >= np.float32(cosine))
+            u, v = a_nodes[s : s + 256][u], b_nodes[after:][v]
+            p.append(u[u != v])
+            q.append(v[u != v])
+            held += len(p[-1])
+            if held > PAIRS:
+                p, q = ([f] for f in forest(np.concatenate(p), np.concatenate(q)))
+                held = 0
+        p, q = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (p, q))
         if len(p):
             p, q = forest(p, q)
             p, q = p[p != q], q[p != q]
         return pa.table({"a": pa.array(p, pa.int64()), "b": pa.array(q, pa.int64())})
 
-    return left.unionByName(right).groupBy("cell", "i", "j").applyInArrow(compare, "a long, b long")
+    return pairs.groupBy("cell", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, group_id, keep) for every vec_id: the least vec_id of its group of near-duplicates, and whether it is that one, which is kept.
 
-    Spherical k-means with as many cells as the root of the number of vectors assigns each vector to a home cell; near a border it also visits the neighbour. Within a cell, home vectors are compared with all others in blocks of at most BLOCK a side; vectors of at least `cosine` are linked and groups are the connected components. Equal directions are joined beforehand and compared once. A pair is missed only if it is cut by a border further than SLACK standard deviations away; tests measure the recall against brute force.
+    Spherical k-means with as many cells as the root of the number of vectors, for each width of vectors, puts each vector in its VISITS nearest cells. All vectors of a cell are compared in blocks of about BLOCK a side; those of at least `cosine` are linked and groups are the connected components. Equal directions are joined beforehand and compared once. A pair is missed only if none of its nearest cells is the same; tests measure the recall against brute force.
 
-    Null and empty embeddings, those with a zero, infinite or undefined length and those of another width than most are kept in groups of their own. Null vec_ids are left out; a repeated vec_id is one node and gives one row. Other columns are ignored.
+    Null and empty embeddings and those with a zero, infinite or undefined length are kept in groups of their own; vectors are only like those of their own width. Null vec_ids are left out; a repeated vec_id is one node and gives one row, in the group of all its vectors. Ties: the least vec_id stands for its group. An empty table gives an empty one; other columns, of any name, are ignored.
     """
-    distinct, width = unit_vectors(embeddings)
+    unit = unit_vectors(embeddings)
+    key = [F.xxhash64("x").alias("g"), F.hash("x").alias("g2")]
     ids = embeddings.where("vec_id is not null").select("vec_id").distinct()
-    if not width:
-        return ids.select("vec_id", F.col("vec_id").alias("group_id"), F.lit(True).alias("keep"))
-    vectors = written(distinct, "vectors")
-    k = math.ceil(math.sqrt(max(1, vectors.count())))
-    placed = written(cells(vectors, width, centroids(vectors, width, k), cosine), "cells")
-    same = vectors.where("size(vec_ids) > 1").select(F.explode("vec_ids").alias("a"), F.col("node").alias("b"))
-    roots = components(links(placed, width, cosine).union(same))
-    dropped(placed)
+    vectors = written(unit.groupBy("x").agg(F.min("vec_id").alias("node")).select("node", F.size("x").alias("width"), "x"), "vectors")
+    same = unit.select("vec_id", *key).join(vectors.select("node", *key), ["g", "g2"]).where("vec_id <> node").select(F.col("vec_id").alias("a"), F.col("node").alias("b"))
+    cells = written(placed(vectors, centroids(vectors)), "cells")
+    roots = components(links(cells, cosine).union(same))
+    dropped(cells, vectors)
     root = F.coalesce("root", "vec_id")
     return ids.join(roots, ids["vec_id"] == roots["node"], "left").select("vec_id", root.alias("group_id"), (F.col("vec_id") == root).alias("keep"))
 
