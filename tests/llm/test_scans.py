@@ -261,6 +261,32 @@ def test_forward_backward_is_the_sum_over_all_labellings():
         assert np.allclose(p[start : start + n], want / want.sum(axis=1, keepdims=True))
 
 
+def test_words_of_code_switched_texts_are_labelled(language_sample):
+    rng = random.Random(5)
+    rng.shuffle(language_sample)
+    field = L.fit(language_sample[150:])
+    held = [(lang, words(t)) for lang, t in language_sample[:150] if len(words(t)) >= 80]
+    right = total = 0
+    kept = []
+    for (a, x), (b, y) in zip(held, held[1:], strict=False):
+        truth = [a] * 30 + [b] * 25 + [a] * 20
+        text = x[:30] + y[:25] + x[30:50]
+        found = L.verdicts(field, [" ".join(text)], [a])
+        spans = found["spans"].to_pylist()[0]
+        labels = [s["language"] for s in spans for _ in range(s["first"], s["last"] + 1)]
+        assert len(labels) == len(text) and found["switches"] == [len(spans) - 1]
+        kept.append(found["accepted"][0])
+        right += sum(p == q for p, q in zip(labels, truth, strict=True))
+        total += len(truth)
+    assert right >= 0.95 * total and np.mean(kept) >= 0.97  # some texts are declared wrongly
+
+
+def test_the_verdict_on_shares_grows_stricter_with_length():
+    assert L.reached(0.3, 10**9) == pytest.approx(0.3, abs=1e-3)
+    assert all(L.reached(0.0, n) > L.reached(0.0, n + 1) for n in range(1, 50))
+    assert L.reached(0.0, 3) >= L.LEAST_DECLARED > L.reached(0.05, 40)
+
+
 def test_wrongly_declared_texts(language_sample, monkeypatch):
     rng = random.Random(3)
     rng.shuffle(language_sample)

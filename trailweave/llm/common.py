@@ -92,7 +92,7 @@ def batches(df: DataFrame, function, schema: str) -> DataFrame:
         for batch in source:
             out = function(batch)
             if out is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+                yield pa.RecordBatch.from_arrays([out[f.name].cast(f.type) if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter, defaultdict
 from itertools import chain
 
@@ -17,10 +18,8 @@ SAMPLE_DOCS = 300  # labelled documents of a language that the field is fitted o
 SAMPLE_WORDS = 20_000  # words of a language that it is fitted on, at most
 ROUNDS = 80
 LEAST_SHARE = 0.5  # of the words, in the posterior mean, that the main language of an accepted text of undeclared language has
-LEAST_DECLARED = 0.3  # of the words, that the declared language of an accepted text has, so that code-switched texts stay
-SHORT = 20  # texts of fewer words need clear evidence against the declared language
-LEAST_SHORT = 0.05  # of the words, that the declared language of an accepted text of fewer than SHORT words has
-EVIDENCE = 4  # words in other languages, in the posterior mean, that are enough against such a text
+LEAST_DECLARED = 0.3  # of the words, that the declared language of an accepted text may have, so that code-switched texts stay
+DEVIATIONS = 1.5  # by which the share of a text's words may fall short of what it has in texts like it
 SEED = 7
 
 
@@ -139,11 +138,15 @@ class Field:
         return alpha
 
 
-def summaries(field: Field, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The words of each text, its mean label probabilities, and its changes of the likeliest label. Chains of similar length are worked on together, about AT_ONCE words at a time."""
+Runs = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def summaries(field: Field, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[Runs]]:
+    """The words of each text, its mean label probabilities, and the runs of words with the same likeliest label (first word, word after the last, label). Chains of similar length are worked on together, about AT_ONCE words at a time."""
     at, rows = field.rows_of(texts)
     sizes = np.fromiter(map(len, at), np.int64, len(at))
-    shares, changes = np.zeros((len(at), len(field.labels))), np.zeros(len(at), np.int64)
+    none = np.zeros(0, np.int64)
+    shares, runs = np.zeros((len(at), len(field.labels))), [(none, none, none)] * len(at)
     order = [k for k in np.argsort(sizes, kind="stable").tolist() if sizes[k]]
     while order:
         part, held = [], 0
@@ -154,10 +157,21 @@ def summaries(field: Field, texts: list[str | None]) -> tuple[np.ndarray, np.nda
         starts = np.cumsum(sizes[part]) - sizes[part]
         shares[part] = np.add.reduceat(p, starts, axis=0, dtype=np.float64) / sizes[part][:, None]
         best = p.argmax(axis=1)
-        changed = np.concatenate([[False], best[1:] != best[:-1]])
-        changed[starts] = False
-        changes[part] = np.add.reduceat(changed, starts, dtype=np.int64)
-    return sizes, shares, changes
+        changed = np.concatenate([[True], best[1:] != best[:-1]])
+        changed[starts] = True
+        first = np.flatnonzero(changed)
+        last, label = np.append(first[1:], len(best)), best[first]
+        bounds = np.searchsorted(first, np.append(starts, len(best))).tolist()
+        for j, k in enumerate(part):
+            of = slice(bounds[j], bounds[j + 1])
+            runs[k] = first[of] - starts[j], last[of] - starts[j], label[of]
+    return sizes, shares, runs
+
+
+def reached(share: float, n: int) -> float:
+    """The greatest share of a language of which `share` of n words is at most DEVIATIONS standard deviations short (Wilson's bound): little evidence rules little out."""
+    z2 = DEVIATIONS * DEVIATIONS
+    return (share + z2 / (2 * n) + DEVIATIONS * math.sqrt(max(0.0, share * (1 - share) / n + z2 / (4 * n * n)))) / (1 + z2 / n)
 
 
 def fit(rows: list[tuple[str, str]]) -> Field:
@@ -256,15 +270,26 @@ def labelled_sample(docs: DataFrame) -> list[tuple[str, str]]:
     return out
 
 
-def verdicts(field: Field | None, texts: list[str | None], declared: list[str | None]) -> dict[str, list]:
-    """Of each text: its main language, that language's share of the words, the next one and its share, the changes of language, the words, and whether it is accepted."""
-    out: dict[str, list] = {n: [] for n in ("language", "share", "second", "second_share", "switches", "n_words", "accepted")}
+SPANS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("language", pa.string())]))
+
+
+def spans_of(field: Field | None, runs: list[Runs]) -> pa.Array:
+    """For each text the runs of words in a language: first word, last word, language."""
+    offsets = pa.array(np.concatenate([[0], np.cumsum([len(r[0]) for r in runs])]).astype(np.int32))
+    first, last, label = (np.concatenate([r[k] for r in runs]) if runs else np.zeros(0, np.int64) for k in range(3))
+    names = pa.array(field.labels if field else [], pa.string()).take(pa.array(label)) if len(label) else pa.array([], pa.string())
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(first, pa.int32()), pa.array(last - 1, pa.int32()), names], fields=list(SPANS.value_type)))
+
+
+def verdicts(field: Field | None, texts: list[str | None], declared: list[str | None]) -> dict:
+    """Of each text: its main language, that language's share of the words, the next one and its share, the changes of language, the words, whether it is accepted, and the runs of words by language."""
+    out: dict = {n: [] for n in ("language", "share", "second", "second_share", "switches", "n_words", "accepted")}
     if field is None:
         for t in texts:
             for n, v in zip(out, (None, None, None, None, 0, len(words(t)) if t else 0, False), strict=True):
                 out[n].append(v)
-        return out
-    sizes, shares, changes = summaries(field, texts)
+        return out | {"spans": spans_of(None, [(np.zeros(0, np.int64),) * 3] * len(texts))}
+    sizes, shares, runs = summaries(field, texts)
     ranked = np.argsort(-shares, axis=1, kind="stable")
     for k, n in enumerate(sizes.tolist()):
         if not n:
@@ -272,30 +297,24 @@ def verdicts(field: Field | None, texts: list[str | None], declared: list[str |
         else:
             share, main, second = shares[k], ranked[k, 0], ranked[k, 1] if len(field.labels) > 1 else None
             known = declared[k] in field.labels
-            own = share[field.labels.index(declared[k])] if known else 0.0
-            if not known:
-                fits = share[main] >= LEAST_SHARE
-            elif n < SHORT:
-                fits = own >= LEAST_SHORT or n * (1 - own) < EVIDENCE
-            else:
-                fits = own >= LEAST_DECLARED
-            row = (field.labels[main], round(float(share[main]), 6), None if second is None else field.labels[second], None if second is None else round(float(share[second]), 6), int(changes[k]), n, bool(fits))
+            fits = reached(float(share[field.labels.index(declared[k])]), n) >= LEAST_DECLARED if known else share[main] >= LEAST_SHARE
+            row = (field.labels[main], round(float(share[main]), 6), None if second is None else field.labels[second], None if second is None else round(float(share[second]), 6), len(runs[k][0]) - 1, n, bool(fits))
         for name, v in zip(out, row, strict=True):
             out[name].append(v)
-    return out
+    return out | {"spans": spans_of(field, runs)}
 
 
 def identify(docs: DataFrame, field: Field | None) -> DataFrame:
-    """Per document (doc_id, lang, language, share, second, second_share, switches, n_words, accepted).
+    """Per document (doc_id, lang, language, share, second, second_share, switches, n_words, accepted, spans).
 
-    Every word gets label probabilities from the field by forward-backward over the whole text. A text is accepted if the language it is declared to be in has at least LEAST_DECLARED of its words, so that text that switches to another language stays; for a text of fewer than SHORT words LEAST_SHORT of them are enough, and fewer than EVIDENCE words in other languages are no evidence against it. With a null or unknown declaration, the main language must have LEAST_SHARE of the words. Null, empty and wordless texts have no language and aren't accepted. Ties go to the language that is first in the alphabet. Rows with repeated or null doc_ids are judged one by one; other columns are ignored.
+    Every word gets label probabilities from the field by forward-backward over the whole text; `spans` are the runs of words of one likeliest language, which cover the text. A text is accepted if the language it is declared to be in may have LEAST_DECLARED of the words: if the share that it has in the posterior mean is at most DEVIATIONS standard deviations short of that, at any length, so a text that switches to another language stays, and so does one of a few words that tell little. With a null or unknown declaration, the main language must have LEAST_SHARE of the words. Null, empty and wordless texts have no language and no span and aren't accepted, nor is anything where no text is labelled; an empty table gives an empty one. Ties go to the language that is first in the alphabet. Very long texts are labelled whole. Rows with repeated or null doc_ids are judged one by one; other columns, of any name, are ignored.
     """
 
     def one(batch: pa.RecordBatch) -> dict:
         ids, lang = batch.column(0), batch.column(2)
         return {"doc_id": ids, "lang": lang} | verdicts(field, batch.column(1).to_pylist(), lang.to_pylist())
 
-    return batches(docs.select("doc_id", "text", "lang"), one, "doc_id long, lang string, language string, share double, second string, second_share double, switches int, n_words int, accepted boolean")
+    return batches(docs.select("doc_id", "text", "lang"), one, "doc_id long, lang string, language string, share double, second string, second_share double, switches int, n_words int, accepted boolean, spans array<struct<first:int,last:int,language:string>>")
 
 
 def train(docs: DataFrame) -> Field | None:
@@ -310,7 +329,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_accepted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose language is accepted, with all their columns."""
+    """The documents whose language is accepted, with all their columns, decided row by row as in `identify`: null, empty and wordless texts go, repeated rows stay or go together, an empty table stays empty; other columns may have any name."""
     field = train(docs)
     names = docs.columns
     text, lang = names.index("text"), names.index("lang")
