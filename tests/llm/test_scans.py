@@ -451,6 +451,38 @@ def test_quality_on_held_out_labels(spark):
     assert np.mean([s >= Q.KEEP for s, q in held if q]) >= 0.97
 
 
+def test_quality_differences_by_their_definition(spark):
+    rng = random.Random(4)
+    text = lambda kind: " ".join("".join(rng.choice(kind) for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(1, 900)))
+    rows = [(1, text("abcdef")) for _ in range(9)] + [(0, text("uvwxyz#$")) for _ in range(9)]
+    judge = Q.train(rows, 0.6)
+    docs = [(k, text("abcdefuvw\u00fc")) for k in range(12)]
+    got = {r["doc_id"]: r for r in Q.classify(frame(spark, docs), judge).collect()}
+    for k, t in docs:
+        raw, sizes = t.encode(), []
+        for content in (judge.good, judge.bad):
+            whole = Q.zstandard.ZstdCompressionDict(content, dict_type=Q.zstandard.DICT_TYPE_RAWCONTENT)
+            whole.precompute_compress(level=Q.LEVEL)
+            pack = Q.zstandard.ZstdCompressor(dict_data=whole, write_content_size=False, write_dict_id=False)
+            sizes.append(sum(len(pack.compress(raw[s : s + Q.BLOCK])) for s in range(0, len(raw), Q.BLOCK)))
+        want = (sizes[1] - sizes[0]) / (sizes[1] + sizes[0])
+        score = 1 / (1 + np.exp(-(judge.slope * want + judge.offset)))
+        assert got[k]["difference"] == round(want, 6) and got[k]["score"] == pytest.approx(score, abs=1e-6) and got[k]["keep"] == (score >= Q.KEEP)
+    for q, content in ((1, judge.good), (0, judge.bad)):  # what the dictionaries hold of the labelled texts
+        own = [t for kind, t in rows if kind == q]
+        assert content == Q.dictionary([t for k, t in enumerate(own) if k % 3])
+
+
+def test_quality_sample_is_bounded(spark, monkeypatch):
+    docs = frame(spark, [(k, f"{k} " + "word " * 50) for k in range(200)] + [(500, None), (501, "")])
+    labels = frame(spark, [(k, k % 2) for k in range(200)] + [(500, 1), (None, 1)], "doc_id long, quality int")
+    monkeypatch.setattr(Q, "SAMPLE", 30)
+    rows, good = Q.sample(docs, labels)
+    assert [sum(q == c for q, _ in rows) for c in (0, 1)] == [30, 30] and good == pytest.approx(0.5, abs=0.01)
+    monkeypatch.setattr(Q, "SAMPLE_CHARS", 1000)
+    assert [sum(q == c for q, _ in Q.sample(docs, labels)[0]) for c in (0, 1)] == [4, 4]
+
+
 def test_quality_odd_rows(spark):
     good, bad = ["plain words of good prose " * 9] * 5, ["$$$ %%% ### !!! " * 9] * 5
     judge = Q.train([(1, t) for t in good] + [(0, t) for t in bad])
@@ -474,17 +506,57 @@ def test_urls(spark):
     assert U.filtered(pages.where("false")).count() == 0
 
 
-def test_url_counts_are_the_brute_force_ones(spark):
-    urls = ["http://a.b/c", "https://casino.x/yy", "http://a.b/cd"]
-    counts = U.count(frame(spark, [(1, u) for u in urls], "page_id long, url string"))
-    for kind in (0, 1):
-        of = [U.usable(u) for u in urls if U.is_rejected(U.host_of(u)) == bool(kind)]
-        _, contexts, pairs = U.cells(of)
-        for got, slots in zip(counts[kind], (contexts, pairs), strict=True):
-            want = np.zeros(U.SLOTS, int)
-            np.add.at(want, slots.reshape(-1), 1)
-            assert (got == want).all()
-    assert counts[0].sum() == 2 * 7 * (len(b"a.b/c") + len(b"a.b/cd") + 2)
+def brute_url_scores(urls, rejected, fold):
+    """Mean log-likelihood difference by the definition: dictionaries of counts, the other fold's models."""
+    counts = {}
+    for u, r, f in zip(urls, rejected, fold, strict=True):
+        text = b"\x02" * U.ORDER + U.usable(u) + b"\x03"
+        for k in range(U.ORDER, len(text)):
+            for n in range(U.ORDER + 1):
+                c = text[k - n : k]
+                for key in ((r, f, c, None), (r, f, c, text[k])):
+                    counts[key] = counts.get(key, 0) + 1
+    out = []
+    for u, f in zip(urls, fold, strict=True):
+        text, total = b"\x02" * U.ORDER + U.usable(u) + b"\x03", 0.0
+        for k in range(U.ORDER, len(text)):
+            for r, sign in ((False, 1), (True, -1)):
+                p = 1 / U.ALPHABET
+                for n in range(U.ORDER + 1):
+                    c = text[k - n : k]
+                    p = (counts.get((r, 1 - f, c, text[k]), 0) + U.MASS * p) / (counts.get((r, 1 - f, c, None), 0) + U.MASS)
+                total += sign * np.log(p)
+        out.append(total / (len(text) - U.ORDER))
+    return out
+
+
+@pytest.mark.parametrize("most", [4_000_000, 0])
+def test_url_scores_and_threshold_are_the_brute_force_ones(spark, monkeypatch, most):
+    monkeypatch.setattr(U, "BROADCAST_GRAMS", most)
+    rng = random.Random(most)
+    word = lambda: "".join(rng.choice("abcdeiou\u00fc") for _ in range(rng.randint(2, 9)))
+    urls = [f"https://{word()}.org/{word()}/{word()}" for _ in range(60)] + [f"http://{word()}-casino.com/{word()}-win" for _ in range(25)]
+    pages = frame(spark, [(k, u) for k, u in enumerate([*urls, *urls[:5], None, ""])], "page_id long, url string")
+    fold = [r[0] for r in frame(spark, [(u,) for u in urls], "url string").select(F.pmod(F.xxhash64("url"), F.lit(2))).collect()]
+    want = dict(zip(urls, brute_url_scores(urls, ["-casino" in u for u in urls], fold), strict=True))
+    found = U.filtered(pages).collect()
+    assert len(found) == len(urls) + 7
+    for r in found:
+        if r["url"]:
+            assert r["score"] == pytest.approx(want[r["url"]], abs=2e-6) and r["rejected_seed"] == ("-casino" in r["url"])
+    wrong = lambda t: np.mean([v < t for u, v in want.items() if "-casino" not in u]) + np.mean([v >= t for u, v in want.items() if "-casino" in u])
+    kept = {r["url"] for r in found if r["keep"]}
+    assert wrong(min(want[u] for u in kept)) <= min(wrong(t) for t in want.values()) + 0.03
+
+
+def test_seeds_are_whole_parts_of_a_host_or_given(spark):
+    assert [U.is_rejected(U.host_of(u)) for u in ("http://www.casino-win.com/x", "alphabets.example.org", "https://downloads-server.org", "antispam.example.org", "http://u@free-bets.com:80/", "x.org/casino")] == [True, False, False, False, True, False]
+    urls = [f"http://host{k % 5}.org/{'good' if k % 2 else 'evil'}/{k}" for k in range(600)]
+    pages = frame(spark, list(enumerate(urls)), "page_id long, url string")
+    seeds = frame(spark, [(u, "evil" in u) for u in random.Random(1).sample(urls, 500)] + [(None, True), ("http://other", None)], "url string, rejected boolean")
+    kept = {r["page_id"]: r["keep"] for r in U.filtered(pages, seeds).collect()}
+    assert np.mean([kept[k] == bool(k % 2) for k in range(600)]) >= 0.95  # half of the pages go, unlisted ones too
+    assert all(r["keep"] for r in U.filtered(pages).collect())  # no rejected seed
 
 
 def test_mix_against_sql(spark):
@@ -508,6 +580,8 @@ def test_mix_weights_and_odd_rows(spark):
     assert set(copies.values()) <= {1, 2}
     assert not [r for r in found if r["source"] in (None, "empty")]
     mixed = M.training_mix(spark, docs, "")
-    assert mixed.columns == ["doc_id", "text", "source", "unit", "copy"]
-    assert mixed.count() == M.mix_sources(docs).count()
+    assert mixed.columns == ["doc_id", "text", "source", "copy", "unit", "copy_"]
+    assert sorted(map(repr, mixed.select("doc_id", "source", "copy_").collect())) == sorted(map(repr, M.mix_sources(docs).withColumnRenamed("copy", "copy_").collect()))
+    other = docs.where("doc_id = 7").select("doc_id", "text", "source", F.expr("uuid()").alias("lang"), F.lit(1).alias("g"))
+    assert {r["lang"] for r in M.training_mix(spark, frame(spark, [tuple(r) for r in other.collect()], DOC + ", source string, lang string, g int"), "").collect()}
     assert M.mix_sources(docs.where("false")).count() == 0
