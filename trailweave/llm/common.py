@@ -39,6 +39,11 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def hashable(df: DataFrame) -> list[str]:
+    """The columns that Spark can hash: all but those with maps."""
+    return [f"`{c.name}`" for c in df.schema if "map<" not in c.dataType.simpleString()]
+
+
 def words(text: str) -> list[str]:
     """Lower-case runs of letters, digits and underscores."""
     return WORD.findall(text.lower())

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table, written
+from .common import hashable, table, unused, written
 
 UNIT = 1_000_000  # one copy, in the fixed-point unit of the prefix sums
 SEED = 42
@@ -42,41 +42,41 @@ def text_hash() -> Column:
 def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, total_chars: int | None = None) -> DataFrame:
     """The mix as (doc_id, source, copy), a row for each copy that is taken, copies of a document counting from 1.
 
-    Within a source, documents in the order of doc_id (then of text hash, so ties have a defined order) hold consecutive stretches of a line, each as long as its expected copies; a copy is emitted for each whole number crossed after a random start. A document's copies are thus its expected number rounded down or up, and a source's total is within one of its target. Null sources form a source of their own; null and empty texts count no characters but are sampled as others are; a source without characters or weight yields nothing; repeated doc_ids are sampled separately; other columns are ignored.
+    Within a source, documents in the order of doc_id (then of text hash, so ties have a defined order) hold consecutive stretches of a line, each as long as its expected copies; a copy is emitted for each whole number crossed after a random start. A document's copies are thus its expected number rounded down or up, and a source's total is within one of its target. Null sources form a source of their own; null and empty texts count no characters but are sampled as others are; a source without characters or weight yields nothing; repeated doc_ids and repeated rows are sampled separately; very long texts count all their characters; an empty table gives an empty mix; other columns, of any name, are ignored.
 
     The prefix sum is done in two levels over ranges of (source, doc_id), so a hot source is spread over many tasks: sums within a range, plus the sums of the ranges before it. Only those narrow rows are shuffled, never texts. The ranges are written once, so a task run again sees the same ones.
     """
-    return picks(docs, weights, total_chars).drop("h")
+    copies = picks(docs.select("doc_id", "source", text_hash()), expected(docs, weights, total_chars), ["h"])
+    return copies.select("doc_id", "source", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
 
 
-def picks(docs: DataFrame, weights: dict[str, int] | None = None, total_chars: int | None = None) -> DataFrame:
-    """The mix as in `mix_sources`, with the hash of the text that was taken."""
-    narrow = docs.select("doc_id", "source", text_hash())
-    ranged = written(
-        narrow.repartitionByRange("source", "doc_id", "h").withColumn("part", F.spark_partition_id()),
-        "mix",
-    )
-    rates = expected(docs, weights, total_chars)
+def picks(narrow: DataFrame, rates: DataFrame, ties: list[str]) -> DataFrame:
+    """The rows of which a copy is taken, with their number of copies. `narrow` has doc_id, source and the columns that order rows of one doc_id."""
+    order = ["doc_id", *ties]
+    ranged = written(narrow.repartitionByRange("source", *order).withColumn("part", F.spark_partition_id()), "mix")
     counts = ranged.groupBy("source", "part").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col("source").alias("o_source"), F.col("part").alias("o_part"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    within = Window.partitionBy("source", "part").orderBy("doc_id", "h")
+    within = Window.partitionBy("source", "part").orderBy(*order)
     placed = ranged.withColumn("rank", F.row_number().over(within))
     line = placed.join(offsets, placed["source"].eqNullSafe(offsets["o_source"]) & (placed["part"] == offsets["o_part"])).join(rates, placed["source"].eqNullSafe(rates["of_source"]))
     line = line.withColumn("finish", F.expr("start + (before + rank) * unit"))
-    copies = line.select("doc_id", "source", "h", F.expr(f"cast(finish div {UNIT} - (finish - unit) div {UNIT} as int)").alias("copies"))
-    return copies.where("copies > 0").select("doc_id", "source", "h", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return line.select(*narrow.columns, F.expr(f"cast(finish div {UNIT} - (finish - unit) div {UNIT} as int)").alias("copies")).where("copies > 0")
 
 
 def training_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix with all their columns, a row for each copy, and its number as `copy` (a column of that name that the documents have is replaced)."""
-    taken = picks(docs).select(F.col("doc_id").alias("m_doc"), F.col("source").alias("m_source"), F.col("h").alias("m_h"), F.col("copy").alias("m_copy"))
-    mark = "m_text"
-    while mark in docs.columns:
-        mark += "_"
-    whole = docs.withColumn(mark, F.coalesce(F.xxhash64("text"), F.lit(0))).dropDuplicates(["doc_id", "source", mark])
-    same = whole["doc_id"].eqNullSafe(taken["m_doc"]) & whole["source"].eqNullSafe(taken["m_source"]) & (whole[mark] == taken["m_h"])
-    return whole.join(taken, same).select(*[whole[c] for c in docs.columns if c != "copy"], taken["m_copy"].alias("copy"))
+    """The documents of the mix with all their columns, a row for each copy, and its number as `copy` (`copy_`, and so on, if the documents have a column of that name).
+
+    Documents of one doc_id are ordered by the hashes of their text and of all their columns; rows that are equal in all columns are sampled separately and the copies of all of them have the same columns. Null and empty texts, null sources, very long texts, ties and an empty table as in `mix_sources`; other columns may have any name. Texts are shuffled once.
+    """
+    g, g2 = (F.xxhash64(*hashable(docs)).alias("g"), F.hash(*hashable(docs)).alias("g2"))
+    taken = picks(docs.select("doc_id", "source", text_hash(), g, g2), expected(docs), ["h", "g", "g2"])
+    taken = taken.groupBy(F.col("g").alias("t_g"), F.col("g2").alias("t_g2")).agg(F.flatten(F.collect_list(F.sequence(F.lit(1), F.col("copies")))).alias("t_copies"))
+    one, two, row, copy = (unused(docs, n) for n in ("g", "g2", "row", "copy"))
+    marked = docs.withColumns({one: F.xxhash64(*hashable(docs)), two: F.hash(*hashable(docs))})
+    whole = marked.join(taken, (marked[one] == taken["t_g"]) & (marked[two] == taken["t_g2"]))
+    first = whole.withColumn(row, F.row_number().over(Window.partitionBy(one, two).orderBy(one))).where(F.col(row) == 1)
+    return first.select(*[first[c] for c in docs.columns], F.explode("t_copies").alias(copy))
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

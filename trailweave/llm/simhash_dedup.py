@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Memo, batches, components, dropped, mix, table, unused, words, written
+from .common import Memo, batches, components, dropped, hashable, mix, table, unused, words, written
 
 LANES = 18  # independent fingerprints of a document
 BITS = 32  # of each; wider ones lose pairs near MOST_APART, narrower ones collide by chance, which grows with documents^2 * 2^-BITS
@@ -237,6 +237,6 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = docs.join(told, same(told), "left_anti")
     if again.limit(1).count():  # rows of one doc_id and text
         mark = unused(docs, "row")
-        by = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*[c.name for c in docs.schema if "map" not in c.dataType.simpleString()]))
+        by = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*hashable(docs)))
         kept = kept.union(docs.join(again, same(again), "left_semi").withColumn(mark, F.row_number().over(by)).where(F.col(mark) == 1).drop(mark))
     return kept
