@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from .common import batches, table
 
 SAMPLE = 600  # labelled texts of a class, at most: two thirds make the dictionary, one third calibrates
-SAMPLE_CHARS = 4_000_000  # of a class's sample, at most
-DICTIONARY = 448 * 1024  # bytes
+SAMPLE_CHARS = 4_000_000  # of a class's sample, at most, but for its last text
+DICTIONARY = 448 * 1024  # bytes of a class's dictionary: the texts of the sample share it evenly
 BLOCK = 1024  # bytes that are compressed at once, so that the dictionary counts throughout a long text
 LEVEL = 3
 KEEP = 0.5  # least score of a text that is kept
@@ -74,22 +74,28 @@ def dictionary(texts: list[str]) -> bytes:
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[int, str]], float]:
-    """(quality, text) of at most SAMPLE labelled documents of a class, chosen by a hash of doc_id, and the share of good ones among all labels. A document with labels of both kinds has none."""
+    """(quality, text) of at most SAMPLE labelled documents of a class, chosen by a hash of doc_id, and the share of good ones among all labels. A document with labels of both kinds has none. The bounds SAMPLE and SAMPLE_CHARS are of labelled rows only."""
     marks = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("q"), F.min("quality").alias("least")).where("q = least").select(F.col("doc_id").alias("of"), "q")
     counts = {r["q"]: r["n"] for r in marks.groupBy("q").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return [], 0.5
     chosen = marks.where(" or ".join(f"(q = {q} and pmod(xxhash64(of), {max(1, n // (2 * SAMPLE))}) = 0)" for q, n in counts.items()))
-    rows = docs.where("text is not null and length(trim(text)) > 0").select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select("of", "text", "q").collect()
-    out: list[tuple[int, str]] = []
-    for q in (0, 1):
-        chars, taken = 0, 0
-        for r in sorted((r for r in rows if r["q"] == q), key=lambda r: (hash_of(r["of"]), r["text"])):
+    usable = docs.where("text is not null and length(trim(text)) > 0")
+    sizes = usable.select("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("chars")).join(chosen, F.col("doc_id") == F.col("of")).select("of", "q", "h", "chars").collect()
+    picked = []
+    for q in (0, 1):  # by size alone, so that no text beyond the bounds comes to the driver
+        chars = taken = 0
+        for r in sorted((r for r in sizes if r["q"] == q), key=lambda r: (hash_of(r["of"]), r["h"])):
             if taken < SAMPLE and chars < SAMPLE_CHARS:
                 taken += 1
-                chars += len(r["text"])
-                out.append((q, r["text"]))
-    return out, counts[1] / (counts[0] + counts[1])
+                chars += r["chars"]
+                picked.append((r["of"], r["h"], q))
+    if not picked:
+        return [], 0.5
+    wanted = docs.sparkSession.createDataFrame(sorted(set(picked)), "of long, w bigint, q int")
+    rows = usable.select("doc_id", "text").join(wanted, (F.col("doc_id") == F.col("of")) & (F.xxhash64("text") == F.col("w"))).select("of", "text", "q").distinct().collect()
+    rows.sort(key=lambda r: (r["q"], hash_of(r["of"]), r["text"]))
+    return [(r["q"], r["text"]) for r in rows], counts[1] / (counts[0] + counts[1])
 
 
 def hash_of(n: int) -> int:
@@ -110,7 +116,7 @@ def train(rows: list[tuple[int, str]], good: float = 0.5) -> Judge | None:
 def classify(docs: DataFrame, judge: Judge | None) -> DataFrame:
     """(doc_id, difference, score, keep) of every document.
 
-    A text is compressed in blocks of BLOCK bytes, all of it, with zstandard dictionaries of good and of bad labelled text; `difference` is the normalised difference of the compressed sizes and `score` its calibrated probability of good quality, both rounded to six places. A text is kept from a score of KEEP. Null and empty texts have no difference and no score and aren't kept; without labels of both classes nothing has a score and everything else is kept. Rows are judged one by one, whatever their doc_id; other columns are ignored.
+    A text is compressed in blocks of BLOCK bytes, all of it, with zstandard dictionaries of good and of bad labelled text; `difference` is the normalised difference of the compressed sizes and `score` its calibrated probability of good quality, both rounded to six places. A text is kept from a score of KEEP. The dictionaries hold DICTIONARY bytes, an even share of each labelled text of the sample. Null and empty texts have no difference and no score and aren't kept; without labels of both classes nothing has a score and everything else is kept. Rows are judged one by one, whatever their doc_id, so repeated rows and ties get equal verdicts; very long texts are compressed whole; an empty table gives an empty one; other columns, of any name, are ignored.
     """
 
     def one(batch: pa.RecordBatch) -> dict:
