@@ -4,7 +4,8 @@ import pytest
 
 from trailweave.cli import main as cli
 from trailweave.cli.checkpoint import Checkpoint
-from trailweave.errors import CheckpointError, GraphLoadError, InvalidFormat, MissingColumn
+from trailweave.cli.run import estimates, timed
+from trailweave.errors import BenchError, CheckpointError, GraphLoadError, InvalidFormat, MissingColumn
 from trailweave.graph import PathGraph
 from trailweave.operators.relational import RelationalEvaluator
 from trailweave.plans.ast import Label, PathQuery, Variable
@@ -87,11 +88,53 @@ def test_turtle(spark, tmp_path):
     e:s e:p e:o , <o2> ; a e:T ; e:name "x; y."@en , 5 , true .
     [] e:p _:n . broken here . e:q e:p [ e:r e:z ] .
     e:l e:p ( 1 2 ) . e:last e:p 'a'^^e:t ."""
-    found = rows(read_rdf(spark, put(tmp_path, "a.ttl", text)))
+    path = put(tmp_path, "a.ttl", text)
+    made = {x for r in rows(read_rdf(spark, path)) for x in r if x.startswith("_:") and "/" in x}
+    tags = {x.partition("/")[0] for x in made}
+    assert len(tags) == 1 and len(made) == 2  # nodes without a label, told apart by file
+    found = [tuple(x.replace(f"{min(tags)}/", "_:genid") for x in r) for r in rows(read_rdf(spark, path))]
     assert found == sorted([("http://e/s", "http://e/p", "http://e/o"), ("http://e/s", "http://e/p", "http://b/o2"), ("http://e/s", "http://www.w3.org/1999/02/22-rdf-syntax-ns#type", "http://e/T"), ("_:genid1", "http://e/p", "_:n"), ("_:genid2", "http://e/r", "http://e/z"), ("http://e/q", "http://e/p", "_:genid2")])
     assert left_out(spark, str(tmp_path / "a.ttl")) == {"literal": 4, "fault": 2}
 
 
+def test_blank_nodes_of_several_files_stay_apart(spark, tmp_path):
+    for name in ("a.ttl", "b.ttl"):
+        put(tmp_path, name, "@prefix e: <http://e/> . [] e:p e:o . _:genid1 e:p e:o . [ e:q e:o ] .")
+    found = rows(read_rdf(spark, str(tmp_path), "turtle"))
+    assert len({s for s, _, _ in found}) == 5 and len(found) == 6
+
+
+@pytest.mark.parametrize(
+    ("text", "why"),
+    [
+        ("%%MatrixMarket matrix coordinate pattern general\n4 4 2\n1 2\n", "1 entries"),
+        ("%%MatrixMarket matrix coordinate pattern general\n4 4 1\n1 5\n", "within"),
+        ("%%MatrixMarket matrix coordinate pattern general\n4 4 1\nx y\n", "within"),
+        ("%%MatrixMarket matrix coordinate pattern general\n4 four 1\n1 2\n", "size line"),
+        ("%%MatrixMarket matrix array real general\n4 4\n1\n", "coordinate"),
+    ],
+)
+def test_faulty_matrices(spark, tmp_path, text, why):
+    with pytest.raises(InvalidFormat, match=why):
+        matrix(spark, put(tmp_path, "m.txt", text))
+
+
+def test_long_headers_and_edges_without_a_vertex(spark, tmp_path):
+    text = "%%MatrixMarket matrix coordinate pattern general\n" + "% note\n" * 1500 + "\n4 4 1\n2 3\n"
+    assert [tuple(r) for r in matrix(spark, put(tmp_path, "m.txt", text)).collect()] == [(1, 2)]
+    with pytest.raises(GraphLoadError, match="no vertex"):
+        read_matrix_market(spark, mm(tmp_path, vertices="A 1\nB 2\n"))
+
+
+def test_checked_graphs(spark):
+    vertices = spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string")
+    assert PathGraph.from_pairs(spark.createDataFrame([(1, 2), (1, 2)], "src long, dst long"), "p", vertices).num_edges("p") == 1
+    with pytest.raises(GraphLoadError, match="no vertex"):
+        PathGraph.from_pairs(spark.createDataFrame([(1, 3)], "src long, dst long"), "p", vertices)
+    with pytest.raises(GraphLoadError, match="id of their own"):
+        PathGraph.from_pairs(spark.createDataFrame([(1, 2)], "src long, dst long"), "p", vertices.union(vertices))
+
+
 def test_rdf_formats(spark):
     assert [format_of(x) for x in ("a.nt", "a.ntriples", "a.ttl", "a.turtle", "a.TTL", "a.xml")] == ["ntriples", "ntriples", "turtle", "turtle", None, None]
     with pytest.raises(GraphLoadError):
@@ -124,6 +167,18 @@ def test_command_line(spark, tmp_path):
     assert cli.main(["query", "-g", str(tmp_path / "none"), "-q", queries, "-a", "nfarpq"]) == 1
 
 
+def test_repeated_algorithms_and_samples(tmp_path, capsys):
+    args = cli.parser().parse_args(["bench", "-g", "g", "-q", "q", "-a", "nfarpq", "-a", "rpqmatrix", "--criterion-dir", "d"])
+    assert args.algo == ["nfarpq", "rpqmatrix"] and args.criterion_dir == "d"
+    assert cli.main(["bench", "-g", "g", "-q", "q", "-a", "nfarpq", "--plots"]) == 1 and "plots" in capsys.readouterr().err
+    folder = str(tmp_path / "deep" / "total")
+    found = timed(lambda: None, 5, 0, 0, folder)
+    assert found == estimates(folder) and found["iterations"] == 5
+    assert len(json.load(open(f"{folder}/sample.json"))["times"]) == 5
+    with pytest.raises(BenchError):
+        estimates(str(tmp_path))
+
+
 def test_checkpoint(tmp_path):
     path = str(tmp_path / "c.json")
     assert Checkpoint.load(path) is None

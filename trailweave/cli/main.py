@@ -23,7 +23,7 @@ def parser() -> argparse.ArgumentParser:
     common.add_argument("-f", "--format", choices=["mm", "csv", "rdf"], default="mm")
     common.add_argument("-q", "--queries", required=True, help="a line is an id, a comma and a path pattern")
     common.add_argument("-b", "--base-iri", nargs="?", const=DEFAULT_BASE, default=None, help=f"BASE of the patterns; without a value {DEFAULT_BASE}")
-    common.add_argument("-a", "--algo", nargs="+", choices=sorted(ALGORITHMS), required=True)
+    common.add_argument("-a", "--algo", nargs="+", action="extend", choices=sorted(ALGORITHMS), required=True)
     out = argparse.ArgumentParser(prog="trailweave", description="Regular path queries over edge-labelled graphs")
     commands = out.add_subparsers(dest="command", required=True)
     query = commands.add_parser("query", parents=[common], help="run each query once")
@@ -32,6 +32,8 @@ def parser() -> argparse.ArgumentParser:
     bench.add_argument("-o", "--output", default="bench_results.json")
     bench.add_argument("-c", "--checkpoint", default="bench_checkpoint.json")
     bench.add_argument("--resume", action="store_true", help="skip what the checkpoint has")
+    bench.add_argument("--criterion-dir", help="folder for each query's samples and estimates, as JSON")
+    bench.add_argument("--plots", action="store_true", help="refused: no plots are made")
     bench.add_argument("--sample-size", type=int, default=10)
     bench.add_argument("--warm-up", type=float, default=1, help="seconds")
     bench.add_argument("--measurement", type=float, default=5, help="seconds")
@@ -40,6 +42,10 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
+    args.algo = list(dict.fromkeys(args.algo))
+    if getattr(args, "plots", False):
+        print("error: plots aren't made; --criterion-dir keeps the samples to plot", file=sys.stderr)
+        return 1
     logging.basicConfig(stream=sys.stderr, level=logging.INFO, format="%(message)s")
     spark = SparkSession.builder.appName("trailweave").getOrCreate()
     try:

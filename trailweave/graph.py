@@ -9,6 +9,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import GraphLoadError
 from .storage import written
 
 EDGE_SCHEMA = "source string not null, label string not null, target string not null"
@@ -76,6 +77,25 @@ class PathGraph:
                 df = df.join(names, df[c] == names["__id"]).withColumn(c, F.col("__name")).drop("__id", "__name")
         return df
 
+    def check(self) -> PathGraph:
+        """The graph itself, if its vertices have ids that come once, and its edges have labels and begin and end at vertices."""
+        ids = self.vertices.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")).first()
+        if ids["n"] != ids["ids"]:
+            raise GraphLoadError(f"{ids['n'] - ids['ids']} vertices without an id of their own")
+        if self.edges.where("label is null").limit(1).count():
+            raise GraphLoadError("an edge has no label")
+        ends = self.edges.select(F.col("src").alias("id")).union(self.edges.select(F.col("dst").alias("id"))).distinct()
+        stray = ends.join(self.vertices, ends["id"].eqNullSafe(self.vertices["id"]), "left_anti").take(1)
+        if stray:
+            raise GraphLoadError(f"an edge has an end that is no vertex: {stray[0]['id']}")
+        return self
+
+    @staticmethod
+    def from_pairs(pairs: DataFrame, label: str, vertices: DataFrame) -> PathGraph:
+        """The graph of one label from its (src, dst) ids and the (id, name) of its vertices."""
+        edges = pairs.select("src", F.lit(label).alias("label"), "dst").distinct()
+        return PathGraph(edges, vertices.select("id", "name"), known_labels=frozenset([label])).check()
+
     @staticmethod
     def from_triples(triples: DataFrame, isolated: DataFrame | None = None) -> PathGraph:
         """From (source, label, target) names; `isolated` (name) adds vertices. The dictionary and the edges are written once, so that ids are the same in every task."""
@@ -86,7 +106,7 @@ class PathGraph:
         vertices = written(names.distinct().select(F.monotonically_increasing_id().alias("id"), "name"), "vertices")
         a = vertices.select(F.col("id").alias("src"), F.col("name").alias("source"))
         b = vertices.select(F.col("id").alias("dst"), F.col("name").alias("target"))
-        edges = written(known.join(a, "source").join(b, "target").select("src", "label", "dst"), "edges")
+        edges = written(known.join(a, "source").join(b, "target").select("src", "label", "dst"), "edges", by="label")
         return PathGraph(edges, vertices)
 
     @staticmethod

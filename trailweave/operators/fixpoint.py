@@ -12,21 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import dropped, written
+from ..storage import Parts, dropped, written
 
 #: Pairs of a relation up to which it is broadcast and searched within tasks: 16 bytes each.
 LOCAL_PAIRS = 1_000_000
 
 
-def pairs_or_none(pairs: DataFrame, most: int | None = None) -> tuple[np.ndarray, np.ndarray] | None:
-    """The pairs (s, t) as arrays if there are no more than `most`."""
-    most = LOCAL_PAIRS if most is None else most
-    found = pairs.select("s", "t").limit(most + 1).toArrow()
-    if found.num_rows > most:
-        return None
-    return found.column("s").to_numpy(), found.column("t").to_numpy()
-
-
 class Adjacency:
     """Successors by vertex, vertices being numbered from 0 in the order of their ids."""
 
@@ -87,54 +78,41 @@ def _local(pairs: tuple[np.ndarray, np.ndarray], sources: DataFrame) -> DataFram
     return sources.mapInArrow(search, "s long, t long")
 
 
-def transitive(pairs: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """The transitive closure of the pairs (s, t), of the given sources (s) only if there are any. It runs jobs at once."""
-    small = pairs_or_none(pairs)
-    if small is not None:
-        if sources is None:  # from what was just read, so that the relation isn't worked out again
-            starts = pairs.sparkSession.createDataFrame(pa.table({"s": np.unique(small[0])}), "s long")
-        else:
-            starts = sources.select("s").distinct()
-        return _local(small, starts)
-    return _squared(pairs) if sources is None else _stepwise(pairs, sources)
+def transitive(pairs: DataFrame, sources: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """The transitive closure of the pairs (s, t), of the given sources (s) only if there are any. It runs jobs at once. The pairs are worked out once and counted; up to `most`, by default LOCAL_PAIRS, they are searched within tasks."""
+    held = written(pairs.select("s", "t"), "pairs")
+    if held.count() <= (LOCAL_PAIRS if most is None else most):
+        small = held.toArrow()
+        dropped(held)
+        s, t = small.column("s").to_numpy(), small.column("t").to_numpy()
+        starts = pairs.sparkSession.createDataFrame(pa.table({"s": np.unique(s)}), "s long") if sources is None else sources.select("s").distinct()
+        return _local((s, t), starts)
+    return _squared(held) if sources is None else _stepwise(held, sources)
 
 
 def _squared(pairs: DataFrame) -> DataFrame:
-    """All paths of length 1, then 2, 4, 8 ... until nothing is new: few rounds even for long chains."""
-    known = written(pairs.select("s", "t").distinct(), "closure")
-    size = known.count()
+    """Paths of length 1, then up to 2, 4, 8 ... until nothing is new: few rounds even for long chains. Only the pairs of the last round are joined with all known ones: the first half of a new shortest path was new in the round before."""
+    fresh = written(pairs.distinct(), "closure")
+    dropped(pairs)
+    known = Parts(fresh, "closure")
     while True:
-        a, b = known.select("s", F.col("t").alias("m")), known.select(F.col("s").alias("m"), "t")
-        after = written(known.union(a.join(b, "m").select("s", "t")).distinct(), "closure")
-        grown = after.count()
-        dropped(known)
-        known = after
-        if grown == size:
-            return known
-        size = grown
+        whole = known.whole()
+        step = fresh.select("s", F.col("t").alias("m")).join(whole.select(F.col("s").alias("m"), "t"), "m").select("s", "t").distinct()
+        fresh = written(step.join(whole, ["s", "t"], "left_anti"), "closure")
+        if not fresh.take(1):
+            dropped(fresh)
+            return known.whole()
+        known.add(fresh)
 
 
 def _stepwise(pairs: DataFrame, sources: DataFrame) -> DataFrame:
     """Only what is new is joined in each round, and only the sources' pairs are kept."""
-    steps = written(pairs.select(F.col("s").alias("m"), F.col("t").alias("n")), "steps")
+    steps = pairs.select(F.col("s").alias("m"), F.col("t").alias("n"))
     fresh = written(sources.select("s").distinct().join(steps, F.col("s") == F.col("m")).select("s", F.col("n").alias("t")).distinct(), "closure")
-    parts = [fresh]
+    known = Parts(fresh, "closure")
     while fresh.take(1):
-        reached = parts[0]
-        for p in parts[1:]:
-            reached = reached.union(p)
         step = fresh.join(steps, F.col("t") == F.col("m")).select("s", F.col("n").alias("t")).distinct()
-        fresh = written(step.join(reached, ["s", "t"], "left_anti"), "closure")
-        parts.append(fresh)
-        if len(parts) >= 16:  # few tables to read in each round
-            whole = parts[0]
-            for p in parts[1:]:
-                whole = whole.union(p)
-            kept = written(whole, "closure")
-            for p in parts[:-1]:
-                dropped(p)
-            parts = [kept]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+        fresh = written(step.join(known.whole(), ["s", "t"], "left_anti"), "closure")
+        known.add(fresh)
+    dropped(pairs)
+    return known.whole()

@@ -15,7 +15,7 @@ from ..graph import PathGraph
 from ..plans.ast import PathQuery
 from ..plans.automaton import Automaton, automaton
 from ..plans.rules import backward, simplified
-from ..storage import dropped, written
+from ..storage import Parts, dropped, written
 from . import fixpoint
 from .relational import check_labels, resolved
 
@@ -47,29 +47,31 @@ class Prepared:
     back: Automaton
     subject: int | None
     object: int | None
+    most: int | None = None
 
     def execute(self) -> Targets:
         spark = self.graph.spark
         one = lambda n: spark.range(1).select(F.lit(n).cast("long").alias("v"))
         if self.object is not None and self.subject is None:
             # a search from the object over turned edges; the object is a target if any source is met
-            met = search(self.graph, self.back, one(self.object), turned=True)
+            met = search(self.graph, self.back, one(self.object), turned=True, most=self.most)
             return Targets(self.graph, met.limit(1).select(F.lit(self.object).cast("long").alias("t")))
-        found = search(self.graph, self.machine, None if self.subject is None else one(self.subject))
+        found = search(self.graph, self.machine, None if self.subject is None else one(self.subject), most=self.most)
         if self.object is not None:
             found = found.where(F.col("v") == self.object)
         return Targets(self.graph, found.select(F.col("v").alias("t")))
 
 
-def search(graph: PathGraph, machine: Automaton, seeds: DataFrame | None, turned: bool = False) -> DataFrame:
-    """(v): the vertices at which a path of the automaton ends that starts at one of the seeds, or at any vertex. It runs jobs at once."""
+def search(graph: PathGraph, machine: Automaton, seeds: DataFrame | None, turned: bool = False, most: int | None = None) -> DataFrame:
+    """(v): the vertices at which a path of the automaton ends that starts at one of the seeds, or at any vertex. It runs jobs at once. Up to `most` edges of the path's labels, by default fixpoint.LOCAL_PAIRS, are searched by one task."""
     moves = machine.by_label()
     edges = graph.edges.where(F.col("label").isin(*moves)).select("label", *((F.col("dst").alias("s"), F.col("src").alias("t")) if turned else (F.col("src").alias("s"), F.col("dst").alias("t"))))
-    found = edges.limit(fixpoint.LOCAL_PAIRS + 1).toArrow()
-    if found.num_rows <= fixpoint.LOCAL_PAIRS:
-        ends = _local(machine, found, seeds, graph.spark)
+    held = written(edges, "edges")
+    if held.count() <= (fixpoint.LOCAL_PAIRS if most is None else most):
+        ends = _local(machine, held.toArrow(), seeds, graph.spark)
     else:
-        ends = _rounds(machine, edges, seeds)
+        ends = _rounds(machine, held, seeds)
+    dropped(held)
     if machine.start in machine.finals:  # the empty path
         ends = ends.union(graph.vertices.select(F.col("id").alias("v")) if seeds is None else seeds).distinct()
     return ends
@@ -130,17 +132,13 @@ def _rounds(machine: Automaton, edges: DataFrame, seeds: DataFrame | None) -> Da
     steps = written(edges.join(F.broadcast(moves), "label").select("q", F.col("s").alias("v"), "q2", F.col("t").alias("v2")), "steps")
     starts = steps.where(F.col("q") == machine.start).select("v") if seeds is None else seeds
     fresh = written(starts.select("v", F.lit(machine.start).alias("q")).distinct(), "frontier")
-    seen = fresh
-    while True:
+    seen = Parts(fresh, "frontier")
+    while fresh.take(1):
         step = fresh.join(steps, ["v", "q"]).select(F.col("v2").alias("v"), F.col("q2").alias("q")).distinct()
-        after = written(step.join(seen, ["v", "q"], "left_anti"), "frontier")
-        if not after.take(1):
-            break
-        whole = written(seen.union(after), "seen")
-        for old in {id(fresh): fresh, id(seen): seen}.values():
-            dropped(old)
-        fresh, seen = after, whole
-    return seen.where(F.col("q").isin(*(machine.finals - {machine.start}))).select("v").distinct()
+        fresh = written(step.join(seen.whole(), ["v", "q"], "left_anti"), "frontier")
+        seen.add(fresh)
+    dropped(steps)
+    return seen.whole().where(F.col("q").isin(*(machine.finals - {machine.start}))).select("v").distinct()
 
 
 class FrontierEvaluator:
@@ -148,11 +146,14 @@ class FrontierEvaluator:
 
     name = "nfarpq"
 
+    def __init__(self, local_pairs: int | None = None):
+        self.local_pairs = local_pairs
+
     def prepare(self, query: PathQuery, graph: PathGraph) -> Prepared:
         subject, target = resolved(query.subject, graph), resolved(query.object, graph)
         check_labels(query.path, graph)
         path = simplified(query.path)
-        return Prepared(graph, automaton(path), automaton(backward(path)), subject, target)
+        return Prepared(graph, automaton(path), automaton(backward(path)), subject, target, self.local_pairs)
 
     def evaluate(self, query: PathQuery, graph: PathGraph) -> Targets:
         return self.prepare(query, graph).execute()

@@ -21,8 +21,8 @@ Sources = int | DataFrame | None
 class Lowering:
     """Path expressions to DataFrames (s, t), without repeats unless they are a label of a graph whose edges have some. Equal parts are lowered once for the same sources: all, one id, which becomes a filter of the scan, or a DataFrame of them."""
 
-    def __init__(self, graph: PathGraph, turned: bool = False):
-        self.graph, self.turned = graph, turned
+    def __init__(self, graph: PathGraph, turned: bool = False, most: int | None = None):
+        self.graph, self.turned, self.most = graph, turned, most
         self.done: dict[tuple[Path, int], DataFrame] = {}
         self.held: list[Sources] = [None]
 
@@ -53,6 +53,15 @@ class Lowering:
                 if isinstance(sources, int):
                     return pairs.where(F.col("s") == sources)
                 return pairs if sources is None else pairs.join(sources, "s", "left_semi")
+            case Sequence(ZeroOrMore(p) | ZeroOrOne(p) as a, b) if not isinstance(b, ZeroOrMore | ZeroOrOne):
+                # no step of `a`, or some: every vertex joined to itself is never made
+                more = Sequence(OneOrMore(p) if isinstance(a, ZeroOrMore) else p, b)
+                return self.lower(b, sources).union(self.lower(more, sources)).distinct()
+            case Sequence(a, ZeroOrMore(p) | ZeroOrOne(p) as b):
+                left = self.lower(a, sources)
+                ends = left.select(F.col("t").alias("s")).distinct()
+                right = self.lower(OneOrMore(p) if isinstance(b, ZeroOrMore) else p, ends)
+                return left.union(left.withColumnRenamed("t", "m").join(right.withColumnRenamed("s", "m"), "m").select("s", "t")).distinct()
             case Sequence(a, b):
                 left = self.lower(a, sources)
                 right = self.lower(b, None if sources is None else left.select(F.col("t").alias("s")).distinct())
@@ -68,7 +77,7 @@ class Lowering:
         raise TypeError(path)
 
     def _closure(self, p: Path, sources: Sources) -> DataFrame:
-        return transitive(self.lower(p), None if sources is None else self.rows(sources))
+        return transitive(self.lower(p), None if sources is None else self.rows(sources), self.most)
 
 
 @dataclass
@@ -79,17 +88,18 @@ class Prepared:
     path: Path
     subject: int | None
     object: int | None
+    most: int | None = None
 
     def execute(self) -> Pairs:
         if self.subject is not None:
-            found = Lowering(self.graph).lower(self.path, self.subject)
+            found = Lowering(self.graph, most=self.most).lower(self.path, self.subject)
             if self.object is not None:
                 found = found.where(F.col("t") == self.object)
         elif self.object is not None:
-            turned = Lowering(self.graph, turned=True).lower(backward(self.path), self.object)
+            turned = Lowering(self.graph, turned=True, most=self.most).lower(backward(self.path), self.object)
             found = turned.select(F.col("t").alias("s"), F.col("s").alias("t"))
         else:
-            found = Lowering(self.graph).lower(self.path)
+            found = Lowering(self.graph, most=self.most).lower(self.path)
         if isinstance(self.path, Label) and not self.graph.unique:  # all other forms drop repeats themselves
             found = found.distinct()
         return Pairs(self.graph, found)
@@ -141,14 +151,14 @@ class RelationalEvaluator:
 
     name = "rpqmatrix"
 
-    def __init__(self, optional: bool = False):
-        self.optional = optional
+    def __init__(self, optional: bool = False, local_pairs: int | None = None):
+        self.optional, self.local_pairs = optional, local_pairs
 
     def prepare(self, query: PathQuery, graph: PathGraph) -> Prepared:
         if not self.optional and has_optional(query.path):
             raise UnsupportedPath("zero-or-one paths are not supported by this evaluator")
         check_labels(query.path, graph)
-        return Prepared(graph, simplified(query.path), resolved(query.subject, graph), resolved(query.object, graph))
+        return Prepared(graph, simplified(query.path), resolved(query.subject, graph), resolved(query.object, graph), self.local_pairs)
 
     def evaluate(self, query: PathQuery, graph: PathGraph) -> Pairs:
         return self.prepare(query, graph).execute()

@@ -58,19 +58,29 @@ def index_map(spark: SparkSession, path: str) -> DataFrame:
 
 def matrix(spark: SparkSession, path: str) -> DataFrame:
     """(src, dst) from 0 of a coordinate file. Values don't matter, explicit zeros count; symmetric files have each entry both ways."""
-    raw = spark.read.text(path)
-    head = [r["value"] for r in raw.limit(1000).collect()]
-    if not head or not head[0].lower().startswith("%%matrixmarket"):
-        raise InvalidFormat(os.path.basename(path), 1, "expected a MatrixMarket header")
-    kinds = head[0].lower().split()
+    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
+    file = os.path.basename(path)
+    top = lines.orderBy("at").limit(1).collect()
+    if not top or not top[0]["value"].lower().startswith("%%matrixmarket"):
+        raise InvalidFormat(file, 1, "expected a MatrixMarket header")
+    kinds = top[0]["value"].lower().split()
     if len(kinds) < 5 or kinds[1] != "matrix" or kinds[2] != "coordinate":
-        raise InvalidFormat(os.path.basename(path), 1, "only coordinate matrices are supported")
-    size_at = next((k for k, line in enumerate(head) if line.strip() and not line.startswith("%")), None)
-    if size_at is None or len(head[size_at].split()) != 3:
-        raise InvalidFormat(os.path.basename(path), None if size_at is None else size_at + 1, "expected a size line")
-    entries = raw.withColumn("at", F.monotonically_increasing_id()).where(F.col("at") > size_at).where(~F.col("value").startswith("%") & (F.trim("value") != ""))
+        raise InvalidFormat(file, 1, "only coordinate matrices are supported")
+    said = lines.where(~F.col("value").startswith("%") & (F.trim("value") != ""))
+    sizes = said.orderBy("at").limit(1).collect()
+    shape = sizes[0]["value"].split() if sizes else []
+    if len(shape) != 3 or not all(x.isdigit() for x in shape):
+        raise InvalidFormat(file, sizes[0]["at"] + 1 if sizes else None, "expected a size line")
     cells = F.split(F.trim("value"), r"\s+")
-    out = entries.select((F.get(cells, F.lit(0)).cast("long") - 1).alias("src"), (F.get(cells, F.lit(1)).cast("long") - 1).alias("dst"))
+    entries = said.where(F.col("at") > sizes[0]["at"]).select(F.get(cells, F.lit(0)).try_cast("long").alias("row"), F.get(cells, F.lit(1)).try_cast("long").alias("column"))
+    rows, columns, number = map(int, shape)
+    good = F.col("row").between(1, rows) & F.col("column").between(1, columns)
+    found = entries.agg(F.count("*").alias("n"), F.count(F.when(good, 1)).alias("good")).first()
+    if found["n"] != found["good"]:
+        raise InvalidFormat(file, None, f"{found['n'] - found['good']} entries aren't within {rows} rows and {columns} columns")
+    if found["n"] != number:
+        raise InvalidFormat(file, None, f"{found['n']} entries, but the size line says {number}")
+    out = entries.select((F.col("row") - 1).alias("src"), (F.col("column") - 1).alias("dst"))
     if kinds[4] in ("symmetric", "skew-symmetric", "hermitian"):
         out = out.union(out.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     return out
@@ -94,7 +104,7 @@ def read_matrix_market(spark: SparkSession, directory: str, base: str | None = N
         edges = part if edges is None else edges.union(part)
     if edges is None:
         edges = spark.createDataFrame([], "src long, label string, dst long")
-    return PathGraph(written(edges.distinct(), "edges"), names, known_labels=frozenset((base or "") + r["name"] for r in labels))
+    return PathGraph(written(edges.distinct(), "edges", by="label"), names, known_labels=frozenset((base or "") + r["name"] for r in labels)).check()
 
 
 def triples(graph: PathGraph) -> DataFrame:

@@ -73,7 +73,8 @@ LITERAL = object()
 class TurtleReader:
     """A lenient reader of one document: directives, predicate and object lists, blank nodes with their own lists, literals. A statement with a fault, or with a collection, is left out up to its full stop."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, tag: str = ""):
+        self.tag = tag  # tells the document's own nodes from those of others
         self.tokens: list[tuple[str, str]] = []
         at = 0
         while at < len(text):
@@ -196,7 +197,7 @@ class TurtleReader:
             return LITERAL
         if (kind, text) == ("mark", "["):
             self.made += 1
-            name = f"_:genid{self.made}"
+            name = f"_:{self.tag}/{self.made}"  # no document can write a slash
             if not self.mark("]"):
                 self.properties(name)
                 if not self.mark("]"):
@@ -206,15 +207,15 @@ class TurtleReader:
 
 
 def turtle(spark: SparkSession, path: str) -> DataFrame:
-    """(source, label, target, kind) of Turtle files; prefixes make a file sequential, so each is read by one task."""
+    """(source, label, target, kind) of Turtle files; prefixes make a file sequential, so each is read by one task. Blank nodes without a label are told apart by file."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                rows = TurtleReader(text).read()
+            for text, tag in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows = TurtleReader(text, tag).read()
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(4)], names=["source", "label", "target", "kind"])
 
-    return spark.read.text(path, wholetext=True).mapInArrow(read, "source string, label string, target string, kind string")
+    return spark.read.text(path, wholetext=True).select("value", F.hex(F.xxhash64(F.input_file_name()))).mapInArrow(read, "source string, label string, target string, kind string")
 
 
 def read_rdf_rows(spark: SparkSession, path: str, form: str | None = None) -> DataFrame:

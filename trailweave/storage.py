@@ -24,15 +24,38 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """`df` as a table in the shared folder: its lineage ends there, and a lost executor loses nothing of it."""
+def written(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
+    """`df` as a table in the shared folder: its lineage ends there, and a lost executor loses nothing of it. If it is partitioned by a column, a filter on that reads its part only."""
     path = os.path.join(shared_dir(df.sparkSession), f"{what}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
     out._trailweave_path = path
     return out
 
 
+class Parts:
+    """A relation that grows by rounds: each round's rows are written once, and the parts are joined into one table when there are many."""
+
+    MOST = 16  # parts to read in each round
+
+    def __init__(self, first: DataFrame, what: str):
+        self.parts, self.what = [first], what
+
+    def add(self, df: DataFrame) -> None:
+        self.parts.append(df)
+        if len(self.parts) >= self.MOST:
+            kept = written(self.whole(), self.what)
+            for p in self.parts[:-1]:  # the last one is the next round's input
+                dropped(p)
+            self.parts = [kept]
+
+    def whole(self) -> DataFrame:
+        out = self.parts[0]
+        for p in self.parts[1:]:
+            out = out.union(p)
+        return out
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes a table made by `written`."""
     if path := getattr(df, "_trailweave_path", None):
