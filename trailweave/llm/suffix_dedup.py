@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,11 +15,12 @@ from pyspark.sql.window import Window
 from .common import Memo, mix, table, words
 
 DEPTH = 50  # words through which suffixes are ordered
-DIGIT = 8  # words of a digit
+DIGIT = 8  # words of the run by which suffixes are distributed
+RADIX = 10  # words of a digit of the passes
 CHUNK = 1 << 18  # words that are worked on at once
 PLACE_BITS = 26
-HOT = 100_000  # rows of a digit from which its windows are no longer held
-REST = 6  # bytes by which the windows of an equal first digit are told apart
+HOT = 20_000  # rows of a place from which they are sorted as they come, beside its distinct windows only
+PRIMER = 100_000  # bytes of some texts with which rows are compressed on their way, which changes no result
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 UNBASE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -47,60 +50,122 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(ahead, behind)
 
 
-def first_pass(ids: np.ndarray, texts: list[np.ndarray], depth: int) -> pa.RecordBatch:
-    """The suffixes of the texts by their first digit: rows (digit, doc_id, start, windows).
+def first_pass(ids: list, texts: list[list[str]], coded: list[np.ndarray], depth: int, packer: zstandard.ZstdCompressor) -> pa.RecordBatch:
+    """The suffixes of the texts by the place where they are sorted: rows (place, doc_id, start, words).
 
-    The digit of a window of `depth` tokens is its least run of DIGIT tokens, in the order of their hashes and then of their places, so equal windows have equal digits. Successive windows with the same run make one row; `windows` has REST bytes of the hash of each.
+    The place of a suffix is that of the least run of DIGIT words among its first `depth` words, in the order of the runs' hashes and then of their positions, so suffixes that are equal through `depth` words have equal places. Successive suffixes of one run make one row, with the words that they need between them.
     """
     sizes = np.array([len(t) for t in texts])
-    tokens = np.concatenate(texts)
+    tokens = np.concatenate(coded)
     digit_words = min(DIGIT, depth)
     up, down = powers(BASE, len(tokens)), powers(UNBASE, len(tokens))
     digits = rolling(tokens, digit_words, up, down)
-    whole = rolling(tokens, depth, up, down)
     low = np.uint64((1 << PLACE_BITS) - 1)
     best = least((digits & ~low) | np.arange(len(digits), dtype=np.uint64), depth - digit_words + 1) & low
     doc = np.repeat(np.arange(len(texts)), sizes)
-    begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
-    at = np.flatnonzero(doc[: len(whole)] == doc[depth - 1 :])  # windows within one text
+    at = np.flatnonzero(doc[: len(best)] == doc[depth - 1 :])  # windows within one text
     run = np.concatenate([[True], (best[at[1:]] != best[at[:-1]]) | (at[1:] != at[:-1] + 1)])
     heads = at[run]
-    offsets = np.append(np.flatnonzero(run), len(at)) * REST
-    data = np.ascontiguousarray(whole[at].view(np.uint8).reshape(-1, 8)[:, :REST])
-    blobs = pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
-    return pa.RecordBatch.from_arrays([pa.array(digits[best[heads].astype(np.int64)].view(np.int64)), pa.array(ids[doc[heads]], pa.int64(), from_pandas=True), pa.array((heads - begin[heads]).astype(np.int32)), blobs], names=["digit", "doc_id", "start", "windows"])
+    stops = heads + np.diff(np.append(np.flatnonzero(run), len(at))) + depth - 1  # the word after the run's last window
+    whole = " ".join([w for t in texts for w in t])
+    raw = whole.encode("utf-8", "replace")
+    spaces = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)
+    begins, ends = np.concatenate([[0], spaces + 1]), np.append(spaces, len(raw))
+    rows = [packer.compress(raw[a:b]) for a, b in zip(begins[heads].tolist(), ends[stops - 1].tolist(), strict=True)]
+    begin = np.cumsum(sizes) - sizes
+    of = doc[heads]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(digits[best[heads].astype(np.int64)].view(np.int64)), pa.array([ids[k] for k in of.tolist()], pa.int64()), pa.array((heads - begin[of]).astype(np.int32)), pa.array(rows, pa.binary())],
+        names=["digit", "doc_id", "start", "words"],
+    )
+
+
+def primed(primer: bytes) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    content = zstandard.ZstdCompressionDict(primer, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(primer) >= 8 else None
+    if content is not None:
+        content.precompute_compress(level=1)
+        return zstandard.ZstdCompressor(dict_data=content, write_dict_id=False), zstandard.ZstdDecompressor(dict_data=content)
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
-def first_digits(docs: DataFrame, depth: int) -> DataFrame:
+def first_digits(docs: DataFrame, depth: int, primer: bytes) -> DataFrame:
     def read(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo()
+        packer = primed(primer)[0]
         for batch in source:
-            ids, texts, held = [], [], 0
+            ids, texts, coded, held = [], [], [], 0
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 tokens = words(text) if text else []
                 if len(tokens) >= depth:
                     ids.append(i)
-                    texts.append(memo.array(tokens))
+                    texts.append(tokens)
+                    coded.append(memo.array(tokens))
                     held += len(tokens)
                     if held >= CHUNK:
-                        yield first_pass(np.array([np.nan if x is None else x for x in ids], object), texts, depth)
-                        ids, texts, held = [], [], 0
+                        yield first_pass(ids, texts, coded, depth, packer)
+                        ids, texts, coded, held = [], [], [], 0
             if texts:
-                yield first_pass(np.array([np.nan if x is None else x for x in ids], object), texts, depth)
+                yield first_pass(ids, texts, coded, depth, packer)
+
+    return docs.select("doc_id", "text").mapInArrow(read, "digit long, doc_id long, start int, words binary")
+
+
+class Numbers(dict):
+    """Word to number, in the order in which they come: equal numbers are equal words."""
 
-    return docs.select("doc_id", "text").mapInArrow(read, "digit long, doc_id long, start int, windows binary")
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
 
 
-def windows_of(rows: pa.Table, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the windows of the rows `keep`: the REST bytes of their hashes as numbers, the place in `keep` of their row, and their place in the row."""
-    blobs = rows.column("windows").chunk(0)
-    offsets = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1] // REST
-    sizes = offsets[keep + 1] - offsets[keep]
-    raw = np.frombuffer(blobs.buffers()[2], np.uint8)[: offsets[-1] * REST].reshape(-1, REST)
-    place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    rest = np.zeros((len(place), 8), np.uint8)
-    rest[:, :REST] = raw[np.repeat(offsets[keep], sizes) + place]
-    return rest.view(np.uint64).reshape(-1), np.repeat(np.arange(len(keep)), sizes), place
+def unpacked(rows: pa.Table, keep: np.ndarray, numbers: Numbers, unpacker: zstandard.ZstdDecompressor, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of the rows `keep`, one row after the other, as numbers; and of each window its first word among these, the place in `keep` of its row, and its place in the row."""
+    parts, sizes = [], []
+    column = rows.column("words")
+    for s in range(0, len(keep), 2000):
+        found = [unpacker.decompress(x.as_py()).split(b" ") for x in column.take(pa.array(keep[s : s + 2000]))]
+        sizes += map(len, found)
+        flat = list(itertools.chain.from_iterable(found))
+        parts.append(np.fromiter(map(numbers.__getitem__, flat), np.int32, len(flat)))
+    tokens, sizes = np.concatenate(parts), np.array(sizes, np.int64)
+    many = sizes - depth + 1
+    row = np.repeat(np.arange(len(keep)), many)
+    place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    return tokens, (np.cumsum(sizes) - sizes)[row] + place, row, place
+
+
+def radix(tokens: np.ndarray, at: np.ndarray, group: np.ndarray, depth: int) -> np.ndarray:
+    """The class of each window of `depth` words, or -1 if no other window of its group has the same words.
+
+    Most-significant-digit passes: a pass orders the windows that are left by their next RADIX words; those whose words up to there are like no other's drop out. What is left after the last pass are runs of equal windows. A digit is compared by a hash of its words; the runs are compared word by word at the end.
+    """
+    spread = mix(tokens.astype(np.uint64) + np.uint64(1))
+    up, down = powers(BASE, len(tokens)), powers(UNBASE, len(tokens))
+    left, of = np.arange(len(at)), group
+    for d in range(0, depth, RADIX):
+        key = rolling(spread, min(RADIX, depth - d), up, down)[at[left] + d]
+        order = np.lexsort((key, of))
+        key, sorted_of, left = key[order], of[order], left[order]
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (sorted_of[1:] != sorted_of[:-1])]) if len(left) else np.zeros(0, bool)
+        number = np.cumsum(new)
+        many = np.bincount(number, minlength=1)[number] > 1
+        left, of = left[many], number[many]
+        if not len(left):
+            break
+    out = np.full(len(at), -1, np.int64)
+    out[left] = of
+    a, b = at[left[:-1]], at[left[1:]]
+    same = of[1:] == of[:-1]
+    differ = np.zeros(len(same), bool)
+    for k in range(depth if len(left) else 0):
+        differ |= tokens[a + k] != tokens[b + k]
+    if (differ & same).any():  # digits that are alike by their hashes only
+        exact: dict[tuple, list[int]] = {}
+        for x in left.tolist():
+            exact.setdefault((out[x], tokens[at[x] : at[x] + depth].tobytes()), []).append(x)
+        for n, members in enumerate(exact.values()):
+            out[members] = n if len(members) > 1 else -1
+    return out
 
 
 def stretches(rows: pa.Table, keep: np.ndarray, of: np.ndarray, place: np.ndarray, repeated: np.ndarray) -> pa.RecordBatch | None:
@@ -116,102 +181,101 @@ def stretches(rows: pa.Table, keep: np.ndarray, of: np.ndarray, place: np.ndarra
     return pa.RecordBatch.from_arrays([ids, pa.array(start.astype(np.int32)), pa.array((start + lengths).astype(np.int32))], names=["doc_id", "start", "stop"])
 
 
-def later_passes(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-    """Of rows in the order of their digits, the stretches of windows that are equal to another window of their digit."""
+def later_passes(parts: list[pa.RecordBatch], depth: int, unpacker: zstandard.ZstdDecompressor) -> pa.RecordBatch | None:
+    """Of rows in the order of their places, the stretches of windows that are equal to another window of their place."""
     rows = pa.Table.from_batches(parts).combine_chunks()
     digit = rows.column("digit").to_numpy()
     group = np.cumsum(np.concatenate([[True], digit[1:] != digit[:-1]]))
-    # equal windows have their least run at the same distance, so they are never in one row, and a digit's only row holds no repeat
+    # equal windows have their least run at the same distance, so they are never in one row, and a place's only row holds no repeat
     keep = np.flatnonzero(np.bincount(group)[group] > 1)
     if not len(keep):
         return None
-    rest, of, place = windows_of(rows, keep)
-    g = group[keep][of]
-    order = np.lexsort((rest, g))
-    same = (rest[order][1:] == rest[order][:-1]) & (g[order][1:] == g[order][:-1])
-    repeated = np.zeros(len(order), bool)
-    repeated[order[1:][same]] = True
-    repeated[order[:-1][same]] = True
-    return stretches(rows, keep, of, place, repeated)
+    tokens, at, of, place = unpacked(rows, keep, Numbers(), unpacker, depth)
+    return stretches(rows, keep, of, place, radix(tokens, at, group[keep][of], depth) >= 0)
 
 
-class HotDigit:
-    """The later passes of one digit that has very many rows: they are taken as they come, and only the distinct windows are held."""
+class HotPlace:
+    """The passes over a place that has very many rows: they are sorted as they come, together with one window of each kind that came before."""
 
-    def __init__(self):
-        self.rest, self.start, self.told = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, bool)
+    def __init__(self, depth: int, unpacker: zstandard.ZstdDecompressor):
+        self.depth, self.unpacker, self.numbers = depth, unpacker, Numbers()
+        self.words, self.start, self.told = np.zeros((0, depth), np.int32), np.zeros(0, np.int32), np.zeros(0, bool)
         self.ids = pa.array([], pa.int64())
 
     def take(self, part: pa.RecordBatch) -> list[pa.RecordBatch]:
         rows = pa.Table.from_batches([part]).combine_chunks()
         keep = np.arange(rows.num_rows)
-        rest, of, place = windows_of(rows, keep)
-        values, first, at, count = np.unique(rest, return_index=True, return_inverse=True, return_counts=True)
-        where = np.minimum(np.searchsorted(self.rest, values), max(0, len(self.rest) - 1))
-        known = self.rest[where] == values if len(self.rest) else np.zeros(len(values), bool)
-        late = where[known][~self.told[where[known]]]  # held windows that are now found to be repeated
+        if not len(keep):
+            return []
+        tokens, at, of, place = unpacked(rows, keep, self.numbers, self.unpacker, self.depth)
+        held = len(self.words)
+        all_at = np.concatenate([np.arange(held) * self.depth, at + held * self.depth])
+        kind = radix(np.concatenate([self.words.reshape(-1), tokens]), all_at, np.zeros(len(all_at), np.int64), self.depth)
+        late = np.flatnonzero((kind[:held] >= 0) & ~self.told)  # held windows that are now found to be repeated
         self.told[late] = True
         out = [pa.RecordBatch.from_arrays([self.ids.take(pa.array(late)), pa.array(self.start[late]), pa.array(self.start[late] + np.int32(1))], names=["doc_id", "start", "stop"])] if len(late) else []
-        if (found := stretches(rows, keep, of, place, ((count > 1) | known)[at])) is not None:
+        own = kind[held:]
+        if (found := stretches(rows, keep, of, place, own >= 0)) is not None:
             out.append(found)
-        new = ~known
-        rest_of = np.concatenate([self.rest, values[new]])
-        order = np.argsort(rest_of, kind="stable")
-        ids = rows.column("doc_id").take(pa.array(of[first[new]])).combine_chunks()
-        self.ids = pa.concat_arrays([self.ids, ids]).take(pa.array(order))
-        self.start = np.concatenate([self.start, (rows.column("start").to_numpy()[of[first[new]]] + place[first[new]]).astype(np.int32)])[order]
-        self.told = np.concatenate([self.told, (count > 1)[new]])[order]
-        self.rest = rest_of[order]
+        fresh = (own >= 0) & ~np.isin(own, kind[:held][kind[:held] >= 0])
+        first = np.sort(np.concatenate([np.flatnonzero(own < 0), np.flatnonzero(fresh)[np.unique(own[fresh], return_index=True)[1]]]))
+        self.words = np.concatenate([self.words, tokens[at[first][:, None] + np.arange(self.depth)]])
+        self.start = np.concatenate([self.start, (rows.column("start").to_numpy()[of[first]] + place[first]).astype(np.int32)])
+        self.told = np.concatenate([self.told, own[first] >= 0])
+        self.ids = pa.concat_arrays([self.ids, rows.column("doc_id").take(pa.array(of[first])).combine_chunks()])
         return out
 
 
 def repeated_windows(docs: DataFrame, depth: int) -> DataFrame:
     """Stretches (doc_id, start, stop) of windows that occur more than once."""
+    some = docs.where("text is not null").select("text").limit(300).collect()
+    primer = " ".join(" ".join(words(r["text"][:5000])) for r in some).encode("utf-8", "replace")[:PRIMER]
 
     def sort(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # whole digits, and what has come of the last one
-        hot: HotDigit | None = None
+        unpacker = primed(primer)[1]
+        held: list[pa.RecordBatch] = []  # whole places, and what has come of the last one
+        hot: HotPlace | None = None
         for batch in source:
             if not batch.num_rows:
                 continue
             digit = batch.column(0).to_numpy()
             if held and held[-1].column(0)[-1].as_py() != digit[0]:
-                if hot is None and (out := later_passes(held)) is not None:
+                if hot is None and (out := later_passes(held, depth, unpacker)) is not None:
                     yield out
                 held, hot = [], None
-            cut = int(np.searchsorted(digit, digit[-1], side="left"))  # the last digit may go on in the next batch
+            cut = int(np.searchsorted(digit, digit[-1], side="left"))  # the last place may go on in the next batch
             if cut:
                 go_on = int(np.searchsorted(digit, digit[0], side="right")) if hot is not None else 0
                 if go_on:
                     yield from hot.take(batch.slice(0, go_on))
                 rest = batch.slice(go_on, cut - go_on)
                 if (held if hot is None else []) or rest.num_rows:
-                    if (out := later_passes([*(held if hot is None else []), rest])) is not None:
+                    if (out := later_passes([*(held if hot is None else []), rest], depth, unpacker)) is not None:
                         yield out
                 held, hot = [], None
             last = batch.slice(cut)
             if hot is not None:
                 yield from hot.take(last)
-                held = [last.slice(0, 1)]  # its digit
+                held = [last.slice(0, 1)]  # its place
             else:
                 held.append(last)
                 if sum(h.num_rows for h in held) > HOT:
-                    hot = HotDigit()
+                    hot = HotPlace(depth, unpacker)
                     for h in held:
                         yield from hot.take(h)
                     held = [last.slice(0, 1)]
-        if held and hot is None and (out := later_passes(held)) is not None:
+        if held and hot is None and (out := later_passes(held, depth, unpacker)) is not None:
             yield out
 
-    return first_digits(docs, depth).repartition("digit").sortWithinPartitions("digit").mapInArrow(sort, "doc_id long, start int, stop int")
+    return first_digits(docs, depth, primer).repartition("digit").sortWithinPartitions("digit").mapInArrow(sort, "doc_id long, start int, stop int")
 
 
 def repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(doc_id, start_word, end_word, n_words): the maximal stretches of each document that are covered by repeated windows of `depth` words.
 
-    Suffixes of all texts (in lower-case words) are ordered through their first `depth` words only, by most-significant-digit passes. The first pass distributes them by a digit of DIGIT words; digits with one suffix end there. The later passes order each remaining class by the rest of the window, and classes of equal windows are the repeated ones, in one document or several. A window's first digit is its least run of words rather than its leftmost, so that a run of windows shares a digit and travels as one row.
+    Suffixes of all texts (in lower-case words) are ordered through their first `depth` words only. They are distributed so that equal ones meet: by the least run of DIGIT words that begins among them, which successive suffixes mostly have in common, so that they travel in one row with their words. Where they meet, most-significant-digit passes of RADIX words order them; a suffix that is like no other so far takes part in no later pass. The groups that are left are equal word by word, so they are exactly the repeated windows, in one document or several.
 
-    Null texts and texts of fewer than `depth` words have no window. Documents with a null doc_id count as places of repeats but aren't reported; rows with the same doc_id are reported together. Other columns are ignored, and so is nothing of a long text.
+    Null texts and texts of fewer than `depth` words have no window; an empty table has none. Documents with a null doc_id count as places of repeats but aren't reported; rows with the same doc_id, repeated rows among them, are reported together. Very long texts are sorted whole. There are no ties: all members of a group are reported. Other columns, of any name, are ignored.
     """
     found = repeated_windows(docs, depth).where("doc_id is not null").select("doc_id", "start", (F.col("stop") + F.lit(depth - 1)).alias("end"))
     by_doc = Window.partitionBy("doc_id").orderBy("start", "end")
