@@ -6,6 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from trailweave import queries as registered
+from trailweave import source_queries as sources
 from trailweave.errors import LabelNotFound, UnsupportedPath, VertexNotFound
 from trailweave.graph import PathGraph
 from trailweave.operators import fixpoint
@@ -162,14 +163,16 @@ def test_random_graphs(spark, edges, path, subject, target):
     assert {r["target"] for r in FrontierEvaluator().evaluate(q, g).named().collect()} == {t for _, t in want}
 
 
-@pytest.mark.parametrize("name", ["seq3", "alt_seq", "plus_acyclic", "star_cyclic", "star_mid", "nested_star", "named_plus", "named_plus_object", "targets_star_mid", "targets_plus_deep", "nnz_star_cyclic", "target_count_alt_seq"])
+@pytest.mark.parametrize("name", ["seq3", "alt_seq", "plus_acyclic", "star_cyclic", "star_mid", "nested_star", "named_plus", "named_plus_object", "targets_star_mid", "targets_plus_deep", "nnz_star_cyclic", "target_count_alt_seq", "named_both_hit", "star_mid_rounds", "plus_deep_rounds", "targets_star_mid_rounds", "src_csv_seq3", "src_nt_star_mid", "src_ttl_plus_cyclic", "src_mm_named_both_hit", "src_merged_seq3", "graph_counts", "graph_lookups", "rdf_left_out", "query_run", "bench_resumed"])
 def test_tables_against_sql(spark, name):
     sf_dir = "/root/testdata/sf0.001"
     con = duckdb.connect()
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
-    found = registered.queries()[name](spark, sf_dir)
-    want = con.execute(registered.oracle_sql()[name])
+    queries, sql = registered.queries() | sources.queries(), registered.oracle_sql() | sources.oracle_sql()
+    assert set(queries) == set(sql)
+    found = queries[name](spark, sf_dir)
+    want = con.execute(sql[name])
     names = [d[0] for d in want.description]
     assert sorted(found.columns) == sorted(names)
-    assert sorted(tuple(r[n] for n in names) for r in found.collect()) == sorted(want.fetchall())
+    assert sorted(repr(tuple(r[n] for n in names)) for r in found.collect()) == sorted(map(repr, want.fetchall()))

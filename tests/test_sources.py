@@ -70,6 +70,7 @@ def test_faulty_maps(spark, tmp_path, vertices, line):
 
 def test_names_may_repeat_and_headers_are_needed(spark, tmp_path):
     assert read_matrix_market(spark, mm(tmp_path, "A 1\nB 2\nA 3\nC 4\n")).node_id("A") == 2
+    assert read_matrix_market(spark, mm(tmp_path, "A 3\nB 2\nA 1\nC 4\n")).node_id("A") == 0  # the last line's
     with pytest.raises(InvalidFormat):
         matrix(spark, put(tmp_path, "bad.txt", "1 2\n"))
 

@@ -17,7 +17,7 @@ EDGE_SCHEMA = "source string not null, label string not null, target string not
 
 @dataclass(frozen=True)
 class PathGraph:
-    """A directed graph: `edges` (src, label, dst) and `vertices` (id, name), which may have vertices without an edge.
+    """A directed graph: `edges` (src, label, dst) and `vertices` (id, name), which may have vertices without an edge. Of several with one name, the greatest id stands for it, or the greatest `at` if they have that column.
 
     If `edges` may have repeats, `unique` is false; operators then drop them once, at their end. `named` and `numbered`, if given, turn ids into names and back without a join.
     """
@@ -50,7 +50,7 @@ class PathGraph:
             n = self.numbered(name)
             found = [] if n is None else self.vertices.where(F.col("id") == n).select("id").take(1)
         else:
-            found = self.vertices.where(F.col("name") == name).orderBy(F.desc("id")).select("id").take(1)
+            found = self.vertices.where(F.col("name") == name).orderBy(F.desc("at" if "at" in self.vertices.columns else "id")).select("id").take(1)
         return found[0]["id"] if found else None
 
     def node_name(self, node: int) -> str | None:

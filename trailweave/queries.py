@@ -62,8 +62,8 @@ PATHS: dict[str, tuple[str, str, str]] = {
 }
 
 #: Run by rounds of joins too, as beyond the limit of what is searched within tasks.
-ROUNDS = ["plus_cyclic", "plus_acyclic", "plus_deep", "star_mid", "named_plus", "named_plus_object"]
-TARGET_ROUNDS = ["star_mid", "plus_deep", "seq3", "named_plus"]
+ROUNDS = ["plus_cyclic", "plus_acyclic", "plus_deep", "star_mid", "named_star", "named_plus_object"]
+TARGET_ROUNDS = ["star_mid", "plus_deep", "seq3", "named_star"]
 
 COUNTED = ["seq3", "alt_seq", "plus_acyclic", "star_cyclic", "star_mid", "named_subject"]
 

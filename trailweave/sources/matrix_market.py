@@ -45,15 +45,15 @@ def _first_fault(path: str, spark: SparkSession, duplicates: set[int]) -> Invali
 
 
 def index_map(spark: SparkSession, path: str) -> DataFrame:
-    """(index, name) of a map file. The name is what stands before the last white space, without its angle brackets. An index must be a whole number from 1 and come once; names may repeat."""
-    lines = spark.read.text(path).select(F.trim(F.regexp_replace("value", r"^\s+|\s+$", "")).alias("line")).where("line <> ''")
-    parts = lines.select("line", F.regexp_extract("line", SHAPE, 1).alias("raw"), F.regexp_extract("line", SHAPE, 2).alias("digits"))
-    rows = parts.select("raw", F.when(F.col("digits").rlike(r"^\+?[0-9]{1,18}$"), F.regexp_replace("digits", r"^\+", "").cast("long")).alias("index"))
+    """(index, name, at) of a map file, `at` growing from line to line. The name is what stands before the last white space, without its angle brackets. An index must be a whole number from 1 and come once; names may repeat."""
+    lines = spark.read.text(path).select(F.trim(F.regexp_replace("value", r"^\s+|\s+$", "")).alias("line"), F.monotonically_increasing_id().alias("at")).where("line <> ''")
+    parts = lines.select("at", F.regexp_extract("line", SHAPE, 1).alias("raw"), F.regexp_extract("line", SHAPE, 2).alias("digits"))
+    rows = parts.select("at", "raw", F.when(F.col("digits").rlike(r"^\+?[0-9]{1,18}$"), F.regexp_replace("digits", r"^\+", "").cast("long")).alias("index"))
     fault = rows.agg(F.count("*").alias("n"), F.count(F.when(F.col("index") > 0, 1)).alias("good"), F.count_distinct("index").alias("distinct")).first()
     if fault["n"] != fault["good"] or fault["n"] != fault["distinct"]:
         twice = {r["index"] for r in rows.groupBy("index").count().where("count > 1").limit(1).collect()}
         raise _first_fault(path, spark, {x for x in twice if x is not None})
-    return rows.select("index", bare_name(F.col("raw")).alias("name"))
+    return rows.select("index", bare_name(F.col("raw")).alias("name"), "at")
 
 
 def matrix(spark: SparkSession, path: str) -> DataFrame:
@@ -87,8 +87,8 @@ def matrix(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_matrix_market(spark: SparkSession, directory: str, base: str | None = None) -> PathGraph:
-    """The graph of a directory. Vertices are all those of vertices.txt, with an edge or without; ids are their indices less 1. `base` goes before the names of vertices and labels. Of vertices with the same name, the last stands for it in queries."""
-    vertices = index_map(spark, os.path.join(directory, "vertices.txt")).select((F.col("index") - 1).alias("id"), with_base(F.col("name"), base).alias("name"))
+    """The graph of a directory. Vertices are all those of vertices.txt, with an edge or without; ids are their indices less 1. `base` goes before the names of vertices and labels. Of vertices with the same name, that of the last line stands for it in queries."""
+    vertices = index_map(spark, os.path.join(directory, "vertices.txt")).select((F.col("index") - 1).alias("id"), with_base(F.col("name"), base).alias("name"), "at")
     names = written(vertices, "vertices")
     edges: DataFrame | None = None
     labels = index_map(spark, os.path.join(directory, "edges.txt")).orderBy("index").collect()

@@ -5,10 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: str | None = None
+_scratch: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,9 +33,27 @@ def written(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
     out._trailweave_path = path
+    if _scratch:
+        _scratch[-1].append(path)
     return out
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables written in this context are deleted at its end, but for those whose paths are taken from the list."""
+    _scratch.append([])
+    try:
+        yield _scratch[-1]
+    finally:
+        for path in _scratch.pop():
+            _delete(spark, path)
+
+
+def path_of(df: DataFrame) -> str:
+    """The folder of a table made by `written`."""
+    return df._trailweave_path
+
+
 class Parts:
     """A relation that grows by rounds: each round's rows are written once, and the parts are joined into one table when there are many."""
 
@@ -59,6 +80,9 @@ class Parts:
 def dropped(df: DataFrame) -> None:
     """Deletes a table made by `written`."""
     if path := getattr(df, "_trailweave_path", None):
-        spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
