@@ -16,6 +16,7 @@ from .catalog import table_graph
 from .cli.checkpoint import Checkpoint
 from .cli.output import write_json
 from .cli.run import bench_queries, run_queries
+from .errors import TrailError
 from .graph import PathGraph
 from .operators.frontier import FrontierEvaluator
 from .operators.relational import RelationalEvaluator
@@ -25,6 +26,7 @@ from .sources.csv_edges import read_csv
 from .sources.matrix_market import read_matrix_market, triples
 from .sources.query_file import load_queries
 from .sources.rdf import left_out, read_rdf
+from .sparql import parse_query
 from .storage import shared_dir, written
 
 PATH_QUERIES = ["seq3", "plus_cyclic", "star_mid", "named_both_hit"]
@@ -262,10 +264,82 @@ def bench_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcomes(spark, path)
 
 
+def by_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets by way of their ids on the driver."""
+    query = parsed("star_mid")
+    graph = csv_graph(spark, sf_dir, list(dict.fromkeys(labels(query.path))))
+    ids = FrontierEvaluator().evaluate(query, graph).indices()
+    return graph.with_names(spark.createDataFrame([(i,) for i in ids], "target long"), "target")
+
+
+#: Queries that are refused: what an evaluator, or the parser, raises.
+REFUSED = {
+    "?x <in_region> ?y . ?x <in_region> ?z": "NotSinglePath",
+    "?x ?p ?y": "VariablePredicate",
+    "?x !<in_region> ?y": "UnsupportedPath",
+    "?x <no_label> ?y": "LabelNotFound",
+    "<nation/none> <in_region> ?y": "VertexNotFound",
+    "?x <in_region>? ?y": "UnsupportedPath",
+    "?x <in_region ?y": "SyntaxProblem",
+}
+
+
+def refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pattern, error) of queries that have no answer."""
+    graph = csv_graph(spark, sf_dir, ["in_region"])
+    rows = []
+    for pattern in REFUSED:
+        try:
+            RelationalEvaluator().evaluate(parse_query(f"BASE <{BASE}> SELECT * WHERE {{ {pattern} }}").strip_base(BASE), graph)
+            rows.append((pattern, "none"))
+        except TrailError as e:
+            rows.append((pattern, type(e).__name__))
+    return spark.createDataFrame(rows, "pattern string, error string")
+
+
+HEADER = "%%MatrixMarket matrix coordinate pattern general"
+
+#: Faulty inputs: the format, the lines of its files, and what a load raises.
+FAULTY: dict[str, tuple[str, dict[str, list[str]], str]] = {
+    "csv: no such column": ("csv", {"": ["from,to,rel", "A,B,knows"]}, "MissingColumn"),
+    "csv: short record": ("csv", {"": ["source,target,label", "A,B"]}, "failed"),
+    "mm: index twice": ("mm", {"vertices.txt": ["A 1", "B 1"], "edges.txt": ["knows 1"], "1.txt": [HEADER, "2 2 0"]}, "InvalidFormat"),
+    "mm: index 0": ("mm", {"vertices.txt": ["A 0"], "edges.txt": ["knows 1"], "1.txt": [HEADER, "1 1 0"]}, "InvalidFormat"),
+    "mm: no header": ("mm", {"vertices.txt": ["A 1"], "edges.txt": ["knows 1"], "1.txt": ["1 1 1", "1 1"]}, "InvalidFormat"),
+    "mm: entry out of bounds": ("mm", {"vertices.txt": ["A 1"], "edges.txt": ["knows 1"], "1.txt": [HEADER, "1 1 1", "1 2"]}, "InvalidFormat"),
+    "mm: edge without a vertex": ("mm", {"vertices.txt": ["A 1"], "edges.txt": ["knows 1"], "1.txt": [HEADER, "2 2 1", "1 2"]}, "GraphLoadError"),
+    "mm: no matrix": ("mm", {"vertices.txt": ["A 1"], "edges.txt": ["knows 1"]}, "FormatError"),
+    "rdf: unknown suffix": ("rdf", {"": ["<a> <b> <c> ."]}, "GraphLoadError"),
+    "nt: literal, strict": ("strict", {"": ['<http://e/a> <http://e/b> "c" .']}, "failed"),
+}
+
+
+def faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(input, error) of inputs that are refused."""
+    rows = []
+    for name, (form, files, _) in FAULTY.items():
+        path = folder(spark, "faulty")
+        for file, lines in files.items():
+            put_text(spark, os.path.join(path, file) if file else path, lines)
+        try:
+            if form == "mm":
+                read_matrix_market(spark, path)
+            elif form == "csv":
+                read_csv(spark, path, *(("a", "b", "c") if "column" in name else ())).collect()
+            else:
+                read_rdf(spark, path, "ntriples" if form == "strict" else None, strict=True).collect()
+            rows.append((name, "none"))
+        except TrailError as e:
+            rows.append((name, type(e).__name__))
+        except Exception:  # noqa: BLE001, what Spark raises when a task fails
+            rows.append((name, "failed"))
+    return spark.createDataFrame(rows, "input string, error string")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {f"src_{source}_{name}": through(source, name) for source, names in RUN.items() for name in names}
     out |= {f"src_{source}_targets_star_mid": targets_through(source, "star_mid") for source in ("csv", "mm")}
-    return out | {"graph_counts": graph_counts, "graph_lookups": graph_lookups, "graph_from_pairs": graph_from_pairs, "rdf_left_out": rdf_left_out, "query_run": query_run, "bench_resumed": bench_resumed}
+    return out | {"graph_counts": graph_counts, "graph_lookups": graph_lookups, "graph_from_pairs": graph_from_pairs, "rdf_left_out": rdf_left_out, "query_run": query_run, "bench_resumed": bench_resumed, "src_csv_indices": by_indices, "refused_queries": refused, "refused_inputs": faulty}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -278,6 +352,10 @@ def oracle_sql() -> dict[str, str]:
         f"WITH {tables}, e AS ({every}) SELECT 'vertices' AS what, COUNT(*) AS n FROM (SELECT s FROM e UNION SELECT t FROM e)"
         " UNION ALL SELECT 'labels', COUNT(DISTINCT label) FROM e UNION ALL SELECT label, COUNT(*) FROM (SELECT DISTINCT * FROM e) GROUP BY label"
     )
+    values = lambda rows: ", ".join("('{}', '{}')".format(a.replace("'", "''"), b) for a, b in rows)
+    out["src_csv_indices"] = _sql("star_mid", "SELECT DISTINCT target FROM found")
+    out["refused_queries"] = f"SELECT * FROM (VALUES {values(REFUSED.items())}) r(pattern, error)"
+    out["refused_inputs"] = f"SELECT * FROM (VALUES {values((k, v[2]) for k, v in FAULTY.items())}) r(input, error)"
     out["graph_lookups"] = "SELECT 'nation/' || k AS name, k IN (SELECT n_nationkey FROM nation) AS known FROM RANGE(30) r(k)"
     out["graph_from_pairs"] = "SELECT DISTINCT n_nationkey::VARCHAR AS source, (n_regionkey + 100)::VARCHAR AS target FROM nation"
     out["rdf_left_out"] = "SELECT 'literal' AS kind, COUNT(*) AS n FROM nation UNION ALL SELECT 'fault', COUNT(*) FROM region"
