@@ -95,6 +95,25 @@ def test_scan_is_every_text_scanned_by_itself(spark):
     assert rows_of(S.scan(docs), "doc_id", "start", "length", "name", "marginal_bytes") == want and len(want) >= 3
 
 
+def test_candidates_are_those_of_the_expression(spark):
+    rng = random.Random(2)
+    bits = ["token", "api_key", "monkey", "Secret", "-", "_", ".", " ", "=", ": ", '"', "\n", "x" * 45, "value_9", "passw", "author", SECRET, "key", "\u00e9", "bearer ", "<", ">"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 25))) for _ in range(3000)]
+    texts += [r["text"] for r in table(spark, SF, "documents").collect() if r["text"] and len(r["text"]) < 20_000]
+    some = 0
+    for text in texts:
+        at = 0
+        while True:
+            m, want = S.candidate(text, at), S.CANDIDATE.search(text, at)
+            assert (m and m.span()) == (want and want.span()) and (m and m.span("value")) == (want and want.span("value")), text
+            if m is None:
+                break
+            some += 1
+            at = max(m.start("value"), at + 1)
+    suspect = set(S.suspects(S.pa.array(texts)).tolist())
+    assert some > 1000 and all(k in suspect for k, t in enumerate(texts) if S.candidate(t, 0) or S.found(t))
+
+
 def test_corpus_identifiers_are_the_brute_force_ones(spark):
     rows = [(k, f"token customerRepository PAYMENT_gateway {SECRET}" if k < 6 else "token lonelyWord" if k < 9 else "customer of nothing") for k in range(20)] + [(None, None), (1, "")]
     assert sorted(S.corpus_identifiers(frame(spark, rows))) == sorted(["PAYMENT", "Repository", "customer", "gateway", "token"])
@@ -281,6 +300,47 @@ def test_words_of_code_switched_texts_are_labelled(language_sample):
     assert right >= 0.95 * total and np.mean(kept) >= 0.97  # some texts are declared wrongly
 
 
+def test_verdicts_are_the_brute_force_ones(language_sample):
+    """Features, forward-backward, shares, runs and acceptance, worked out word by word."""
+    rng = random.Random(6)
+    rng.shuffle(language_sample)
+    field = L.fit(language_sample[150:])
+    texts = [" ".join(words(t)[: rng.randint(1, 40)] + words(u)[: rng.randint(0, 15)]) for (_, t), (_, u) in zip(language_sample[:60], language_sample[60:120], strict=True)]
+    declared = [rng.choice([*field.labels, None, "xx"]) for _ in texts]
+    out = L.verdicts(field, texts, declared)
+    spans = out["spans"].to_pylist()
+    moves, first, n = np.exp(field.moves), np.exp(field.first), len(field.labels)
+    for k, text in enumerate(texts):
+        e = []
+        for w in words(text):
+            score = np.zeros(n)
+            for f in {*L.features(w)}:
+                if f in field.index:
+                    score += field.weights[field.index[f]]
+            if w in field.lexicon:
+                score += field.weights[field.lexicon[w]]
+            e.append(np.exp(score - score.max()))
+        if not e:
+            continue
+        a, b = [first * e[0]], [np.ones(n)]
+        for x in e[1:]:
+            a.append(a[-1] @ moves * x / a[-1].sum())
+        for x in e[:0:-1]:
+            v = moves @ (x * b[0])
+            b.insert(0, v / v.sum())
+        p = np.array([x * y / (x * y).sum() for x, y in zip(a, b, strict=True)])
+        share = p.mean(axis=0)
+        assert out["share"][k] == pytest.approx(share.max(), abs=1e-3) and out["n_words"][k] == len(e)
+        labels = [r["language"] for r in spans[k] for _ in range(r["first"], r["last"] + 1)]
+        sure = np.sort(p, axis=1)[:, -1] - np.sort(p, axis=1)[:, -2] > 1e-3
+        assert all(field.labels[j] == labels[i] for i, j in enumerate(p.argmax(axis=1)) if sure[i])
+        if declared[k] in field.labels:
+            top = L.reached(float(share[field.labels.index(declared[k])]), len(e))
+            assert abs(top - L.LEAST_DECLARED) < 1e-3 or out["accepted"][k] == (top >= L.LEAST_DECLARED)
+        else:
+            assert abs(share.max() - L.LEAST_SHARE) < 1e-3 or out["accepted"][k] == (share.max() >= L.LEAST_SHARE)
+
+
 def test_the_verdict_on_shares_grows_stricter_with_length():
     assert L.reached(0.3, 10**9) == pytest.approx(0.3, abs=1e-3)
     assert all(L.reached(0.0, n) > L.reached(0.0, n + 1) for n in range(1, 50))

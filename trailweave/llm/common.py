@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 from collections.abc import Iterator
@@ -31,6 +32,14 @@ def dropped(*frames: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+BROADCAST_ROWS = 1_000_000  # narrow rows of decisions that are broadcast, so that the texts they are about stay where they are; with more both sides are shuffled
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A table of decisions of a few numbers each, to be joined with texts: broadcast if its rows, which are counted, are no more than BROADCAST_ROWS."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("merge")
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that the rows don't have yet."""
     taken = {c.lower() for c in df.columns}
@@ -52,7 +61,7 @@ def words(text: str) -> list[str]:
 class Memo(dict):
     """Word to unsigned 64-bit hash; emptied when it holds `most` words, which changes no result."""
 
-    def __init__(self, seed: int = 0, most: int = 1_000_000):
+    def __init__(self, seed: int = 0, most: int = 200_000):
         super().__init__()
         self.seed, self.most = seed, most
 
@@ -86,6 +95,28 @@ def portions(texts: list[str | None], most: int = 2_000_000) -> Iterator[tuple[i
         yield start, len(texts)
 
 
+BATCH_BYTES = 4 << 20  # of a record batch that are worked on at once
+
+
+def cut(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The record batches in slices of about BATCH_BYTES, so that what is made of a batch of long texts isn't all held at once; at their end, free memory goes back to the system, as workers outlive their tasks."""
+    try:
+        for batch in source:
+            step = max(1, batch.num_rows * BATCH_BYTES // max(BATCH_BYTES, batch.nbytes))
+            for s in range(0, batch.num_rows, step):
+                yield batch.slice(s, step)
+    finally:
+        released()
+
+
+def released() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def batches(df: DataFrame, function, schema: str) -> DataFrame:
     """mapInArrow with a function from a record batch to a dict of columns (or None for no rows)."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -94,7 +125,7 @@ def batches(df: DataFrame, function, schema: str) -> DataFrame:
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        for batch in cut(source):
             out = function(batch)
             if out is not None:
                 yield pa.RecordBatch.from_arrays([out[f.name].cast(f.type) if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
