@@ -1,11 +1,14 @@
 """The pipeline against its stages worked out without Spark's operators, and what its stages must keep."""
 
+import os
+
 import pytest
 
 import __spark_entry__
 import corpus_pipeline
 from trailweave.llm import decontaminate, language_id, mix_sources, secret_scan
 from trailweave.llm.common import table, words
+from trailweave.storage import shared_dir
 
 from .test_dedup import brute_simhash
 
@@ -40,6 +43,14 @@ def test_stages_against_brute_force(spark, stages):
     assert sorted((r["doc_id"], r["copy"]) for r in mix) == sorted((r["doc_id"], r["copy"]) for r in picked)
 
 
+def test_run_is_its_stages_and_leaves_its_result_only(spark, stages):
+    before = set(os.listdir(shared_dir(spark)))
+    key = lambda df: sorted(map(repr, df.select(*stages[5].columns).collect()))
+    out = corpus_pipeline.run(spark, SF)
+    assert key(out) == key(stages[5])
+    assert {x.split("-")[0] for x in set(os.listdir(shared_dir(spark))) - before} == {"mix_sources"}
+
+
 def test_columns(stages):
     assert all(s.columns == stages[0].columns for s in stages[:5])
     assert stages[5].columns == [*stages[0].columns, "copy"]

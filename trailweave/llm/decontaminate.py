@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, table, words
+from .common import cut, mix, small, table, words, written
 
 TERMS = 1 << 14  # hashed terms, the columns of the TF-IDF matrix
 RANK = 64  # of the randomised singular value decomposition
@@ -146,7 +146,7 @@ def sketch(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
         omega = np.concatenate([test_matrix(), np.zeros((1, RANK), np.int8)])
         total = np.zeros((TERMS + 1, width), np.int64)
         passages = 0
-        for batch in source:
+        for batch in cut(source):
             text = batch.column(0)
             for terms in passages_of(text):
                 passages += len(terms) // PASSAGE
@@ -399,7 +399,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def search(source, shared=shared):
             rows, vectors = shared.value
             retriever = Retriever(rows, vectors)
-            for batch in source:
+            for batch in cut(source):
                 text = batch.column(1)
                 hits = [(a + h[0], *h[1:]) for a, b in portions(text) if rows for h in retriever.leaks(Words(text[a:b]))]
                 ids = batch.column(0).to_pylist()
@@ -427,4 +427,5 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows whose text has no benchmark passage, with all their columns. Rows go by their text, whether their doc_id is null, repeated or shared with another text; repeated rows stay or go together. Null and empty texts stay; an empty table or benchmark changes nothing; other columns may have any name."""
     bad = leaks(docs.select(F.xxhash64("text").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leaking")).distinct()
+    bad = small(written(bad, "leaking"))
     return docs.join(bad, F.xxhash64(docs["text"]) == bad["leaking"], "left_anti")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Memo, batches, components, dropped, hashable, mix, table, unused, words, written
+from .common import Memo, batches, components, dropped, hashable, mix, released, small, table, unused, words, written
 
 LANES = 18  # independent fingerprints of a document
 BITS = 32  # of each; wider ones lose pairs near MOST_APART, narrower ones collide by chance, which grows with documents^2 * 2^-BITS
@@ -176,6 +176,7 @@ def meetings(rows: DataFrame, prefix: int, partitions: int) -> DataFrame:
             held.append(batch)
         if held:
             yield links(held)
+        released()
 
     return rows.repartition(partitions, "place").sortWithinPartitions("place").mapInArrow(run, "a long, b long")
 
@@ -229,11 +230,10 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     told = kinds.join(best, F.col("root") == F.col("of")).select(F.col("doc_id").alias("told_doc"), F.col("h").alias("told_h"), first.alias("first"), "n").where("not first or n > 1")
     told = written(told, "told")
     dropped(rows)
-    again = told.where("first")
-
     def same(other: DataFrame) -> Column:
         return docs["doc_id"].eqNullSafe(other["told_doc"]) & (F.xxhash64(docs["text"]) == other["told_h"])
 
+    again, told = small(told.where("first")), small(told)
     kept = docs.join(told, same(told), "left_anti")
     if again.limit(1).count():  # rows of one doc_id and text
         mark = unused(docs, "row")
