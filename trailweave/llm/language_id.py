@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, table, words
+from .common import batches, cut, table, words
 
 SAMPLE_DOCS = 300  # labelled documents of a language that the field is fitted on, at most
 SAMPLE_WORDS = 20_000  # words of a language that it is fitted on, at most
@@ -84,8 +84,8 @@ class Numbers(dict):
         return n
 
 
-AT_ONCE = 500_000  # words
-MOST_KNOWN = 500_000  # words whose potentials a worker keeps; more empty the table, which changes no result
+AT_ONCE = 300_000  # words
+MOST_KNOWN = 200_000  # words whose potentials a worker keeps; more empty the table, which changes no result
 _tables: dict[bytes, tuple[Numbers, np.ndarray]] = {}  # of the worker's field, kept from task to task
 
 
@@ -335,7 +335,7 @@ def keep_accepted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     text, lang = names.index("text"), names.index("lang")
 
     def run(source):
-        for batch in source:
+        for batch in cut(source):
             good = verdicts(field, batch.column(text).to_pylist(), batch.column(lang).to_pylist())["accepted"]
             yield batch.filter(pa.array(good, pa.bool_()))
 

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import portions, table, words
+from .common import cut, portions, table, words
 
 LEAST_MATCH = 3  # tokens of a match that is chained
 MOST_GAP = 12  # tokens between chained matches, in the text and in the template
@@ -285,7 +285,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None) -> Data
 
     def run(source):
         scanner = Scanner(chosen)
-        for batch in source:
+        for batch in cut(source):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows = [(ids[k], *span) for a, b in portions(texts) for k in range(a, b) if texts[k] for span in scanner.spans(words(texts[k]))]
             columns = zip(*rows, strict=True) if rows else [[]] * 5
