@@ -254,6 +254,39 @@ def test_repeated_passages_are_the_brute_force_result(spark, monkeypatch, seed,
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_a_passage_of_many_texts_travels_once_a_portion(spark):
+    rng = random.Random(3)
+    vocab = vocabulary(rng)
+    passage = [rng.choice(vocab) for _ in range(70)]
+    texts = [[f"a{k}x{j}" for j in range(30)] + passage + [f"b{k}x{j}" for j in range(30)] for k in range(200)]
+    memo = Memo()
+    batches = list(R.first_pass(list(range(200)), texts, [memo.array(t) for t in texts], 50, R.primed(b"")[0]))
+    inside = sum(len(R.primed(b"")[1].decompress(w).split()) - 49 for w in batches[1].column("words").to_pylist())
+    assert inside == 200 * (130 - 49) - 199 * 21  # each window of the passage once
+    told = {(i, s, n) for i, s, n in zip(*(batches[0].column(c).to_pylist() for c in ("doc_id", "start", "windows")), strict=True)}
+    assert told == {(k, 30, 21) for k in range(200)}
+
+
+def test_passes_are_the_sorted_windows():
+    rng = np.random.default_rng(3)
+    for few, depth in ((2, 7), (3, 12), (40, 25)):
+        tokens = rng.integers(0, few, 4000).astype(np.int32)
+        tokens[3000:3300] = tokens[100:400]
+        at = np.arange(len(tokens) - depth + 1)
+        group = rng.integers(0, 2, len(at))
+        kind = R.radix(tokens, at, group, depth)
+        same = {}
+        for k in at.tolist():
+            same.setdefault((group[k], tokens[k : k + depth].tobytes()), []).append(k)
+        assert sorted(map(tuple, (np.flatnonzero(kind == c) for c in np.unique(kind[kind >= 0])))) == sorted(tuple(m) for m in same.values() if len(m) > 1)
+
+
+def test_windows_alike_by_hash_only_stay_apart(monkeypatch):
+    monkeypatch.setattr(R, "rolling", lambda tokens, width, up, down: np.zeros(len(tokens) - width + 1, np.uint64))
+    tokens = np.array([1, 2, 3, 4, 1, 2, 3, 5, 1, 2, 3, 4], np.int32)
+    assert R.radix(tokens, np.array([0, 4, 8]), np.zeros(3, np.int64), 4).tolist() == [0, -1, 0]
+
+
 def test_groups_that_span_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
     try:
@@ -307,3 +340,11 @@ def test_places_in_small_portions_change_nothing(spark, monkeypatch):
         assert sorted(map(tuple, S.near_duplicates(rows).collect())) == a
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_decisions_are_broadcast_or_shuffled_alike(spark, monkeypatch):
+    docs = spark.createDataFrame([*corpus(4, 15), *corpus(4, 15)[:9], (None, A, "en", "s", None)], DOCS)
+    key = lambda rows: sorted(map(repr, rows))
+    a = key(S.keep_one(spark, docs, "").collect())
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert key(S.keep_one(spark, docs, "").collect()) == a

@@ -7,17 +7,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Memo, mix, table, words
+from .common import Memo, cut, mix, table, words
 
 DEPTH = 50  # words through which suffixes are ordered
 DIGIT = 8  # words of the run by which suffixes are distributed
 RADIX = 10  # words of a digit of the passes
-CHUNK = 1 << 18  # words that are worked on at once
+CHUNK = 1 << 19  # words that are worked on at once
 PLACE_BITS = 26
 HOT = 20_000  # rows of a place from which they are sorted as they come, beside its distinct windows only
 PRIMER = 100_000  # bytes of some texts with which rows are compressed on their way, which changes no result
@@ -50,10 +51,12 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(ahead, behind)
 
 
-def first_pass(ids: list, texts: list[list[str]], coded: list[np.ndarray], depth: int, packer: zstandard.ZstdCompressor) -> pa.RecordBatch:
-    """The suffixes of the texts by the place where they are sorted: rows (place, doc_id, start, words).
+def first_pass(ids: list, texts: list[list[str]], coded: list[np.ndarray], depth: int, packer: zstandard.ZstdCompressor) -> Iterator[pa.RecordBatch]:
+    """The suffixes of the texts by the place where they are sorted: rows (place, doc_id, start, windows, words).
 
     The place of a suffix is that of the least run of DIGIT words among its first `depth` words, in the order of the runs' hashes and then of their positions, so suffixes that are equal through `depth` words have equal places. Successive suffixes of one run make one row, with the words that they need between them.
+
+    Suffixes that are equal to others of these texts are known to be repeated: their stretches go as rows without words, to any place, and one of each kind stands for them. So a place gets no more rows of a kind than there are portions of texts.
     """
     sizes = np.array([len(t) for t in texts])
     tokens = np.concatenate(coded)
@@ -64,6 +67,20 @@ def first_pass(ids: list, texts: list[list[str]], coded: list[np.ndarray], depth
     best = least((digits & ~low) | np.arange(len(digits), dtype=np.uint64), depth - digit_words + 1) & low
     doc = np.repeat(np.arange(len(texts)), sizes)
     at = np.flatnonzero(doc[: len(best)] == doc[depth - 1 :])  # windows within one text
+    begin = np.cumsum(sizes) - sizes
+    kind = radix(tokens, at, np.zeros(len(at), np.int64), depth)
+    told = at[kind >= 0]
+    if len(told):
+        first = np.flatnonzero(np.concatenate([[True], (told[1:] != told[:-1] + 1) | (doc[told[1:]] != doc[told[:-1]])]))
+        heads, many = told[first], np.diff(np.append(first, len(told)))
+        of = doc[heads]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(mix(heads.astype(np.uint64) ^ digits[heads]).view(np.int64)), pa.array([ids[k] for k in of.tolist()], pa.int64()), pa.array((heads - begin[of]).astype(np.int32)), pa.array(many.astype(np.int32)), pa.nulls(len(heads), pa.binary())],
+            names=["digit", "doc_id", "start", "windows", "words"],
+        )
+        others = kind < 0
+        others[np.flatnonzero(kind >= 0)[np.unique(kind[kind >= 0], return_index=True)[1]]] = True
+        at = at[others]
     run = np.concatenate([[True], (best[at[1:]] != best[at[:-1]]) | (at[1:] != at[:-1] + 1)])
     heads = at[run]
     stops = heads + np.diff(np.append(np.flatnonzero(run), len(at))) + depth - 1  # the word after the run's last window
@@ -72,11 +89,10 @@ def first_pass(ids: list, texts: list[list[str]], coded: list[np.ndarray], depth
     spaces = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)
     begins, ends = np.concatenate([[0], spaces + 1]), np.append(spaces, len(raw))
     rows = [packer.compress(raw[a:b]) for a, b in zip(begins[heads].tolist(), ends[stops - 1].tolist(), strict=True)]
-    begin = np.cumsum(sizes) - sizes
     of = doc[heads]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(digits[best[heads].astype(np.int64)].view(np.int64)), pa.array([ids[k] for k in of.tolist()], pa.int64()), pa.array((heads - begin[of]).astype(np.int32)), pa.array(rows, pa.binary())],
-        names=["digit", "doc_id", "start", "words"],
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(digits[best[heads].astype(np.int64)].view(np.int64)), pa.array([ids[k] for k in of.tolist()], pa.int64()), pa.array((heads - begin[of]).astype(np.int32)), pa.array((stops - heads - depth + 1).astype(np.int32)), pa.array(rows, pa.binary())],
+        names=["digit", "doc_id", "start", "windows", "words"],
     )
 
 
@@ -92,8 +108,8 @@ def first_digits(docs: DataFrame, depth: int, primer: bytes) -> DataFrame:
     def read(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo()
         packer = primed(primer)[0]
-        for batch in source:
-            ids, texts, coded, held = [], [], [], 0
+        ids, texts, coded, held = [], [], [], 0
+        for batch in cut(source):
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 tokens = words(text) if text else []
                 if len(tokens) >= depth:
@@ -102,12 +118,12 @@ def first_digits(docs: DataFrame, depth: int, primer: bytes) -> DataFrame:
                     coded.append(memo.array(tokens))
                     held += len(tokens)
                     if held >= CHUNK:
-                        yield first_pass(ids, texts, coded, depth, packer)
+                        yield from first_pass(ids, texts, coded, depth, packer)
                         ids, texts, coded, held = [], [], [], 0
-            if texts:
-                yield first_pass(ids, texts, coded, depth, packer)
+        if texts:
+            yield from first_pass(ids, texts, coded, depth, packer)
 
-    return docs.select("doc_id", "text").mapInArrow(read, "digit long, doc_id long, start int, words binary")
+    return docs.select("doc_id", "text").mapInArrow(read, "digit long, doc_id long, start int, windows int, words binary")
 
 
 class Numbers(dict):
@@ -186,7 +202,7 @@ def later_passes(parts: list[pa.RecordBatch], depth: int, unpacker: zstandard.Zs
     rows = pa.Table.from_batches(parts).combine_chunks()
     digit = rows.column("digit").to_numpy()
     group = np.cumsum(np.concatenate([[True], digit[1:] != digit[:-1]]))
-    # equal windows have their least run at the same distance, so they are never in one row, and a place's only row holds no repeat
+    # equal windows of a text were told before, so a place's only row holds no repeat
     keep = np.flatnonzero(np.bincount(group)[group] > 1)
     if not len(keep):
         return None
@@ -236,6 +252,11 @@ def repeated_windows(docs: DataFrame, depth: int) -> DataFrame:
         held: list[pa.RecordBatch] = []  # whole places, and what has come of the last one
         hot: HotPlace | None = None
         for batch in source:
+            alone = pc.is_null(batch.column(4))
+            if pc.any(alone).as_py():
+                found = batch.filter(alone)
+                yield pa.RecordBatch.from_arrays([found.column(1), found.column(2), pc.add(found.column(2), found.column(3))], names=["doc_id", "start", "stop"])
+                batch = batch.filter(pc.invert(alone))
             if not batch.num_rows:
                 continue
             digit = batch.column(0).to_numpy()
