@@ -98,8 +98,13 @@ def portions(texts: list[str | None], most: int = 2_000_000) -> Iterator[tuple[i
 BATCH_BYTES = 4 << 20  # of a record batch that are worked on at once
 
 
-def cut(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The record batches in slices of about BATCH_BYTES, so that what is made of a batch of long texts isn't all held at once; at their end, free memory goes back to the system, as workers outlive their tasks."""
+kept: dict[str, tuple] = {}  # what a worker keeps for the next task of the same operator
+
+
+def cut(source: Iterator[pa.RecordBatch], keep: str = "") -> Iterator[pa.RecordBatch]:
+    """The record batches in slices of about BATCH_BYTES, so that what is made of a batch of long texts isn't all held at once; at their end, free memory goes back to the system, as workers outlive their tasks. Of what the worker has kept, only what is kept under the given name stays."""
+    for name in [n for n in kept if n != keep]:
+        del kept[name]
     try:
         for batch in source:
             step = max(1, batch.num_rows * BATCH_BYTES // max(BATCH_BYTES, batch.nbytes))
@@ -117,7 +122,7 @@ def released() -> None:
         pass
 
 
-def batches(df: DataFrame, function, schema: str) -> DataFrame:
+def batches(df: DataFrame, function, schema: str, keep: str = "") -> DataFrame:
     """mapInArrow with a function from a record batch to a dict of columns (or None for no rows)."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -125,7 +130,7 @@ def batches(df: DataFrame, function, schema: str) -> DataFrame:
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in cut(source):
+        for batch in cut(source, keep):
             out = function(batch)
             if out is not None:
                 yield pa.RecordBatch.from_arrays([out[f.name].cast(f.type) if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type) for f in arrow], schema=arrow)

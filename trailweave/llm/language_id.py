@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, cut, table, words
+from .common import batches, cut, kept, table, words
 
 SAMPLE_DOCS = 300  # labelled documents of a language that the field is fitted on, at most
 SAMPLE_WORDS = 20_000  # words of a language that it is fitted on, at most
@@ -85,8 +85,8 @@ class Numbers(dict):
 
 
 AT_ONCE = 300_000  # words
-MOST_KNOWN = 200_000  # words whose potentials a worker keeps; more empty the table, which changes no result
-_tables: dict[bytes, tuple[Numbers, np.ndarray]] = {}  # of the worker's field, kept from task to task
+MOST_KNOWN = 500_000  # words whose potentials a worker keeps; more empty the table, which changes no result
+KEEP = "language"  # the name under which a worker keeps the table from task to task
 
 
 class Field:
@@ -105,9 +105,9 @@ class Field:
 
     def rows_of(self, texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
         """For the words of each text, rows of the table of emission potentials, and that table. Each distinct word is scored once, and kept from batch to batch."""
-        known, rows = _tables.get(self.key, (None, None))
-        if known is None or len(known) > MOST_KNOWN:
-            _tables.clear()
+        key, known, rows = kept.get(KEEP, (None, None, None))
+        if key != self.key or len(known) > MOST_KNOWN:
+            kept.pop(KEEP, None)
             known, rows = Numbers(), np.zeros((0, len(self.labels)), np.float32)
         at, parts = [], [rows]
         for text in texts:
@@ -116,8 +116,8 @@ class Field:
             if len(known.fresh) > 50_000:
                 parts.append(self.score(known))
         parts.append(self.score(known))
-        _tables[self.key] = known, np.concatenate(parts)
-        return at, _tables[self.key][1]
+        kept[KEEP] = self.key, known, np.concatenate(parts)
+        return at, kept[KEEP][2]
 
     def score(self, known: Numbers) -> np.ndarray:
         lists, known.fresh = [self.numbers(w) for w in known.fresh], []
@@ -314,7 +314,7 @@ def identify(docs: DataFrame, field: Field | None) -> DataFrame:
         ids, lang = batch.column(0), batch.column(2)
         return {"doc_id": ids, "lang": lang} | verdicts(field, batch.column(1).to_pylist(), lang.to_pylist())
 
-    return batches(docs.select("doc_id", "text", "lang"), one, "doc_id long, lang string, language string, share double, second string, second_share double, switches int, n_words int, accepted boolean, spans array<struct<first:int,last:int,language:string>>")
+    return batches(docs.select("doc_id", "text", "lang"), one, "doc_id long, lang string, language string, share double, second string, second_share double, switches int, n_words int, accepted boolean, spans array<struct<first:int,last:int,language:string>>", KEEP)
 
 
 def train(docs: DataFrame) -> Field | None:
@@ -335,7 +335,7 @@ def keep_accepted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     text, lang = names.index("text"), names.index("lang")
 
     def run(source):
-        for batch in cut(source):
+        for batch in cut(source, KEEP):
             good = verdicts(field, batch.column(text).to_pylist(), batch.column(lang).to_pylist())["accepted"]
             yield batch.filter(pa.array(good, pa.bool_()))
 
