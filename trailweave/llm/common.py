@@ -101,13 +101,13 @@ BATCH_BYTES = 4 << 20  # of a record batch that are worked on at once
 kept: dict[str, tuple] = {}  # what a worker keeps for the next task of the same operator
 
 
-def cut(source: Iterator[pa.RecordBatch], keep: str = "") -> Iterator[pa.RecordBatch]:
-    """The record batches in slices of about BATCH_BYTES, so that what is made of a batch of long texts isn't all held at once; at their end, free memory goes back to the system, as workers outlive their tasks. Of what the worker has kept, only what is kept under the given name stays."""
+def cut(source: Iterator[pa.RecordBatch], keep: str = "", most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The record batches in slices of about `most` bytes, so that what is made of a batch of long texts isn't all held at once; at their end, free memory goes back to the system, as workers outlive their tasks. Of what the worker has kept, only what is kept under the given name stays."""
     for name in [n for n in kept if n != keep]:
         del kept[name]
     try:
         for batch in source:
-            step = max(1, batch.num_rows * BATCH_BYTES // max(BATCH_BYTES, batch.nbytes))
+            step = max(1, batch.num_rows * most // max(most, batch.nbytes))
             for s in range(0, batch.num_rows, step):
                 yield batch.slice(s, step)
     finally:

@@ -26,6 +26,7 @@ LEAST_ANSWER = 0.5  # of the words of the item's last quarter, in order, that it
 ITEMS = 20_000  # of a round, and
 ITEM_CHARS = 64_000_000  # their characters, on average: what is broadcast stays about so large
 PARTS = 64  # of the sketch
+BATCH = 32 << 20  # bytes of a record batch that are taken at once, and then worked on in portions: words that many texts share are split once a portion
 
 
 def test_matrix() -> np.ndarray:
@@ -146,7 +147,7 @@ def sketch(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
         omega = np.concatenate([test_matrix(), np.zeros((1, RANK), np.int8)])
         total = np.zeros((TERMS + 1, width), np.int64)
         passages = 0
-        for batch in cut(source):
+        for batch in cut(source, most=BATCH):
             text = batch.column(0)
             for terms in passages_of(text):
                 passages += len(terms) // PASSAGE
@@ -399,7 +400,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def search(source, shared=shared):
             rows, vectors = shared.value
             retriever = Retriever(rows, vectors)
-            for batch in cut(source):
+            for batch in cut(source, most=BATCH):
                 text = batch.column(1)
                 hits = [(a + h[0], *h[1:]) for a, b in portions(text) if rows for h in retriever.leaks(Words(text[a:b]))]
                 ids = batch.column(0).to_pylist()
