@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, dropped, forest, table, written
+from .common import components, cut, dropped, forest, table, written
 
 COSINE = 0.9  # least cosine of a near-duplicate
 ROUNDS = 4  # of k-means
@@ -21,27 +21,36 @@ BLOCK = 16384  # vectors in a side of a block of cosine products
 PAIRS = 2_000_000  # of a block that are held before they are reduced to a forest
 
 
-def matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+def matrix(column: pa.ChunkedArray | pa.Array, width: int, kind: type = np.float32) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
         column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.float32)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(kind)
 
 
-def by_width(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def by_width(column: pa.Array, kind: type = np.float32) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Of vectors of several widths: each width, the places of its vectors, and they as a matrix."""
     sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
     for width in np.unique(sizes).tolist():
         at = np.flatnonzero(sizes == width)
-        yield width, at, matrix(column if len(at) == len(sizes) else column.take(pa.array(at)), width)
+        yield width, at, matrix(column if len(at) == len(sizes) else column.take(pa.array(at)), width, kind)
 
 
 def unit_vectors(embeddings: DataFrame) -> DataFrame:
     """(vec_id, x) of every row with an id and a direction."""
-    x = F.transform("embedding", lambda v: v.cast("double"))
-    square = F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v)
-    usable = embeddings.where("vec_id is not null and embedding is not null and size(embedding) > 0").select("vec_id", "embedding", square.alias("square")).where("square > 0 and square < double('infinity') and not isnan(square)")
-    return usable.select("vec_id", F.transform("embedding", lambda v: (v.cast("double") / F.sqrt("square")).cast("float") + F.lit(0.0).cast("float")).alias("x"))
+
+    def run(source):
+        for batch in cut(source):
+            for width, at, x in by_width(batch.column(1), np.float64):
+                with np.errstate(all="ignore"):
+                    square = (x * x).sum(axis=1)
+                good = np.flatnonzero((square > 0) & (square < np.inf))
+                unit = (x[good] / np.sqrt(square[good])[:, None]).astype(np.float32) + np.float32(0)  # no negative zero
+                values = pa.ListArray.from_arrays(pa.array(np.arange(len(good) + 1, dtype=np.int32) * width), pa.array(unit.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at[good])), values], names=["vec_id", "x"])
+
+    usable = embeddings.where("vec_id is not null and embedding is not null and size(embedding) > 0")
+    return usable.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(run, "vec_id long, x array<float>")
 
 
 class Cells:
@@ -101,6 +110,14 @@ def centroids(vectors: DataFrame) -> Cells:
     return cells
 
 
+def nearest(x: np.ndarray, cells: Cells, width: int) -> Iterator[np.ndarray]:
+    """(vectors, VISITS) numbers of the cells whose centroids are nearest, 4,096 vectors at a time."""
+    c = cells.of[width]
+    visits = min(VISITS, len(c))
+    for s in range(0, len(x), 4096):
+        yield np.argpartition(-(x[s : s + 4096] @ c.T), visits - 1, axis=1)[:, :visits] + cells.base[width]
+
+
 def placed(vectors: DataFrame, cells: Cells) -> DataFrame:
     """(cell, node, x): each vector in the VISITS cells whose centroids are nearest. What is copied is a fixed number of times the input, however many cells there are."""
     shared = vectors.sparkSession.sparkContext.broadcast(cells)
@@ -110,20 +127,34 @@ def placed(vectors: DataFrame, cells: Cells) -> DataFrame:
         for batch in source:
             node = batch.column(0).to_numpy(zero_copy_only=False)
             for width, at, x in by_width(batch.column(1)):
-                c = cells.of[width]
-                visits = min(VISITS, len(c))
-                for s in range(0, len(x), 4096):
-                    part = x[s : s + 4096]
-                    near = np.argpartition(-(part @ c.T), visits - 1, axis=1)[:, :visits] + cells.base[width]
-                    values = pa.ListArray.from_arrays(pa.array(np.arange(near.size + 1, dtype=np.int32) * width), pa.array(np.repeat(part, visits, axis=0).reshape(-1)))
-                    yield pa.RecordBatch.from_arrays([pa.array(near.reshape(-1), pa.int32()), pa.array(np.repeat(node[at[s : s + 4096]], visits), pa.int64()), values], names=["cell", "node", "x"])
+                for k, near in enumerate(nearest(x, cells, width)):
+                    own = slice(4096 * k, 4096 * k + len(near))
+                    values = pa.ListArray.from_arrays(pa.array(np.arange(near.size + 1, dtype=np.int32) * width), pa.array(np.repeat(x[own], near.shape[1], axis=0).reshape(-1)))
+                    yield pa.RecordBatch.from_arrays([pa.array(near.reshape(-1), pa.int32()), pa.array(np.repeat(node[at[own]], near.shape[1]), pa.int64()), values], names=["cell", "node", "x"])
 
     return vectors.select("node", "x").mapInArrow(place, "cell int, node long, x array<float>")
 
 
-def links(rows: DataFrame, cosine: float) -> DataFrame:
+def cell_sizes(vectors: DataFrame, cells: Cells) -> DataFrame:
+    """(of, blocks): the blocks of each cell. The cells are worked out again rather than written, as the copies are several times the input."""
+    shared = vectors.sparkSession.sparkContext.broadcast(cells)
+
+    def count(source):
+        cells = shared.value
+        total = np.zeros(sum(map(len, cells.of.values())), np.int64)
+        for batch in source:
+            for width, _, x in by_width(batch.column(0)):
+                for near in nearest(x, cells, width):
+                    total += np.bincount(near.reshape(-1), minlength=len(total))
+        there = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(total[there])], names=["of", "n"])
+
+    counts = vectors.select("x").mapInArrow(count, "of int, n long")
+    return counts.groupBy("of").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
+
+
+def links(rows: DataFrame, sizes: DataFrame, cosine: float) -> DataFrame:
     """Links (a, b) of vectors at least `cosine` alike that share a cell: its vectors are compared in pairs of blocks, each of which gives a spanning forest of its pairs."""
-    sizes = rows.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")).withColumnRenamed("cell", "of")
     blocked = rows.join(sizes, F.col("cell") == F.col("of")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = other.select("cell", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "x")
@@ -164,9 +195,9 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     ids = embeddings.where("vec_id is not null").select("vec_id").distinct()
     vectors = written(unit.groupBy("x").agg(F.min("vec_id").alias("node")).select("node", F.size("x").alias("width"), "x"), "vectors")
     same = unit.select("vec_id", *key).join(vectors.select("node", *key), ["g", "g2"]).where("vec_id <> node").select(F.col("vec_id").alias("a"), F.col("node").alias("b"))
-    cells = written(placed(vectors, centroids(vectors)), "cells")
-    roots = components(links(cells, cosine).union(same))
-    dropped(cells, vectors)
+    cells = centroids(vectors)
+    roots = components(links(placed(vectors, cells), cell_sizes(vectors, cells), cosine).union(same))
+    dropped(vectors)
     root = F.coalesce("root", "vec_id")
     return ids.join(roots, ids["vec_id"] == roots["node"], "left").select("vec_id", root.alias("group_id"), (F.col("vec_id") == root).alias("keep"))
 
