@@ -92,8 +92,9 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[int, str]], f
                 picked.append((r["of"], r["h"], q))
     if not picked:
         return [], 0.5
+    # at most 2 * SAMPLE rows
     wanted = docs.sparkSession.createDataFrame(sorted(set(picked)), "of long, w bigint, q int")
-    rows = usable.select("doc_id", "text").join(wanted, (F.col("doc_id") == F.col("of")) & (F.xxhash64("text") == F.col("w"))).select("of", "text", "q").distinct().collect()
+    rows = usable.select("doc_id", "text").join(F.broadcast(wanted), (F.col("doc_id") == F.col("of")) & (F.xxhash64("text") == F.col("w"))).select("of", "text", "q").distinct().collect()
     rows.sort(key=lambda r: (r["q"], hash_of(r["of"]), r["text"]))
     return [(r["q"], r["text"]) for r in rows], counts[1] / (counts[0] + counts[1])
 
