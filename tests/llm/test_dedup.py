@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -129,6 +130,40 @@ def test_dense_groups_are_linked_whole():
     assert set(groups(links, range(40)).values()) == set(range(10))
 
 
+def colliding(n=600, rest=28):
+    """Rows of places whose fingerprints often share a variant, mostly by chance, and the links among them by brute force."""
+    rng = np.random.default_rng(4)
+    full = rng.integers(0, 1 << 63, (n, 2)).astype(np.uint64)
+    full[n // 2 :] = np.where(rng.random(n - n // 2) < 0.3, 1, 0).astype(np.uint64)[:, None] ^ full[rng.integers(0, n // 2, n - n // 2)]
+    full[-40:] = full[0] ^ (np.uint64(1) << rng.integers(0, 60, (40, 2)).astype(np.uint64))
+    value = rng.integers(0, 60, n).astype(np.uint64) * np.uint64(0x155)  # several within 2 bits, many equal
+    prefix = 32 - rest
+    place = S.ball(value >> np.uint64(rest), prefix)
+    low = np.repeat((value & np.uint64((1 << rest) - 1))[:, None], prefix + 1, axis=1)
+    low[:, 0] |= np.uint64(1 << rest)
+    columns = {"place": place.reshape(-1), "low": low.reshape(-1), "node": np.repeat(np.arange(n), prefix + 1), **{f"f{k}": np.repeat(full[:, k], prefix + 1) for k in (0, 1)}}
+    near = (np.bitwise_count(value[:, None] ^ value[None, :]) <= 2) & (S.apart(full[:, None], full[None, :]) <= S.MOST_APART)
+    return pa.table({k: v.view(np.int64) for k, v in columns.items()}).sort_by("place"), groups(np.argwhere(np.triu(near, 1)).tolist(), range(n))
+
+
+def test_chance_meetings_are_compared_together(monkeypatch):
+    """Small groups that share a variant aren't walked one by one: by chance they grow with the square of the table."""
+    rows, want = colliding()
+    calls = []
+    linked = S.linked
+    monkeypatch.setattr(S, "linked", lambda *x: calls.append(1) or linked(*x))
+
+    def found():
+        a, b = S.met(rows, 28)
+        return groups(list(zip(a.tolist(), b.tolist(), strict=True)), range(600))
+
+    assert found() == want and not calls and len(set(want.values())) < 590
+    monkeypatch.setattr(S, "KEYS", 500)  # in slices
+    assert found() == want and not calls
+    monkeypatch.setattr(S, "PAIRED", 2)  # each group by itself
+    assert found() == want and calls
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components(spark, monkeypatch, seed):
     rng = random.Random(seed)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Memo, batches, components, dropped, hashable, mix, released, small, table, unused, words, written
+from .common import Memo, batches, components, dropped, forest, hashable, mix, released, small, table, unused, words, written
 
 LANES = 18  # independent fingerprints of a document
 BITS = 32  # of each; wider ones lose pairs near MOST_APART, narrower ones collide by chance, which grows with documents^2 * 2^-BITS
@@ -21,6 +21,8 @@ MOST_APART = 20  # of the CHECK bits
 PREFIX = 4  # least number of a variant's high bits that choose its place in the shuffle
 ROWS = 1 << 21  # fingerprints for which PREFIX bits are enough; twice as many take one bit more
 HELD = 100_000  # rows of a task that are expanded at once, and the rest of their last place
+KEYS = 1 << 21  # variants of a task that are sorted at once
+PAIRED = 512  # rows of one variant up to which all their pairs are compared; more are searched from each one reached
 TASK_ROWS = 1 << 20  # rows for which a task is added
 
 WIDE = -(-LANES * BITS // 64)  # words of a document's fingerprints
@@ -120,44 +122,80 @@ def linked(node: np.ndarray, full: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def met(rows_in: pa.Table, rest: int) -> set[tuple[int, int]]:
-    """Verified links among the fingerprints of whole places."""
+def met(rows_in: pa.Table, rest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) that join what the verified pairs among the fingerprints of whole places join: each node with the least one that it is joined to.
+
+    Variants are sorted as numbers that end in their rows, slice by slice of the places so that about KEYS are held at once. Pairs of a variant's rows are compared offset by offset, all variants together, as pairs that share one by chance grow with the square of the table; the rows of a variant that has more than PAIRED are linked by themselves.
+    """
     column = lambda n: rows_in.column(n).to_numpy()
     base, low, node = column("place").view(np.uint64) << np.uint64(rest), column("low").view(np.uint64), column("node")
-    full = np.stack([column(n) for n in FULL[: CHECK // 64]], axis=1).view(np.uint64)
+    full = np.stack([column(n) for n in FULL[: CHECK // 64]]).view(np.uint64)
     own = (low >> np.uint64(rest)) > 0
     low = low & np.uint64((1 << rest) - 1)
-    variants = (base[own, None] | ball(low[own], rest)).reshape(-1)
-    key = np.concatenate([variants, base[~own] | low[~own]])
-    row = np.concatenate([np.repeat(np.flatnonzero(own), rest + 1), np.flatnonzero(~own)])
-    order = np.argsort(key, kind="stable")
-    key, row = key[order], row[order]
-    edges: set[tuple[int, int]] = set()
+    count = np.uint64(max(1, len(node).bit_length()))
+    assert BITS + LANES.bit_length() + int(count) <= 64
+    k = min(rest, max(0, math.ceil(math.log2(max(1, own.sum() * (rest + 1) + len(node)) / KEYS))))
+    inner = rest - k  # low bits of a variant that are spelt out in its slice
+    top = low >> np.uint64(inner)
+    bottom = base | (low & np.uint64((1 << inner) - 1))
+    links: list[tuple[np.ndarray, np.ndarray]] = []
     seen: set[bytes] = set()
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
-    sizes = np.diff(np.append(starts, len(key)))
-    two = sizes == 2
-    a, b = row[starts[two]], row[starts[two] + 1]
-    good = apart(full[a], full[b]) <= MOST_APART
-    edges.update(zip(np.minimum(node[a], node[b])[good].tolist(), np.maximum(node[a], node[b])[good].tolist(), strict=True))
-    for s, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-        group = np.sort(row[s : s + n])
-        if (tag := node[group].tobytes()) not in seen:  # many variants gather the same group
-            seen.add(tag)
-            edges.update((min(e), max(e)) for e in linked(node[group], full[group]))
-    return {e for e in edges if e[0] != e[1]}
+
+    def add(a: np.ndarray, b: np.ndarray) -> None:
+        links.append((a, b))
+        if sum(len(x) for x, _ in links) > KEYS:
+            links[:] = [spanned(links)]
+
+    for s in range(1 << k):
+        away = np.bitwise_count(top ^ np.uint64(s))
+        here, single = np.flatnonzero(own & (away == 0)), np.flatnonzero(np.where(own, away == 1, away == 0))
+        at = np.uint64(s << inner)
+        key = np.concatenate([(((ball(bottom[here], inner) | at) << count) | here.astype(np.uint64)[:, None]).reshape(-1), ((bottom[single] | at) << count) | single.astype(np.uint64)])
+        key.sort()
+        row = (key & np.uint64((1 << int(count)) - 1)).astype(np.int32)
+        key >>= count
+        pos = np.flatnonzero(key[1:] == key[:-1])
+        if not len(pos):
+            continue
+        begin = np.flatnonzero(np.concatenate([[True], pos[1:] != pos[:-1] + 1]))  # of the runs of equal keys
+        size = np.diff(np.append(begin, len(pos))) + 1
+        for x, n in zip(pos[begin[size > PAIRED]], size[size > PAIRED], strict=True):
+            group = row[x : x + n]
+            if (tag := node[group].tobytes()) not in seen:  # many variants gather the same group
+                seen.add(tag)
+                if edges := linked(node[group], full[:, group].T):
+                    add(*np.array(edges, np.int64).T)
+        pos = pos[np.repeat(size <= PAIRED, size - 1)]
+        offset = 1
+        while len(pos):
+            a, b = row[pos], row[pos + offset]
+            good = np.flatnonzero(np.bitwise_count(full[0][a] ^ full[0][b]) <= MOST_APART)
+            a, b = a[good], b[good]
+            good = apart(full[:, a].T, full[:, b].T) <= MOST_APART
+            if good.any():
+                add(node[a[good]], node[b[good]])
+            offset += 1
+            pos = pos[pos + offset < len(key)]
+            pos = pos[key[pos] == key[pos + offset]]
+    return spanned(links)
+
+
+def spanned(links: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Fewest links that join what the given ones join."""
+    nodes, roots = forest(np.concatenate([a for a, _ in links]), np.concatenate([b for _, b in links])) if links else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return roots[nodes != roots], nodes[nodes != roots]
 
 
 def meetings(rows: DataFrame, prefix: int, partitions: int) -> DataFrame:
-    """Verified links (a, b) among fingerprints that share a variant. A task works through its places in order, about HELD rows at a time."""
+    """Links (a, b) that join the fingerprints that verified pairs join, of those that share a variant. A task works through its places in order, about HELD rows at a time."""
     rest = BITS - prefix
 
     def run(source):
         held: list[pa.RecordBatch] = []
 
         def links(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-            edges = met(pa.Table.from_batches(parts), rest)
-            return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
+            a, b = met(pa.Table.from_batches(parts), rest)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in source:
             if not batch.num_rows:
