@@ -119,6 +119,14 @@ def test_corpus_identifiers_are_the_brute_force_ones(spark):
     assert sorted(S.corpus_identifiers(frame(spark, rows))) == sorted(["PAYMENT", "Repository", "customer", "gateway", "token"])
 
 
+def test_corpus_identifiers_are_counted_in_all_documents(spark, monkeypatch):
+    """Also in those that have no candidate themselves: they decide which identifiers are frequent."""
+    rows = [(k, "warehouse inventory") for k in range(9)] + [(20, "token = inventoryWarehouse"), *((30 + k, "token payment") for k in range(6))]
+    assert S.corpus_identifiers(frame(spark, rows)) == ["payment", "token", "inventory"]  # 6, 7 and 10 documents; Warehouse is another piece, in one
+    monkeypatch.setattr(S, "CORPUS_WORDS", 1)
+    assert S.corpus_identifiers(frame(spark, rows)) == ["inventory"]
+
+
 def test_plain_words_after_the_new_names_are_kept():
     for text in ("key: the_primary_key_column", "sort_key = created_at_timestamp", "password: incorrect", "the key implementation of everything", "<secret>nothing</secret>"):
         assert S.redacted(text) == text

@@ -158,23 +158,30 @@ def suspects(texts: pa.Array) -> np.ndarray:
 
 
 def corpus_identifiers(docs: DataFrame) -> list[str]:
-    """The words of one case of which the most frequent identifiers of the corpus are made, from all documents that may have a candidate: at most CORPUS_WORDS that LEAST_DOCS documents have, rarest first, as a compressor reaches the end of its dictionary most cheaply. A secret, however often it is copied, has at most short pieces among them."""
+    """The words of one case of which the most frequent identifiers of the corpus are made, counted over all documents: at most CORPUS_WORDS that LEAST_DOCS documents have, rarest first, as a compressor reaches the end of its dictionary most cheaply. Those that no text with a possible candidate has are never compressed and take no room. A secret, however often it is copied, has at most short pieces among them."""
 
     def count(source):
         seen: Counter = Counter()
-        shape = lambda c: pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["piece", "n"])
+        met: set[str] = set()  # in texts that may have a candidate
+        shape = lambda c: pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64()), pa.array([p in met for p in c], pa.bool_())], names=["piece", "n", "met"])
         for batch in cut(source):
             text = batch.column(0)
-            for t in text.take(pa.array(suspects(text))).to_pylist():
-                seen.update(set(PIECE.findall(t)))
-            if len(seen) > 500_000:
-                yield shape(seen)
-                seen = Counter()
+            some = set(suspects(text).tolist())
+            for k, t in enumerate(text.to_pylist()):
+                if t:
+                    pieces = set(PIECE.findall(t))
+                    seen.update(pieces)
+                    if k in some:
+                        met |= pieces
+                if len(seen) > 500_000:
+                    yield shape(seen)
+                    seen, met = Counter(), set()
         yield shape(seen)
 
-    pieces = docs.select("text").mapInArrow(count, "piece string, n long")
-    top = pieces.groupBy("piece").agg(F.sum("n").alias("n")).where(f"n >= {LEAST_DOCS}").orderBy(F.desc("n"), "piece").limit(CORPUS_WORDS).collect()
-    return [r["piece"] for r in reversed(top)]
+    pieces = docs.select("text").mapInArrow(count, "piece string, n long, met boolean")
+    top = pieces.groupBy("piece").agg(F.sum("n").alias("n"), F.max("met").alias("met")).where(f"met and n >= {LEAST_DOCS}").orderBy(F.desc("n"), "piece").limit(CORPUS_WORDS)
+    top = top.where("n > 0").collect()  # a step after the limit, so that a task takes the first of all partitions, not the driver
+    return [r["piece"] for r in sorted(top, key=lambda r: (r["n"], [-ord(c) for c in r["piece"]]))]
 
 
 def scan(docs: DataFrame) -> DataFrame:
