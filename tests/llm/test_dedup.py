@@ -164,6 +164,16 @@ def test_chance_meetings_are_compared_together(monkeypatch):
     assert found() == want and calls
 
 
+def test_meetings_return_a_forest(spark):
+    """The links that a portion of places sends on are fewer than its nodes, however many lanes and variants they share."""
+    rng = np.random.default_rng(3)
+    full = np.repeat(rng.integers(0, 1 << 63, (1, S.WIDE)), 200, axis=0)
+    full ^= np.left_shift(np.int64(1), rng.integers(0, 63, full.shape))  # about half the lanes are a bit or two apart
+    nodes = spark.createDataFrame([(*map(int, f), k) for k, f in enumerate(full)], ", ".join(f"{n} long" for n in [*S.FULL, "node"]))
+    links = [tuple(r) for r in S.meetings(S.places(nodes, 4), 4, 1).collect()]
+    assert set(groups(links, range(200)).values()) == {0} and len(links) < 200
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components(spark, monkeypatch, seed):
     rng = random.Random(seed)
