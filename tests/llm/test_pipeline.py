@@ -80,3 +80,12 @@ def test_registered():
     found = __spark_entry__.queries()
     assert {f"op{n}_" for n in range(1, 11)} <= {k.split("_")[0] + "_" for k in found} and "pipeline" in found
     assert set(__spark_entry__.oracle_sql()) <= set(found)
+
+
+def test_redaction_counts_identifiers_in_all_documents(spark):
+    """An identifier that is frequent in texts without candidates is no secret where it stands beside a sensitive name."""
+    name = "warehouseInventoryLedgerReconciliation"
+    rows = [(k, f"{name} {k}", "en", "s", 1) for k in range(9)] + [(20, f"token = {name}", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert secret_scan.redacted(rows[-1][1]) != rows[-1][1]
+    assert {r["doc_id"]: r["text"] for r in secret_scan.redact(spark, docs, SF).collect()} == {r[0]: r[1] for r in rows}
