@@ -450,6 +450,36 @@ def test_decontamination_recall_of_what_the_checks_accept(spark):
         assert np.mean([p[2:] in found for p in pairs if p[:2] == (rate, full)]) >= 0.9, (rate, full)
 
 
+def test_items_that_an_array_lacks_are_not_looked_for(monkeypatch):
+    """Only regions with enough of an item's words near them are looked at, and none that has them is left out, also across cells."""
+    rng = random.Random(5)
+    known, other = ([f"{a}{k}" for k in range(2000)] for a in "xy")
+    items = [[rng.choice(known) for _ in range(n)] for n in (9, 14, 30, 60) for _ in range(6)]
+    text = [rng.choice(other) for _ in range(66_000)]
+    places = rng.sample(range(0, 65_000, 200), len(items) - 4) + [1000, 1024 - 7, 2048 - 20, 65_900]
+    for item, at in zip(items, places, strict=True):
+        text[at : at + len(item)] = [w if rng.random() < 0.75 else rng.choice(other) for w in item]
+    vectors = np.zeros((D.TERMS + 1, D.RANK), np.float32)
+    vectors[: D.TERMS] = np.random.default_rng(0).normal(size=(D.TERMS, D.RANK))
+    retriever = D.Retriever([(k, " ".join(i)) for k, i in enumerate(items)], vectors)
+    monkeypatch.setattr(D, "LEAST_COSINE", -1.0)  # nearly everything is a candidate
+    looked = []
+    within = retriever.within_reach
+
+    def counted(w, item, low, high, keys, length):
+        good = within(w, item, low, high, keys, length)
+        looked.append((len(item), good.sum()))
+        return good
+
+    monkeypatch.setattr(retriever, "within_reach", counted)
+    found = {h[:2] for h in retriever.leaks(D.Words(D.pa.array([" ".join(text), " ".join(other)], D.pa.string())))}
+    assert sum(n for n, _ in looked) < 5000  # of over 100,000
+    monkeypatch.setattr(retriever, "possible", lambda word, at, length: {w: (length, np.ones((len(of), 64), bool)) for w, of in retriever.items.items()}, raising=False)
+    looked.clear()
+    assert found == {h[:2] for h in retriever.leaks(D.Words(D.pa.array([" ".join(text), " ".join(other)], D.pa.string())))} and len(found) >= 12
+    assert sum(n for n, _ in looked) > 50_000
+
+
 def test_short_items_are_found_verbatim(spark):
     rows = [(1, "so What is, kinbarolu? they said"), (2, "what is not kinbarolu"), (3, "kinbarolu"), (4, "what is kinbarolus"), (5, None), (6, "")]
     benchmark = frame(spark, [(1, "What is kinbarolu?"), (2, "what is kinbarolu"), (3, "?!"), (4, "")], "item_id long, text string")

@@ -285,14 +285,41 @@ class Retriever:
             sizes = np.array([len(u) for u in uniques])
             self.flat[w] = np.array([t for u in uniques for t in u], np.int64), np.array([i.masks[t].bit_count() for i, u in zip(of, uniques, strict=True) for t in u], np.int64), np.cumsum(sizes) - sizes, sizes
 
-    def candidates(self, terms: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(window, its places in the array, numbers of the items among those of the window, cosines) of pairs with at least LEAST_COSINE that no neighbouring window of the item exceeds: its passage is within half a window of the peak."""
+    def possible(self, word: np.ndarray, at: np.ndarray, length: int) -> dict[int, tuple[int, np.ndarray]]:
+        """By window, the size of a cell and, by item and cell, whether a region of twice the window that begins in that cell may have LEAST_COVER of the item: that cell and the next together have enough of its words. `word` are the array's words of the vocabulary and `at` their places."""
+        out: dict[int, tuple[int, np.ndarray]] = {}
+        cells: dict[int, np.ndarray] = {}
+        for w, (flat, weight, begin, sizes) in self.flat.items():
+            cell = max(2 * w, -(-length // 64))  # so that the cells of a word are the bits of a number
+            if cell not in cells:
+                bits = np.zeros(len(self.vocabulary), np.uint64)
+                np.bitwise_or.at(bits, word, np.uint64(1) << (at // cell).astype(np.uint64))
+                cells[cell] = bits | (bits >> np.uint64(1))
+            n = np.array([i.n for i in self.items[w]])
+            most = np.floor(n * (1 - LEAST_COVER) + 1e-9)
+            good = np.zeros((len(n), 64), bool)
+            each = max(1, 30_000 // int(sizes.max()))
+            for s in range(0, len(n), each):
+                x, y = begin[s], begin[min(s + each, len(n)) - 1] + sizes[min(s + each, len(n)) - 1]
+                absent = np.unpackbits((~cells[cell][flat[x:y]])[:, None].view(np.uint8), axis=1, bitorder="little")
+                good[s : s + each] = np.add.reduceat(absent * weight[x:y, None].astype(np.int32), begin[s : s + each] - x, axis=0) <= most[s : s + each, None]
+            out[w] = cell, good
+        return out
+
+    def candidates(self, terms: np.ndarray, among: dict[int, np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(window, its places in the array, numbers of the items among those of the window, cosines) of pairs with at least LEAST_COSINE that no neighbouring window of the item exceeds: its passage is within half a window of the peak. Items are those `among`, or all."""
+        if among is not None and not any(len(x) for x in among.values()):
+            return
         four = self.vectors[terms].reshape(-1, BLOCK, RANK)
         blocks = four[:, 0].copy()
         for k in range(1, BLOCK):
             blocks += four[:, k]
         spans = {1: np.concatenate([blocks, np.zeros((max(self.units, default=1) // BLOCK, RANK), np.float32)])}
         for w, units in sorted(self.units.items()):
+            number = np.arange(units.shape[1]) if among is None else among[w]
+            if not len(number):
+                continue
+            units = units[:, number]
             step = max(1, w // BLOCK // 4)
             z = span_sums(spans, w // BLOCK)[: len(blocks) : step]
             z = z / np.maximum(np.sqrt(np.einsum("ij,ij->i", z, z)), 1e-12)[:, None]
@@ -301,7 +328,7 @@ class Retriever:
                 k, j = np.divmod(np.flatnonzero(cosines >= LEAST_COSINE), cosines.shape[1])
                 here = cosines[k, j]
                 peak = (here >= cosines[np.maximum(k - 1, 0), j]) & (here >= cosines[np.minimum(k + 1, len(z) - 1), j])
-                yield w, k[peak] * step * BLOCK, first + j[peak], here[peak]
+                yield w, k[peak] * step * BLOCK, number[first + j[peak]], here[peak]
 
     def verbatim(self, found: Words) -> Iterator[tuple[int, int, int]]:
         """(text, item_id, words) of the short items that a text has word for word."""
@@ -356,13 +383,16 @@ class Retriever:
             word, length = known[numbers], len(numbers) + 1
             at_words = np.flatnonzero(word >= 0)
             keys = np.append(np.sort(word[at_words] * length + at_words), np.iinfo(np.int64).max)
-            for w, at, item, cosine in self.candidates(terms[numbers]):
+            possible = self.possible(word[at_words], at_words, length)
+            for w, at, item, cosine in self.candidates(terms[numbers], {w: np.flatnonzero(good.any(axis=1)) for w, (_, good) in possible.items()}):
                 first = np.maximum(np.searchsorted(begins, at, side="right") - 1, 0)
                 many = np.searchsorted(begins, at + w, side="left") - first  # texts that the window meets
                 pair = np.repeat(np.arange(len(at)), many)
                 part = first[pair] + np.arange(len(pair)) - np.repeat(np.cumsum(many) - many, many)
                 low, high = np.maximum(begins[part], at[pair] - w // 2), np.minimum(ends[part], at[pair] + w + w // 2)
-                for x in np.flatnonzero(self.within_reach(w, item[pair], low, high, keys, length)).tolist():
+                cell, good = possible[w]
+                some = np.flatnonzero(good[item[pair], low // cell])
+                for x in some[self.within_reach(w, item[pair[some]], low[some], high[some], keys, length)].tolist():
                     of = self.items[w][item[pair[x]]]
                     k = parts[part[x]][0]
                     old = out.get((k, of.item_id))
