@@ -164,6 +164,27 @@ def test_chance_meetings_are_compared_together(monkeypatch):
     assert found() == want and calls
 
 
+def test_rows_of_a_value_are_compared_once(monkeypatch):
+    """Not at each of the variants that they share, and two values not at both of theirs."""
+    value = np.repeat(np.array([5, 4, 6], np.uint64), [40, 30, 1])  # 4 is a bit from 5, and from 6, which is two from 5
+    full = np.uint64(1) << np.arange(71, dtype=np.uint64) % np.uint64(60)
+    columns = {"place": np.zeros(71, np.int64), "low": value | np.uint64(1 << 28), "node": np.arange(71), "f0": full, "f1": full}
+    rows = pa.table({k: v.view(np.int64) for k, v in columns.items()})
+    pairs, apart = [], S.apart
+    monkeypatch.setattr(S, "apart", lambda a, b: pairs.append(len(a)) or apart(a, b))
+    a, b = S.met(rows, 28)
+    assert set(groups(list(zip(a.tolist(), b.tolist(), strict=True)), range(71)).values()) == {0}
+    assert sum(pairs) == 71 * 70 // 2
+
+
+def test_large_values_are_searched_with_the_same_result(monkeypatch):
+    rows, want = colliding()
+    for name, most in (("CROSSED", 3), ("PAIRED", 4), ("KEYS", 7)):
+        monkeypatch.setattr(S, name, most)
+        a, b = S.met(rows, 28)
+        assert groups(list(zip(a.tolist(), b.tolist(), strict=True)), range(600)) == want
+
+
 def test_meetings_return_a_forest(spark):
     """The links that a portion of places sends on are fewer than its nodes, however many lanes and variants they share."""
     rng = np.random.default_rng(3)

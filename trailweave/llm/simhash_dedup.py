@@ -22,23 +22,25 @@ PREFIX = 4  # least number of a variant's high bits that choose its place in the
 ROWS = 1 << 21  # fingerprints for which PREFIX bits are enough; twice as many take one bit more
 HELD = 100_000  # rows of a task that are expanded at once, and the rest of their last place
 KEYS = 1 << 21  # variants of a task that are sorted at once
-PAIRED = 512  # rows of one variant up to which all their pairs are compared; more are searched from each one reached
+PAIRED = 512  # rows of one value up to which all their pairs are compared; more are searched from each one reached
+CROSSED = 1 << 21  # pairs of two values' rows that are compared; more are searched likewise, so are two values of more than PAIRED rows each
 TASK_ROWS = 1 << 20  # rows for which a task is added
 
 WIDE = -(-LANES * BITS // 64)  # words of a document's fingerprints
 FULL = [f"f{k}" for k in range(WIDE)]
+SEEDS = np.array([0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF for k in range(WIDE)], np.uint64)
+
+_bits = np.empty((2048, 64 * WIDE), np.float32)  # of the tokens of a text, used again by the next: fresh memory for each takes longer than the sums
 
 
 def fingerprint(tokens: list[str], memo: Memo) -> np.ndarray:
     """LANES * BITS bits in WIDE words: signs of the sums over distinct tokens of their hash bits, each weighing the root of its count."""
     count = Counter(tokens)
-    h = memo.array(count)
-    wide = np.empty((len(h), WIDE), np.uint64)
-    for k in range(WIDE):
-        wide[:, k] = mix(h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF))
-    bits = np.unpackbits(wide.view(np.uint8), axis=1)
-    weight = np.sqrt(np.fromiter(count.values(), np.float32, len(h)))
-    sign = weight @ bits.astype(np.float32) * 2 > weight.sum()
+    wide = mix(memo.array(count)[:, None] + SEEDS)
+    bits = _bits[: len(wide)] if len(wide) <= len(_bits) else np.empty((len(wide), 64 * WIDE), np.float32)
+    np.copyto(bits, np.unpackbits(wide.view(np.uint8), axis=1))
+    weight = np.sqrt(np.fromiter(count.values(), np.float32, len(count)))
+    sign = weight @ bits * 2 > weight.sum()
     sign[LANES * BITS :] = False
     return np.packbits(sign).view(np.uint64)
 
@@ -125,55 +127,81 @@ def linked(node: np.ndarray, full: np.ndarray) -> list[tuple[int, int]]:
 def met(rows_in: pa.Table, rest: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (a, b) that join what the verified pairs among the fingerprints of whole places join: each node with the least one that it is joined to.
 
-    Variants are sorted as numbers that end in their rows, slice by slice of the places so that about KEYS are held at once. Pairs of a variant's rows are compared offset by offset, all variants together, as pairs that share one by chance grow with the square of the table; the rows of a variant that has more than PAIRED are linked by themselves.
+    Rows of one value and kind, whose variants are the same, are a cell: they are compared with each other once, not at each variant. Variants are spelt out by cell and sorted as numbers that end in the cells, slice by slice of the places so that about KEYS are held at once. Two cells that share variants are compared at one of them, all such cells together, as pairs that meet by chance grow with the square of the table; large cells are linked by themselves.
     """
     column = lambda n: rows_in.column(n).to_numpy()
-    base, low, node = column("place").view(np.uint64) << np.uint64(rest), column("low").view(np.uint64), column("node")
-    full = np.stack([column(n) for n in FULL[: CHECK // 64]]).view(np.uint64)
-    own = (low >> np.uint64(rest)) > 0
-    low = low & np.uint64((1 << rest) - 1)
-    count = np.uint64(max(1, len(node).bit_length()))
-    assert BITS + LANES.bit_length() + int(count) <= 64
-    k = min(rest, max(0, math.ceil(math.log2(max(1, own.sum() * (rest + 1) + len(node)) / KEYS))))
-    inner = rest - k  # low bits of a variant that are spelt out in its slice
-    top = low >> np.uint64(inner)
-    bottom = base | (low & np.uint64((1 << inner) - 1))
+    base, low = column("place").view(np.uint64) << np.uint64(rest), column("low").view(np.uint64)
+    code = (base | (low & np.uint64((1 << rest) - 1))) << np.uint64(1) | ((low >> np.uint64(rest)) > 0)
+    order = np.argsort(code)
+    code, node = code[order], column("node")[order]
+    full = np.stack([column(n)[order] for n in FULL[: CHECK // 64]]).view(np.uint64)
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    size = np.diff(np.append(first, len(code)))
+    value, own = code[first] >> np.uint64(1), (code[first] & np.uint64(1)) > 0
     links: list[tuple[np.ndarray, np.ndarray]] = []
-    seen: set[bytes] = set()
 
     def add(a: np.ndarray, b: np.ndarray) -> None:
         links.append((a, b))
         if sum(len(x) for x, _ in links) > KEYS:
             links[:] = [spanned(links)]
 
+    def compared(a: np.ndarray, b: np.ndarray) -> None:
+        good = np.flatnonzero(np.bitwise_count(full[0][a] ^ full[0][b]) <= MOST_APART)
+        a, b = a[good], b[good]
+        good = apart(full[:, a].T, full[:, b].T) <= MOST_APART
+        if good.any():
+            add(node[a[good]], node[b[good]])
+
+    def searched(*cells: int) -> None:
+        group = np.concatenate([np.arange(first[c], first[c] + size[c]) for c in cells])
+        if edges := linked(node[group], full[:, group].T):
+            add(*np.array(edges, np.int64).T)
+
+    def crossed(a: np.ndarray, b: np.ndarray) -> None:
+        """All rows of each cell of a with those of its cell of b."""
+        pairs = size[a] * size[b]
+        many = ((size[a] > PAIRED) & (size[b] > PAIRED)) | (pairs > CROSSED)
+        for x, y in zip(a[many], b[many], strict=True):
+            searched(x, y)
+        one = pairs == 1
+        compared(first[a[one]], first[b[one]])
+        some = ~one & ~many
+        a, b, pairs = a[some], b[some], pairs[some]
+        until = np.cumsum(pairs)
+        for part in np.split(np.arange(len(a)), np.searchsorted(until, np.arange(KEYS, until[-1], KEYS)) if len(a) else []):
+            n = pairs[part]
+            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            each = np.repeat(size[b[part]], n)
+            compared(np.repeat(first[a[part]], n) + k // each, np.repeat(first[b[part]], n) + k % each)
+
+    for c in np.flatnonzero(size > PAIRED):
+        searched(c)
+    end, offset = np.repeat(first + size, size), 1
+    pos = np.flatnonzero(np.repeat(size <= PAIRED, size))
+    while len(pos := pos[pos + offset < end[pos]]):
+        compared(pos, pos + offset)
+        offset += 1
+
+    count = np.uint64(max(1, len(first).bit_length()))
+    assert BITS + LANES.bit_length() + int(count) <= 64
+    k = min(rest, max(0, math.ceil(math.log2(max(1, own.sum() * (rest + 1) + len(first)) / KEYS))))
+    inner = rest - k  # low bits of a variant that are spelt out in its slice
+    top = (value & np.uint64((1 << rest) - 1)) >> np.uint64(inner)
+    bottom = value ^ (top << np.uint64(inner))
     for s in range(1 << k):
         away = np.bitwise_count(top ^ np.uint64(s))
         here, single = np.flatnonzero(own & (away == 0)), np.flatnonzero(np.where(own, away == 1, away == 0))
         at = np.uint64(s << inner)
         key = np.concatenate([(((ball(bottom[here], inner) | at) << count) | here.astype(np.uint64)[:, None]).reshape(-1), ((bottom[single] | at) << count) | single.astype(np.uint64)])
         key.sort()
-        row = (key & np.uint64((1 << int(count)) - 1)).astype(np.int32)
+        cell = (key & np.uint64((1 << int(count)) - 1)).astype(np.int32)
         key >>= count
-        pos = np.flatnonzero(key[1:] == key[:-1])
-        if not len(pos):
-            continue
-        begin = np.flatnonzero(np.concatenate([[True], pos[1:] != pos[:-1] + 1]))  # of the runs of equal keys
-        size = np.diff(np.append(begin, len(pos))) + 1
-        for x, n in zip(pos[begin[size > PAIRED]], size[size > PAIRED], strict=True):
-            group = row[x : x + n]
-            if (tag := node[group].tobytes()) not in seen:  # many variants gather the same group
-                seen.add(tag)
-                if edges := linked(node[group], full[:, group].T):
-                    add(*np.array(edges, np.int64).T)
-        pos = pos[np.repeat(size <= PAIRED, size - 1)]
-        offset = 1
+        pos, offset = np.flatnonzero(key[1:] == key[:-1]), 1
         while len(pos):
-            a, b = row[pos], row[pos + offset]
-            good = np.flatnonzero(np.bitwise_count(full[0][a] ^ full[0][b]) <= MOST_APART)
-            a, b = a[good], b[good]
-            good = apart(full[:, a].T, full[:, b].T) <= MOST_APART
-            if good.any():
-                add(node[a[good]], node[b[good]])
+            a, b = cell[pos], cell[pos + offset]
+            differ = value[a] ^ value[b]
+            once = ~(own[a] & own[b]) | (key[pos] == value[a] ^ (differ & (~differ + np.uint64(1))))  # two whole balls share two variants: the one that has the lowest of the bits changed counts
+            crossed(a[once], b[once])
             offset += 1
             pos = pos[pos + offset < len(key)]
             pos = pos[key[pos] == key[pos + offset]]
