@@ -5,7 +5,8 @@ import random
 import pytest
 
 from trailweave.graph import PathGraph
-from trailweave.operators import components, fixpoint
+from trailweave.operators import components, fixpoint, frontier
+from trailweave.operators.frontier import FrontierEvaluator
 from trailweave.operators.relational import RelationalEvaluator
 from trailweave.sparql import parse_query
 
@@ -51,6 +52,8 @@ def test_closures_of_components_and_of_what_is_too_large(spark, monkeypatch, mix
     for start in ("c2/3", "d/1", "l/0"):
         own = RelationalEvaluator(local_pairs=0).evaluate(query(f"<{start}> <p>+ ?y"), graph).named().collect()
         assert sorted(map(tuple, own)) == sorted(p for p in want if p[0] == start)
+        ends = FrontierEvaluator(0).evaluate(query(f"<{start}> <p>+ ?y"), graph).named().collect()
+        assert sorted(r["target"] for r in ends) == sorted(t for s, t in want if s == start)
 
 
 def test_small_components_are_closed_without_rounds(spark, monkeypatch, mixed):
@@ -64,3 +67,26 @@ def test_small_components_are_closed_without_rounds(spark, monkeypatch, mixed):
     graph = PathGraph.from_edges(spark, [(s, t, "p") for s, t in mixed])
     assert RelationalEvaluator(local_pairs=0).evaluate(query("?x <p>+ ?y"), graph).nnz == len(reached(mixed))
     assert RelationalEvaluator(local_pairs=0).evaluate(query("<c1/0> <p>+ ?y"), graph).nnz == 12
+
+
+def test_a_search_from_a_seed_reads_its_component_only(spark, monkeypatch, mixed):
+    """It went by rounds over all edges, one for each step of the longest path."""
+    monkeypatch.setattr(frontier, "_rounds", None)
+    graph = PathGraph.from_edges(spark, [(s, t, "p") for s, t in mixed])
+    assert FrontierEvaluator(20).evaluate(query("<c1/0> <p>+ ?y"), graph).result_count == 12
+
+
+def test_a_search_by_rounds_reads_the_edges_of_its_states(spark, monkeypatch):
+    """Each round joined the frontier with the edges of all states, and the first with every vertex that has one."""
+    made = []
+
+    def noted(df, what, by=None):
+        made.append((what, by, df.count()))
+        return frontier_written(df, what, by)
+
+    frontier_written = frontier.written
+    monkeypatch.setattr(frontier, "written", noted)
+    graph = PathGraph.from_edges(spark, [*((f"o{k}", f"c{k % 3}", "a") for k in range(30)), *((f"c{k}", "n", "b") for k in range(3)), ("n", "m", "c"), ("m", "n", "c")])
+    assert {r["target"] for r in FrontierEvaluator(0).evaluate(query("?x <a>/<b>/<c>* ?y"), graph).named().collect()} == {"n", "m"}
+    assert [m[1] for m in made if m[0] == "steps"] == ["q"]
+    assert max(n for what, _, n in made if what == "frontier") == 3

@@ -17,6 +17,7 @@ from ..plans.automaton import Automaton, automaton
 from ..plans.rules import backward, simplified
 from ..storage import Parts, dropped, written
 from . import fixpoint
+from .components import labelled
 from .relational import check_labels, resolved
 
 
@@ -63,11 +64,15 @@ class Prepared:
 
 
 def search(graph: PathGraph, machine: Automaton, seeds: DataFrame | None, turned: bool = False, most: int | None = None) -> DataFrame:
-    """(v): the vertices at which a path of the automaton ends that starts at one of the seeds, or at any vertex. It runs jobs at once. Up to `most` edges of the path's labels, by default fixpoint.LOCAL_PAIRS, are searched by one task."""
+    """(v): the vertices at which a path of the automaton ends that starts at one of the seeds, or at any vertex. It runs jobs at once. Up to `most` edges of the path's labels, by default fixpoint.LOCAL_PAIRS, are searched by one task. Of more, only those count that are connected to the seeds."""
     moves = machine.by_label()
     edges = graph.edges.where(F.col("label").isin(*moves)).select("label", *((F.col("dst").alias("s"), F.col("src").alias("t")) if turned else (F.col("src").alias("s"), F.col("dst").alias("t"))))
     held = written(edges, "edges")
-    if held.count() <= (fixpoint.LOCAL_PAIRS if most is None else most):
+    number, most = held.count(), fixpoint.LOCAL_PAIRS if most is None else most
+    if number > most and seeds is not None:
+        held = _near(held, seeds)
+        number = held.count()
+    if number <= most:
         ends = _local(machine, held.toArrow(), seeds, graph.spark)
     else:
         ends = _rounds(machine, held, seeds)
@@ -77,6 +82,17 @@ def search(graph: PathGraph, machine: Automaton, seeds: DataFrame | None, turned
     return ends
 
 
+def _near(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The edges (s, t, label) of components with a seed, in place of all of them, which are dropped: a search by rounds would read the others in every round."""
+    parts = labelled(edges)
+    of = parts.join(seeds.select(F.col("v").alias("s")), "s", "left_semi").select("c").distinct()
+    near = parts.join(of, "c", "left_semi").select("s").distinct()
+    out = written(edges.join(near, "s", "left_semi").select(*edges.columns), "edges")
+    dropped(parts)
+    dropped(edges)
+    return out
+
+
 def _local(machine: Automaton, edges: pa.Table, seeds: DataFrame | None, spark: SparkSession) -> DataFrame:
     """One task holds the edges and which vertices each state has seen. Only paths with an edge are searched."""
     everywhere = seeds is None
@@ -126,17 +142,24 @@ def _local(machine: Automaton, edges: pa.Table, seeds: DataFrame | None, spark:
 
 
 def _rounds(machine: Automaton, edges: DataFrame, seeds: DataFrame | None) -> DataFrame:
-    """Rounds of joins: the frontier (v, q) moves over edges and automaton at once, and what was seen before is dropped."""
+    """Rounds of joins: the frontier (v, q) moves over edges and automaton at once, and what was seen before is dropped. A round reads only the edges that its states can move over. No move leads back to the start, so a search from every vertex begins with what its moves lead to."""
     spark = edges.sparkSession
     moves = spark.createDataFrame([(a, name, b) for a, name, b in machine.moves], "q int, label string, q2 int")
-    steps = written(edges.join(F.broadcast(moves), "label").select("q", F.col("s").alias("v"), "q2", F.col("t").alias("v2")), "steps")
-    starts = steps.where(F.col("q") == machine.start).select("v") if seeds is None else seeds
-    fresh = written(starts.select("v", F.lit(machine.start).alias("q")).distinct(), "frontier")
+    steps = written(edges.join(F.broadcast(moves), "label").select("q", F.col("s").alias("v"), "q2", F.col("t").alias("v2")), "steps", by="q")
+    states = {machine.start}
+    if seeds is None:
+        fresh = steps.where(F.col("q") == machine.start).select(F.col("v2").alias("v"), F.col("q2").alias("q")).distinct()
+        states = {b for a, _, b in machine.moves if a in states}
+    else:
+        fresh = seeds.select("v", F.lit(machine.start).alias("q")).distinct()
+    fresh = written(fresh, "frontier")
     seen = Parts(fresh, "frontier")
     while fresh.take(1):
-        step = fresh.join(steps, ["v", "q"]).select(F.col("v2").alias("v"), F.col("q2").alias("q")).distinct()
-        fresh = written(step.join(seen.whole(), ["v", "q"], "left_anti"), "frontier")
+        ahead = {b for a, _, b in machine.moves if a in states}
+        step = fresh.join(steps.where(F.col("q").isin(*states)), ["v", "q"]).select(F.col("v2").alias("v"), F.col("q2").alias("q")).distinct()
+        fresh = written(step.join(seen.whole().where(F.col("q").isin(*ahead)), ["v", "q"], "left_anti"), "frontier")
         seen.add(fresh)
+        states = ahead
     dropped(steps)
     return seen.whole().where(F.col("q").isin(*(machine.finals - {machine.start}))).select("v").distinct()
 
