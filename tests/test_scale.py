@@ -8,6 +8,7 @@ from trailweave.graph import PathGraph
 from trailweave.operators import components, fixpoint, frontier
 from trailweave.operators.frontier import FrontierEvaluator
 from trailweave.operators.relational import RelationalEvaluator
+from trailweave.sources.rdf import TurtleReader, left_out, read_rdf, read_rdf_rows
 from trailweave.sparql import parse_query
 
 
@@ -90,3 +91,49 @@ def test_a_search_by_rounds_reads_the_edges_of_its_states(spark, monkeypatch):
     assert {r["target"] for r in FrontierEvaluator(0).evaluate(query("?x <a>/<b>/<c>* ?y"), graph).named().collect()} == {"n", "m"}
     assert [m[1] for m in made if m[0] == "steps"] == ["q"]
     assert max(n for what, _, n in made if what == "frontier") == 3
+
+
+def test_a_turtle_file_is_read_line_by_line():
+    """All of its tokens and rows were held at once."""
+    read = 0
+
+    def lines():
+        nonlocal read
+        yield "@prefix e: <http://e/> . @base <http://b/> .\n"
+        for k in range(20_000):
+            read += 1
+            yield f'<s/{k}> e:p <o> , e:q ; e:n """long\n' if k % 2 else f'text""" . e:a e:p "x" .\n' if k else "e:a e:p e:b .\n"
+
+    found = TurtleReader(lines()).read()
+    assert next(found) == ("http://e/a", "http://e/p", "http://e/b", "edge")
+    assert read < 10
+    assert sum(r[3] == "edge" for r in found) == 2 * 9_999 and read == 20_000
+
+
+def test_strings_without_an_end_and_over_lines():
+    text = '@prefix e: <http://e/> . e:a e:p """one\ntwo \\""" three\n""" , e:b . e:c e:p "x\\\ny" , e:d .\ne:e e:p \'\'\'open\ne:f e:p e:g .\n'
+    whole, by_line = list(TurtleReader(text).read()), list(TurtleReader(x + "\n" for x in text.split("\n")[:-1]).read())
+    assert whole == by_line and [r[2] for r in whole if r[3] == "edge"] == ["http://e/b", "http://e/d"]
+
+
+def test_a_turtle_file_in_several_splits(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.ttl").write_text("@prefix e: <http://e/> .\n" + "".join(f"e:s{k} e:p\n  e:o .\n" for k in range(500)))
+    (tmp_path / "b.ttl").write_text("@prefix e: <http://f/> .\n" + "".join(f"e:s{k} e:p\n  e:o .\n" for k in range(300)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        found = read_rdf_rows(spark, str(tmp_path), "turtle").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {tuple(r) for r in found} == {(f"http://{h}/s{k}", f"http://{h}/p", f"http://{h}/o", "edge") for h, n in (("e", 500), ("f", 300)) for k in range(n)} and len(found) == 800
+
+
+def test_a_line_of_ntriples_is_matched_once(spark, tmp_path):
+    """Each column, and the filters on them, matched again, and so did a second read for escapes."""
+    path = tmp_path / "a.nt"
+    path.write_text('<http://e/s> <http://e/p> <http://e/o> .\n_:b <http://e/p> _:c . # end\n<http://e/s> <http://e/p> "a\\"b\\u00e9"@en .\n\x01<x> broken\n<http://e/\\u00e9> <http://e/p> <http://e/o> .\n')
+    found = read_rdf(spark, str(path))
+    assert sorted(map(tuple, found.collect())) == [("_:b", "http://e/p", "_:c"), ("http://e/s", "http://e/p", "http://e/o"), ("http://e/é", "http://e/p", "http://e/o")]
+    assert left_out(spark, str(path)) == {"literal": 1, "fault": 1}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 2 and "regexp_extract" not in plan  # lines with escapes and without
