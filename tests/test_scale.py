@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from trailweave import graph as graphs
 from trailweave.graph import PathGraph
 from trailweave.operators import components, fixpoint, frontier
 from trailweave.operators.frontier import FrontierEvaluator
@@ -137,3 +138,21 @@ def test_a_line_of_ntriples_is_matched_once(spark, tmp_path):
     assert left_out(spark, str(path)) == {"literal": 1, "fault": 1}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") == 2 and "regexp_extract" not in plan  # lines with escapes and without
+
+
+def test_triples_are_read_once_and_hubs_are_spread(spark, monkeypatch, tmp_path):
+    """The input was read for each end of the dictionary and for the edges."""
+    monkeypatch.setattr(graphs, "TASK_ROWS", 10)
+    names = [(f"s{k % 40}", "p", "hub" if k % 2 else f"t{k}") for k in range(80)] + [("hub", "q", f"t{k}") for k in range(30)]
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    triples = spark.createDataFrame([*names, *names[:7]], "source string, label string, target string").mapInArrow(counted, "source string, label string, target string")
+    graph = PathGraph.from_triples(triples)
+    assert reads.value == 117
+    found = graph.with_names(graph.edges.select(*map(graphs.F.col, ("src", "label", "dst"))), "src", "dst")
+    assert sorted(map(tuple, found.collect())) == sorted(set(names)) and graph.num_nodes() == len({x for s, _, t in names for x in (s, t)})

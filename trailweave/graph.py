@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import GraphLoadError
-from .storage import written
+from .storage import dropped, written
+
+#: Edges that a task joins with the dictionary of names.
+TASK_ROWS = 400_000
 
 EDGE_SCHEMA = "source string not null, label string not null, target string not null"
 
@@ -98,15 +101,18 @@ class PathGraph:
 
     @staticmethod
     def from_triples(triples: DataFrame, isolated: DataFrame | None = None) -> PathGraph:
-        """From (source, label, target) names; `isolated` (name) adds vertices. The dictionary and the edges are written once, so that ids are the same in every task."""
-        known = triples.select("source", "label", "target").where("source is not null and label is not null and target is not null").distinct()
-        names = known.select(F.col("source").alias("name")).union(known.select("target"))
+        """From (source, label, target) names; `isolated` (name) adds vertices. The triples, the dictionary and the edges are written once, so that input is read once and ids are the same in every task. Tasks get a bounded number of rows each."""
+        read = written(triples.select("source", "label", "target").where("source is not null and label is not null and target is not null"), "triples")
+        parts = -(-read.count() // TASK_ROWS) or 1
+        names = read.select(F.col("source").alias("name")).union(read.select("target"))
         if isolated is not None:
             names = names.union(isolated.select("name"))
-        vertices = written(names.distinct().select(F.monotonically_increasing_id().alias("id"), "name"), "vertices")
-        a = vertices.select(F.col("id").alias("src"), F.col("name").alias("source"))
-        b = vertices.select(F.col("id").alias("dst"), F.col("name").alias("target"))
-        edges = written(known.join(a, "source").join(b, "target").select("src", "label", "dst"), "edges", by="label")
+        counted = names.repartition(2 * parts, "name").groupBy("name").agg(F.count("*").alias("n"))
+        held = written(counted.select(F.monotonically_increasing_id().alias("id"), "name", "n"), "vertices")
+        vertices = held.select("id", "name")
+        pairs = _numbered(_numbered(read, held, "source", "src", parts), held, "target", "dst", parts)
+        edges = written(pairs.select("src", "label", "dst").repartition(parts, "src", "dst").distinct(), "edges", by="label")
+        dropped(read)
         return PathGraph(edges, vertices)
 
     @staticmethod
@@ -122,3 +128,15 @@ class PathGraph:
         for s in sources[1:]:
             whole = whole.unionByName(s)
         return PathGraph.from_triples(whole, isolated)
+
+
+def _numbered(rows: DataFrame, names: DataFrame, column: str, out: str, parts: int) -> DataFrame:
+    """`rows` with the ids (id, name, n) of the names in a column. The few names that more rows have than a task should get are broadcast, and their rows are spread over all tasks."""
+    own = names.select(F.col("id").alias(out), F.col("name").alias("__key")).repartition(parts, "__key")
+    often = names.where(F.col("n") > TASK_ROWS).select(F.col("id").alias("__often"), F.col("name").alias(column))
+    if not often.take(1):
+        return rows.withColumnRenamed(column, "__key").repartition(parts, "__key").join(own, "__key").drop("__key")
+    spread = F.concat(F.lit("\x00"), F.pmod(F.xxhash64(*rows.columns), F.lit(parts)).cast("string"))
+    marked = rows.join(F.broadcast(often), column, "left").withColumn("__key", F.when(F.col("__often").isNull(), F.col(column)).otherwise(spread))
+    found = marked.repartition(parts, "__key").join(own, "__key", "left").withColumn(out, F.coalesce("__often", out))
+    return found.drop("__key", "__often", column)
