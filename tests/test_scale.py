@@ -5,10 +5,12 @@ import random
 import pytest
 
 from trailweave import graph as graphs
+from trailweave import source_queries as sources
 from trailweave.graph import PathGraph
 from trailweave.operators import components, fixpoint, frontier
 from trailweave.operators.frontier import FrontierEvaluator
 from trailweave.operators.relational import RelationalEvaluator
+from trailweave.sources.matrix_market import matrix
 from trailweave.sources.rdf import TurtleReader, left_out, read_rdf, read_rdf_rows
 from trailweave.sparql import parse_query
 
@@ -156,3 +158,14 @@ def test_triples_are_read_once_and_hubs_are_spread(spark, monkeypatch, tmp_path)
     assert reads.value == 117
     found = graph.with_names(graph.edges.select(*map(graphs.F.col, ("src", "label", "dst"))), "src", "dst")
     assert sorted(map(tuple, found.collect())) == sorted(set(names)) and graph.num_nodes() == len({x for s, _, t in names for x in (s, t)})
+
+
+def test_a_matrix_may_be_a_folder_of_files(spark, tmp_path):
+    """One task sorted and wrote all entries of a label, and held the sorts of all joins before it."""
+    (tmp_path / "1.txt").mkdir()
+    for name, text in (("part-1.txt", "1 2\n" * 3 + "% note\n\n3 4\n" + "2 1\n" * 400), ("head.txt", "%%MatrixMarket matrix coordinate pattern general\n% a\n4 4 405\n"), ("part-0.txt", "4 4\n")):
+        (tmp_path / "1.txt" / name).write_text(text)
+    assert {tuple(r) for r in matrix(spark, str(tmp_path / "1.txt")).collect()} == {(0, 1), (2, 3), (1, 0), (3, 3)}
+    path = sources.matrix_folder(spark, "/root/testdata/sf0.001", ["placed_by", "in_region"])
+    found = spark.read.text(f"{path}/1.txt").where("value rlike '^[0-9]+ [0-9]+$'")
+    assert found.count() == 1500 and matrix(spark, f"{path}/2.txt").count() == 25

@@ -118,11 +118,11 @@ def matrix_folder(spark: SparkSession, sf_dir: str, wanted: list[str]) -> str:
     most = vertices.agg(F.max("index")).first()[0] or 0
     a, b = (vertices.select(F.col("name").alias(c), F.col("index").alias(i)) for c, i in (("source", "row"), ("target", "column")))
     cells = edges.join(a, "source").join(b, "target")
-    for k, label in enumerate(wanted, 1):  # a file must begin with its header, so one task writes it
+    for k, label in enumerate(wanted, 1):  # a folder of files, of which the first by name has the header
         own = cells.where(F.col("label") == label)
-        head = [(0, "%%MatrixMarket matrix coordinate pattern general"), (1, "% " + label), (2, f"{most} {most} {own.count()}")]
-        lines = spark.createDataFrame(head, "place int, value string").union(own.select(F.lit(3), F.concat_ws(" ", "row", "column")))
-        lines.coalesce(1).sortWithinPartitions("place").select("value").write.text(f"{path}/{k}.txt")
+        own.select(F.concat_ws(" ", "row", "column").alias("value")).write.text(f"{path}/{k}.txt")
+        head = ["%%MatrixMarket matrix coordinate pattern general", "% " + label, f"{most} {most} {edges.where(F.col('label') == label).count()}"]
+        put_text(spark, f"{path}/{k}.txt/head.txt", head)
     return path
 
 

@@ -57,8 +57,10 @@ def index_map(spark: SparkSession, path: str) -> DataFrame:
 
 
 def matrix(spark: SparkSession, path: str) -> DataFrame:
-    """(src, dst) from 0 of a coordinate file. Values don't matter, explicit zeros count; symmetric files have each entry both ways."""
-    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
+    """(src, dst) from 0 of a coordinate file, or of a folder of files of which the first by name begins with the header and the size line. Values don't matter, explicit zeros count; symmetric files have each entry both ways."""
+    every = spark.read.text(path)
+    names = sorted(every.inputFiles(), key=os.path.basename)
+    lines = (spark.read.text(names[0]) if len(names) > 1 else every).withColumn("at", F.monotonically_increasing_id())
     file = os.path.basename(path)
     top = lines.orderBy("at").limit(1).collect()
     if not top or not top[0]["value"].lower().startswith("%%matrixmarket"):
@@ -66,13 +68,17 @@ def matrix(spark: SparkSession, path: str) -> DataFrame:
     kinds = top[0]["value"].lower().split()
     if len(kinds) < 5 or kinds[1] != "matrix" or kinds[2] != "coordinate":
         raise InvalidFormat(file, 1, "only coordinate matrices are supported")
-    said = lines.where(~F.col("value").startswith("%") & (F.trim("value") != ""))
+    says = ~F.col("value").startswith("%") & (F.trim("value") != "")
+    said = lines.where(says)
     sizes = said.orderBy("at").limit(1).collect()
     shape = sizes[0]["value"].split() if sizes else []
     if len(shape) != 3 or not all(x.isdigit() for x in shape):
         raise InvalidFormat(file, sizes[0]["at"] + 1 if sizes else None, "expected a size line")
     cells = F.split(F.trim("value"), r"\s+")
-    entries = said.where(F.col("at") > sizes[0]["at"]).select(F.get(cells, F.lit(0)).try_cast("long").alias("row"), F.get(cells, F.lit(1)).try_cast("long").alias("column"))
+    entries = said.where(F.col("at") > sizes[0]["at"])
+    if len(names) > 1:
+        entries = entries.select("value").union(spark.read.text(names[1:]).where(says))
+    entries = entries.select(F.get(cells, F.lit(0)).try_cast("long").alias("row"), F.get(cells, F.lit(1)).try_cast("long").alias("column"))
     rows, columns, number = map(int, shape)
     good = F.col("row").between(1, rows) & F.col("column").between(1, columns)
     found = entries.agg(F.count("*").alias("n"), F.count(F.when(good, 1)).alias("good")).first()
