@@ -6,14 +6,18 @@ import pytest
 
 from trailweave import graph as graphs
 from trailweave import source_queries as sources
+from trailweave import storage
 from trailweave.graph import PathGraph
-from trailweave.operators import components, fixpoint, frontier
+from trailweave.operators import components, fixpoint, frontier, relational
 from trailweave.operators.frontier import FrontierEvaluator
 from trailweave.operators.relational import RelationalEvaluator
+from trailweave.plans.ast import Label, Sequence
 from trailweave.sources.matrix_market import matrix
 from trailweave.sources.rdf import TurtleReader, left_out, read_rdf, read_rdf_rows
 from trailweave.sparql import parse_query
 
+from .test_queries import by_sets
+
 
 def query(pattern):
     return parse_query(f"BASE <http://e/> SELECT * WHERE {{ {pattern} . }}").strip_base("http://e/")
@@ -169,3 +173,38 @@ def test_a_matrix_may_be_a_folder_of_files(spark, tmp_path):
     path = sources.matrix_folder(spark, "/root/testdata/sf0.001", ["placed_by", "in_region"])
     found = spark.read.text(f"{path}/1.txt").where("value rlike '^[0-9]+ [0-9]+$'")
     assert found.count() == 1500 and matrix(spark, f"{path}/2.txt").count() == 25
+
+
+def partitions_of(df, what):
+    """Numbers of partitions to which a plan deals rows out by request."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return [int(line.split(",")[-1].strip(" )").split()[0]) for line in plan.splitlines() if what in line]
+
+
+@pytest.mark.parametrize("pattern", ["?x (<a>/<b>)|(<a>/(<b>/<b>)) ?y", "?x <a>/<b>*/<c> ?y", "?x (<a>|<b>)/(<c>?)/<b> ?y", "?x <a>/<b>/<c> ?y"])
+@pytest.mark.parametrize("hub", [1, 1_000_000])
+def test_pairs_of_large_inputs_are_dealt_out(spark, monkeypatch, pattern, hub):
+    """A task held all pairs that its join made, to drop repeats of which it met few."""
+    monkeypatch.setattr(storage, "PART_BYTES", 200)
+    monkeypatch.setattr(relational, "FEW_PARTS", 2)
+    monkeypatch.setattr(relational, "HUB", hub)
+    draw = random.Random(3)
+    edges = [(f"v{draw.randrange(9)}", f"v{draw.randrange(9)}", "a") for _ in range(40)] + [(f"v{draw.randrange(9)}", f"v{draw.randrange(9)}", draw.choice("bc")) for _ in range(12)]
+    graph, q = PathGraph.from_edges(spark, edges), query(pattern)
+    found = RelationalEvaluator(optional=True).evaluate(q, graph)
+    want = by_sets(q.path, edges, {n for s, t, _ in edges for n in (s, t)})
+    rows = found.named().collect()
+    assert len(rows) == len(want) and {tuple(r) for r in rows} == want
+    dealt = partitions_of(found.rows, "RepartitionByExpression")
+    assert dealt and max(dealt) > 2 and (hub == 1 or "|" not in pattern or len(dealt) > 1)
+
+
+def test_the_largest_step_is_joined_last(spark):
+    """Its pairs were joined and their repeats dropped once for each step after it."""
+    graph = PathGraph.from_edges(spark, [*((f"o{k}", f"c{k % 50}", "a") for k in range(30_000)), *((f"c{k}", f"n{k % 5}", "b") for k in range(50)), *((f"n{k}", "r", "c") for k in range(5))])
+    low = relational.Lowering(graph)
+    path = query("?x <a>/<b>/<c> ?y").path
+    first, after = low.rest(path)
+    assert first == Label("a") and after == Sequence(Label("b"), Label("c"))
+    assert low.rest(query("?x <c>/<b>/<a> ?y").path) is None and low.rest(query("?x <a>/<b>?/<c>? ?y").path) is None
+    assert RelationalEvaluator().evaluate(query("?x <a>/<b>/<c> ?y"), graph).nnz == 30_000

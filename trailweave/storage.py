@@ -54,6 +54,25 @@ def path_of(df: DataFrame) -> str:
     return df._trailweave_path
 
 
+#: Bytes of the files that rows come from for each partition of them, partitions up to which their number is left to Spark, and the most.
+PART_BYTES, FEW_PARTS, MOST_PARTS = 2_000_000, 16, 2_000
+
+
+def read_bytes(*frames: DataFrame) -> int:
+    """Bytes of the files and other leaves that DataFrames come from, each as often as it is read; what is unknown counts for nothing."""
+    total = 0
+    for df in frames:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        sizes = (int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+        total += sum(n for n in sizes if n < 1 << 60)
+    return total
+
+
+def partitions(*frames: DataFrame) -> int:
+    """In how many parts to deal out rows that come from these: a number that grows with what is read, so that a task's rows don't."""
+    return min(max(1, read_bytes(*frames) // PART_BYTES), MOST_PARTS)
+
+
 class Parts:
     """A relation that grows by rounds: each round's rows are written once, and the parts are joined into one table when there are many."""
 
