@@ -208,3 +208,12 @@ def test_the_largest_step_is_joined_last(spark):
     assert first == Label("a") and after == Sequence(Label("b"), Label("c"))
     assert low.rest(query("?x <c>/<b>/<a> ?y").path) is None and low.rest(query("?x <a>/<b>?/<c>? ?y").path) is None
     assert RelationalEvaluator().evaluate(query("?x <a>/<b>/<c> ?y"), graph).nnz == 30_000
+
+
+def test_pairs_of_one_id_are_not_sorted_to_be_named(spark, monkeypatch):
+    """All pairs that end in one vertex were sorted by one task."""
+    graph = PathGraph.from_edges(spark, [*((f"o{k}", f"c{k % 5}", "a") for k in range(60)), *((f"c{k}", "r", "b") for k in range(5))])
+    monkeypatch.setattr(graphs, "FEW_PARTS", 0)
+    found = RelationalEvaluator().evaluate(query("?x <a>/<b> ?y"), graph).named()
+    assert {tuple(r) for r in found.collect()} == {(f"o{k}", "r") for k in range(60)}
+    assert found._jdf.queryExecution().sparkPlan().toString().count("ShuffledHashJoin") == 2

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import GraphLoadError
-from .storage import dropped, written
+from .storage import FEW_PARTS, dropped, partitions, written
 
 #: Edges that a task joins with the dictionary of names.
 TASK_ROWS = 400_000
@@ -71,12 +71,14 @@ class PathGraph:
         return (pairs if self.unique else pairs.distinct()).count()
 
     def with_names(self, df: DataFrame, *columns: str) -> DataFrame:
-        """`df` with names in place of the ids in `columns`."""
+        """`df` with names in place of the ids in `columns`. Of a large dictionary each task hashes a part, so that the many rows of one id, which all meet in a task, are neither sorted nor held."""
         for c in columns:
             if self.named is not None:
                 df = df.withColumn(c, self.named(F.col(c)))
             else:
                 names = self.vertices.select(F.col("id").alias("__id"), F.col("name").alias("__name"))
+                if partitions(names) > FEW_PARTS:
+                    names = names.hint("shuffle_hash")
                 df = df.join(names, df[c] == names["__id"]).withColumn(c, F.col("__name")).drop("__id", "__name")
         return df
 
